@@ -19,6 +19,9 @@ def month_vectors(
     first, last = df.agg(F.min(index)).scalar(), df.agg(F.max(index)).scalar()
     filled = df.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct(index.alias("k"), F.col(value).alias("v")))).alias("known"))
-    axis = F.sequence(first, last)
-    vector = F.transform(axis, lambda m: F.coalesce(F.try_element_at("known", m), F.lit(0.0)))
-    return filled.select(key, vector.alias("vector"))
+    vector = F.transform("_axis", lambda m: F.coalesce(F.try_element_at("known", m), F.lit(0.0)))
+    return (
+        filled.withColumns({"_first": first, "_last": last})
+        .withColumn("_axis", F.sequence("_first", "_last"))
+        .select(key, vector.alias("vector"))
+    )

@@ -46,9 +46,12 @@ def weighted_quantiles(
         raise ValueError(f"unknown mode: {mode}")
     steps = [i / BUCKETS for i in range(1, BUCKETS)]
     edges = counts.agg(F.percentile_approx("value", steps, 2000)).scalar()
-    bucketed = counts.withColumn(
-        "bucket", F.size(F.filter(F.coalesce(edges, F.array().cast("array<double>")),
-                                  lambda e: e <= F.col("value"))))
+    bucketed = (
+        counts.withColumn("_edges", edges)
+        .withColumn("bucket", F.coalesce(
+            F.size(F.filter("_edges", lambda e: e <= F.col("value"))), F.lit(0)))
+        .drop("_edges")
+    )
 
     # At most BUCKETS rows per group: running counts and the wanted ranks, side by side.
     buckets = bucketed.groupBy(*groups, "bucket").agg(F.sum("weight").alias("bucket_rows"))

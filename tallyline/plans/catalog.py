@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.operators.features import ts_features
-from tallyline.plans import catalog_series, catalog_sources  # noqa: F401  (register their queries)
+from tallyline.plans import (  # noqa: F401  (they register their queries)
+    catalog_crosstab,
+    catalog_series,
+    catalog_sources,
+)
 from tallyline.plans.registry import ORACLES, QUERIES
 from tallyline.sources.tables import Tables, long_series
 

@@ -251,16 +251,16 @@ _CAPS = """CASE WHEN y < q1 - 1.5 * (q3 - q1) THEN q1 - 1.5 * (q3 - q1)
 @query("iqr_cap", f"""WITH s AS ({_SKU_SERIES}), q AS (SELECT unique_id,
     list_sort(list(y))[CAST(floor((count(*) - 1) * 0.25 + 0.5) AS INT) + 1] AS q1,
     list_sort(list(y))[CAST(floor((count(*) - 1) * 0.75 + 0.5) AS INT) + 1] AS q3 FROM s GROUP BY 1)
-  SELECT unique_id, ds, round({_CAPS}, 2) AS y FROM s JOIN q USING (unique_id)""")
+  SELECT unique_id, ds, round({_CAPS}, 5) AS y FROM s JOIN q USING (unique_id)""")
 def _(t):
-    return rounded(windows.iqr_cap(long_series(t, _SKU)), 2, "y")
+    return rounded(windows.iqr_cap(long_series(t, _SKU)), 5, "y")
 
 
 @query("iqr_cap_linear", f"""WITH s AS ({_CB_SERIES}), q AS (SELECT unique_id, quantile_cont(y, 0.25) AS q1,
     quantile_cont(y, 0.75) AS q3 FROM s GROUP BY 1)
-  SELECT unique_id, ds, round({_CAPS}, 2) AS y FROM s JOIN q USING (unique_id)""")
+  SELECT unique_id, ds, round({_CAPS}, 7) AS y FROM s JOIN q USING (unique_id)""")
 def _(t):
-    return rounded(windows.iqr_cap(long_series(t, _CB), interpolation="linear"), 2, "y")
+    return rounded(windows.iqr_cap(long_series(t, _CB), interpolation="linear"), 7, "y")
 
 
 @query("label_fill", f"""WITH s AS (SELECT *, CASE WHEN y > 150000 THEN CAST(month(ds) AS VARCHAR) END AS raw FROM ({_CB_SERIES}))
@@ -311,10 +311,10 @@ def _(t):
     return rounded(windows.first_difference(long_series(t, _SKU)), 4, "ydiff")
 
 
-@query("rolling_mean3", f"""SELECT unique_id, ds, y, CASE WHEN count(y) OVER r = 3 THEN round(avg(y) OVER r, 2) END AS ymean
+@query("rolling_mean3", f"""SELECT unique_id, ds, y, CASE WHEN count(y) OVER r = 3 THEN round(avg(y) OVER r, 6) END AS ymean
   FROM ({_SKU_SERIES}) WINDOW r AS (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def _(t):
-    return rounded(windows.rolling_mean(long_series(t, _SKU)), 2, "ymean")
+    return rounded(windows.rolling_mean(long_series(t, _SKU)), 6, "ymean")
 
 
 @query("position_index", f"""SELECT unique_id, ds, y, CAST(p AS INT) AS pos, n, CAST(CASE WHEN p < n // 2 THEN 1 ELSE 2 END AS INT) AS half,
@@ -471,7 +471,7 @@ _FILLED = f"""{_CALENDAR},
   num AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS i FROM full_s),
   known AS (SELECT unique_id, i, y, lead(i) OVER (PARTITION BY unique_id ORDER BY i) AS i2,
     lead(y) OVER (PARTITION BY unique_id ORDER BY i) AS y2 FROM num WHERE y IS NOT NULL),
-  filled AS (SELECT num.unique_id, num.ds, k.y + coalesce((k.y2 - k.y) * (num.i - k.i) / (k.i2 - k.i), 0) AS y
+  filled AS (SELECT num.unique_id, num.ds, k.y + coalesce((k.y2 - k.y) * ((num.i - k.i) / (k.i2 - k.i)), 0) AS y
     FROM num JOIN known k ON k.unique_id = num.unique_id AND num.i >= k.i AND (num.i < k.i2 OR k.i2 IS NULL))"""
 
 
@@ -487,9 +487,9 @@ def _(t):
     return features.calendar_complete(long_series(t, _SKU))
 
 
-@query("linear_interpolate", f"WITH s AS ({_SKU_SERIES}), {_FILLED} SELECT unique_id, ds, round(y, 2) AS y FROM filled")
+@query("linear_interpolate", f"WITH s AS ({_SKU_SERIES}), {_FILLED} SELECT unique_id, ds, y FROM filled")
 def _(t):
-    return rounded(features.linear_interpolate(features.calendar_complete(long_series(t, _SKU))), 2, "y")
+    return features.linear_interpolate(features.calendar_complete(long_series(t, _SKU)))
 
 
 @query("season_overlay", f"""WITH top AS (SELECT unique_id, round(stddev_samp(v) / nullif(avg(v), 0), 6) AS monthly_cv
