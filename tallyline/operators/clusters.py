@@ -1,11 +1,24 @@
-"""Clustering of series."""
+"""Clustering of series on Spark ML."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.dates import month_index
+from tallyline.functions.numeric import finite_or_zero, is_finite, safe_div
+from tallyline.lineage import cut
+from tallyline.operators.combine import label_join
+from tallyline.operators.features import TS_FEATURES, ts_features
+from tallyline.operators.filters import training_cutoff
+from tallyline.operators.windows import label_fill, zscore
+
+SEED = 42
 
 
 def month_vectors(
@@ -25,3 +38,115 @@ def month_vectors(
         .withColumn("_axis", F.sequence("_first", "_last"))
         .select(key, vector.alias("vector"))
     )
+
+
+def standardise(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(x - mean) / population std per feature over the whole table; a constant feature gives 0.
+
+    The statistics are one row, read as a scalar subquery.
+    """
+    stats = df.agg(F.struct(*[
+        c for f in features for c in (F.avg(f).alias(f"{f}_mean"), F.stddev_pop(f).alias(f"{f}_std"))
+    ])).scalar()
+    return df.withColumn("_stats", stats).withColumns({
+        f: F.coalesce(safe_div(F.col(f) - F.col("_stats")[f"{f}_mean"], F.col("_stats")[f"{f}_std"]), F.lit(0.0))
+        for f in features
+    }).drop("_stats")
+
+
+def vector_table(df: DataFrame, features: Sequence[str], key: str = "unique_id") -> DataFrame:
+    """(key, vector) written once, since every fit reads it again."""
+    return cut(df.select(key, array_to_vector(F.array(*[F.col(f).cast("double") for f in features])).alias("vector")))
+
+
+def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int = 20):
+    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="vector", predictionCol="cluster").fit(vectors)
+
+
+def best_k(vectors: DataFrame, last_k: int, default: int = 2, seed: int = SEED) -> tuple[int, float]:
+    """The k from 2 to ``last_k`` with the best silhouette, and the score.
+
+    Spark's evaluator measures squared Euclidean silhouettes in linear time, which serves to rank k.
+    """
+    best, score = default, -1.0
+    evaluator = ClusteringEvaluator(featuresCol="vector", predictionCol="cluster")
+    for k in range(2, last_k + 1):
+        model = _fit(vectors, k, seed)
+        if sum(1 for size in model.summary.clusterSizes if size) < 2:
+            continue
+        value = evaluator.evaluate(model.transform(vectors))
+        if value > score:
+            best, score = k, value
+    return best, score
+
+
+def kmeans_labels(vectors: DataFrame, k: int, key: str = "unique_id", seed: int = SEED, max_iter: int = 20) -> DataFrame:
+    return _fit(vectors, k, seed, max_iter).transform(vectors).select(key, "cluster")
+
+
+def feature_clusters(
+    history: DataFrame,
+    as_of,
+    key: str = "unique_id",
+    date: str = "ds",
+    value: str = "y",
+    max_clusters: int = 10,
+    seed: int = SEED,
+) -> DataFrame:
+    """History with a cluster label per series from its features up to one month before ``as_of``.
+
+    Fewer than four series with features leave the history unchanged.
+    """
+    train = training_cutoff(history, as_of, 1, date=date)
+    table = cut(ts_features(train, key=key, date=date, value=value))
+    n = table.count()
+    if n < 4:
+        return history
+    clean = table.select(key, *[finite_or_zero(f).alias(f) for f in TS_FEATURES])
+    vectors = vector_table(standardise(clean, TS_FEATURES), TS_FEATURES, key)
+    k, _ = best_k(vectors, min(max_clusters, n // 2 - 1), seed=seed)
+    labels = kmeans_labels(vectors, k, key, seed)
+    joined = label_join(history, labels.withColumn("cluster", F.col("cluster").cast("string")), key)
+    return label_fill(joined, "cluster", key, date)
+
+
+def shape_vectors(
+    history: DataFrame, as_of, key: str = "unique_id", date: str = "ds", value: str = "y",
+) -> DataFrame:
+    """Normalised month vectors of the training rows."""
+    train = training_cutoff(history, as_of, 1, date=date)
+    return month_vectors(zscore(train, value, key), key, date)
+
+
+def shape_clusters(
+    history: DataFrame,
+    as_of,
+    k: int = 6,
+    method: str = "bisecting",
+    key: str = "unique_id",
+    date: str = "ds",
+    value: str = "y",
+    max_iter: int = 800,
+    seed: int = SEED,
+) -> DataFrame:
+    """History with a label per series from the shape of its normalised months.
+
+    ``bisecting`` splits clusters top-down, ``kmeans`` fits all at once.
+    """
+    vectors = cut(shape_vectors(history, as_of, key, date, value).select(
+        key, array_to_vector("vector").alias("vector")))
+    if method == "bisecting":
+        model = BisectingKMeans(k=k, seed=seed, featuresCol="vector", predictionCol="cluster").fit(vectors)
+        labels = model.transform(vectors).select(key, "cluster")
+    elif method == "kmeans":
+        labels = kmeans_labels(vectors, k, key, seed, max_iter)
+    else:
+        raise ValueError(f"unknown method: {method}")
+    joined = label_join(history, labels.withColumn("cluster", F.col("cluster").cast("string")), key)
+    return label_fill(joined, "cluster", key, date)
+
+
+def finite_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    for f in features:
+        df = df.filter(is_finite(F.col(f).cast("double")))
+    return df

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.numeric import is_finite, number_of, safe_div, score_bound
 from tallyline.functions.text import custom_order, natural_key, null_text
 from tallyline.operators.filters import derive
-from tallyline.operators.quantiles import weighted_quantiles
+from tallyline.operators.quantiles import weighted_quantiles, with_buckets
 from tallyline.operators.ranking import ordered_position
 
 Sorter = Sequence[str] | Callable[[Column], Column]
@@ -240,15 +240,15 @@ def _distinct(frame: _Frame, source: DataFrame, aggregator: Distinct, values: Ma
 
 def _quantile(frame: _Frame, source: DataFrame, q: float, values: Mapping[str, Value]) -> DataFrame:
     pairs = _unpivoted(frame, source, {n: v.number for n, v in values.items()})
-    counts = pairs.filter(F.col("_value").isNotNull()).groupBy(*frame.keys, "_name", "_value").agg(
-        F.count(F.lit(1)).alias("_n"))
-    levels = frame.grouped(counts, ("_name", "_value")).agg(frame.level(), F.sum("_n").alias("weight"))
+    # Counts of distinct values per cell, NULL included: a cell without numbers still is a cell.
+    counts = with_buckets(pairs.groupBy(*frame.keys, "_name", F.col("_value").alias("value")).agg(
+        F.count(F.lit(1)).alias("_n")))
+    levels = frame.grouped(counts.filter(F.col("value").isNotNull()), ("_name", "value", "bucket")).agg(
+        frame.level(), F.sum("_n").alias("weight"))
     groups = [*frame.keys, "level", "_name"]
     found = weighted_quantiles(
-        levels.withColumnRenamed("_value", "value").select(*groups, "value", "weight"), groups,
-        {"_result": q}, "neighbours")
-    # A cell without any number has no quantile but still is a cell.
-    every = frame.grouped(source.select(*frame.keys).distinct()).agg(frame.level())
+        levels.select(*groups, "value", "bucket", "weight"), groups, {"_result": q}, "neighbours")
+    every = frame.grouped(counts.select(*frame.keys).distinct()).agg(frame.level())
     wide = _by_name(frame, found, list(values))
     on = every["level"] == wide["level"]
     for k in frame.keys:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.dates import month_sequence, month_start
 from tallyline.functions.numeric import safe_corr, safe_div, volume_band
-from tallyline.operators.rollup import monthly_cv, seasonality_metrics
 from tallyline.operators.windows import rolling, series_all, series_order
 
 SEASON = 12
@@ -198,9 +197,28 @@ def seasonal_flags(
 ) -> DataFrame:
     """Three criteria, their score 0..3 and ``is_seasonal`` for two or more.
 
-    Both metric tables come from the same series; series without a monthly cv are dropped.
+    Series metrics and the twelve calendar-month means come from one aggregate, so the series are
+    shuffled once and nothing is joined. Series without a monthly cv are dropped.
     """
-    metrics = seasonality_metrics(df, key, value).join(monthly_cv(df, key, date, value), key, "left")
+    y = F.col(value)
+    means = F.array_compact(F.array(*[F.avg(F.when(F.month(date) == m, y)) for m in range(1, SEASON + 1)]))
+    grouped = df.groupBy(key).agg(
+        F.avg(y).alias("mean_sales"), F.stddev_samp(y).alias("std_sales"), F.min(y).alias("min_sales"),
+        F.max(y).alias("max_sales"), F.count(y).alias("n_months"), means.alias("_means"))
+    total = F.aggregate("_means", F.lit(0.0), lambda s, m: s + m)
+    centre = F.col("overall_monthly_mean")
+    spread = F.aggregate("_means", F.lit(0.0), lambda s, m: s + (m - centre) * (m - centre))
+    metrics = (
+        grouped.withColumn("overall_monthly_mean", safe_div(total, F.size("_means")))
+        .withColumn("monthly_std", F.sqrt(safe_div(spread, F.size("_means") - 1)))
+        .withColumns({
+            "cv": safe_div("std_sales", "mean_sales"),
+            "range_ratio": safe_div("max_sales", "min_sales"),
+            "relative_range": safe_div(F.col("max_sales") - F.col("min_sales"), "mean_sales"),
+            "monthly_cv": safe_div("monthly_std", "overall_monthly_mean"),
+        })
+        .drop("_means")
+    )
     flags = {
         "high_cv": F.col("cv") >= cv,
         "high_range_ratio": F.col("range_ratio") >= range_ratio,

@@ -15,7 +15,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.lineage import cut
+
 BUCKETS = 256
+RUN = 16
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -34,6 +37,29 @@ def _same(groups: Sequence[str], a: str, b: str) -> Column:
     return condition
 
 
+def _count_below(edges: Column, value: Column) -> Column:
+    return F.size(F.filter(edges, lambda e: e <= value))
+
+
+def with_buckets(counts: DataFrame) -> DataFrame:
+    """Add the bucket of each value to a table of value counts.
+
+    The counts are written once: the boundaries, the bucket sizes and the ranking all read them,
+    and none of them should scan the source again.
+    """
+    counts = cut(counts)
+    steps = [i / BUCKETS for i in range(1, BUCKETS)]
+    edges = counts.agg(F.percentile_approx("value", steps, 2000)).scalar()
+    bucketed = counts.withColumn("_edges", edges)
+    # Number of edges at or below the value: first among every 16th edge, then within that run.
+    bucketed = bucketed.withColumn("_run", _count_below(
+        F.filter("_edges", lambda e, i: (i + 1) % RUN == 0), F.col("value")))
+    return bucketed.withColumn("bucket", F.coalesce(
+        F.col("_run") * RUN
+        + _count_below(F.slice("_edges", F.col("_run") * RUN + 1, RUN - 1), F.col("value")),
+        F.lit(0))).drop("_edges", "_run")
+
+
 def weighted_quantiles(
     counts: DataFrame, groups: Sequence[str], wanted: Mapping[str, float], mode: str = "linear",
 ) -> DataFrame:
@@ -44,14 +70,7 @@ def weighted_quantiles(
     """
     if mode not in ("linear", "neighbours", "nearest"):
         raise ValueError(f"unknown mode: {mode}")
-    steps = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = counts.agg(F.percentile_approx("value", steps, 2000)).scalar()
-    bucketed = (
-        counts.withColumn("_edges", edges)
-        .withColumn("bucket", F.coalesce(
-            F.size(F.filter("_edges", lambda e: e <= F.col("value"))), F.lit(0)))
-        .drop("_edges")
-    )
+    bucketed = counts if "bucket" in counts.columns else with_buckets(counts)
 
     # At most BUCKETS rows per group: running counts and the wanted ranks, side by side.
     buckets = bucketed.groupBy(*groups, "bucket").agg(F.sum("weight").alias("bucket_rows"))
