@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.lineage import cut
 
 BUCKETS = 256
-RUN = 16
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -37,27 +37,21 @@ def _same(groups: Sequence[str], a: str, b: str) -> Column:
     return condition
 
 
-def _count_below(edges: Column, value: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: e <= value))
-
-
 def with_buckets(counts: DataFrame) -> DataFrame:
     """Add the bucket of each value to a table of value counts.
 
     The counts are written once: the boundaries, the bucket sizes and the ranking all read them,
-    and none of them should scan the source again.
+    and none of them should scan the source again. The boundaries, at most 255 numbers, come to
+    the driver to become the splits of a ``Bucketizer``. NULL values get no bucket.
     """
     counts = cut(counts)
     steps = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = counts.agg(F.percentile_approx("value", steps, 2000)).scalar()
-    bucketed = counts.withColumn("_edges", edges)
-    # Number of edges at or below the value: first among every 16th edge, then within that run.
-    bucketed = bucketed.withColumn("_run", _count_below(
-        F.filter("_edges", lambda e, i: (i + 1) % RUN == 0), F.col("value")))
-    return bucketed.withColumn("bucket", F.coalesce(
-        F.col("_run") * RUN
-        + _count_below(F.slice("_edges", F.col("_run") * RUN + 1, RUN - 1), F.col("value")),
-        F.lit(0))).drop("_edges", "_run")
+    found = counts.agg(F.percentile_approx("value", steps, 2000)).first()[0] or []
+    splits = [float("-inf"), *sorted({e for e in found if abs(e) != float("inf")}), float("inf")]
+    if len(splits) < 3:
+        return counts.withColumn("bucket", F.lit(0))
+    bucketizer = Bucketizer(splits=splits, inputCol="value", outputCol="bucket", handleInvalid="keep")
+    return bucketizer.transform(counts).withColumn("bucket", F.col("bucket").cast("int"))
 
 
 def weighted_quantiles(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyline.operators.features import ts_features
 from tallyline.plans import (  # noqa: F401  (they register their queries)
     catalog_crosstab,
+    catalog_forecast,
     catalog_segments,
     catalog_series,
     catalog_sources,
