@@ -1,6 +1,6 @@
 """Month arithmetic on timestamps without a time zone.
 
-``date_trunc`` and ``add_months`` leave the type family (they give ``timestamp`` and ``date``),
+``trunc`` and ``add_months`` leave the type family (they give ``date``),
 so results are cast back to ``timestamp_ntz``, the type of every month stamp in the library.
 """
 
@@ -26,7 +26,8 @@ def stamp(value: str | dt.date | dt.datetime | Column) -> Column:
 
 
 def month_start(c: Column | str) -> Column:
-    return F.date_trunc("month", as_column(c)).cast(NTZ)
+    """First day of the month; truncated as a date, which needs no time zone arithmetic."""
+    return F.trunc(as_column(c).cast("date"), "MM").cast(NTZ)
 
 
 def add_months(c: Column | str, n: int | Column) -> Column:

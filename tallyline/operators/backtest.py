@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.dates import add_months, last_full_month
 from tallyline.functions.numeric import safe_div
+from tallyline.lineage import cut
 
 
 def error_metrics(
@@ -51,6 +52,7 @@ def backtest(
     Series that end before the cut-off forecast from their own last month; only months in the
     hold-out are scored.
     """
+    df = cut(df.select(key, date, value))
     cuts = cut_offs(as_of, origins, step, holdout)
     origin = F.array(*[F.struct(F.lit(i).alias("origin"), c.alias("cut")) for i, c in enumerate(cuts)])
     tagged = df.withColumn("_o", F.explode(origin)).select(

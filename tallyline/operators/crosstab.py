@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.numeric import is_finite, number_of, safe_div, score_bound
@@ -102,7 +102,7 @@ def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def _extreme(pick: Callable, take: str):
+def _extreme(pick: Callable) -> Merged:
     return Merged(
         1,
         lambda v: {"e": (pick(F.when(v[0].raw.isNotNull(), F.struct(v[0].key.alias("key"), v[0].raw.alias("value")))), pick)},
@@ -143,8 +143,8 @@ AGGREGATORS = {
     "Sample Standard Deviation": _spread(F.stddev_samp),
     "Minimum": Merged(1, lambda v: {"e": (F.min(v[0].number), F.min)}, lambda p: p["e"]),
     "Maximum": Merged(1, lambda v: {"e": (F.max(v[0].number), F.max)}, lambda p: p["e"]),
-    "First": _extreme(F.min, "first"),
-    "Last": _extreme(F.max, "last"),
+    "First": _extreme(F.min),
+    "Last": _extreme(F.max),
     "Sum over Sum": Merged(2, _sum_parts, lambda p: safe_div(_zero(p["s0"]), _zero(p["s1"]))),
     "80% Upper Bound": _bound(True),
     "80% Lower Bound": _bound(False),
@@ -211,9 +211,14 @@ def _shared(frame: _Frame, table: DataFrame, names: Sequence[str], scope: str) -
         grand = table.filter(F.col("level") == GRAND_TOTAL)
         return table.withColumns({n: safe_div(n, grand.select(n).scalar()) for n in names})
     keys, whole = (frame.rows, (ROW_TOTAL, GRAND_TOTAL)) if scope == "row" else (frame.cols, (COLUMN_TOTAL, GRAND_TOTAL))
-    over = Window.partitionBy(*keys)
-    return table.withColumns({
-        n: safe_div(n, F.max(F.when(F.col("level").isin(*whole), F.col(n))).over(over)) for n in names})
+    # One total per key of the axis, joined back: a row with very many cells is not one window.
+    sums = table.filter(F.col("level").isin(*whole)).select(
+        *[F.col(k).alias(f"{k}_total") for k in keys], *[F.col(n).alias(f"{n}_total") for n in names])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_total"))
+    return table.join(sums, on, "left").select(
+        *frame.keys, "level", *[safe_div(n, f"{n}_total").alias(n) for n in names])
 
 
 def _unpivoted(frame: _Frame, source: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
@@ -243,11 +248,10 @@ def _quantile(frame: _Frame, source: DataFrame, q: float, values: Mapping[str, V
     # Counts of distinct values per cell, NULL included: a cell without numbers still is a cell.
     counts = with_buckets(pairs.groupBy(*frame.keys, "_name", F.col("_value").alias("value")).agg(
         F.count(F.lit(1)).alias("_n")))
-    levels = frame.grouped(counts.filter(F.col("value").isNotNull()), ("_name", "value", "bucket")).agg(
+    bucket = [c for c in counts.columns if c == "bucket"]
+    levels = frame.grouped(counts.filter(F.col("value").isNotNull()), ("_name", "value", *bucket)).agg(
         frame.level(), F.sum("_n").alias("weight"))
-    groups = [*frame.keys, "level", "_name"]
-    found = weighted_quantiles(
-        levels.select(*groups, "value", "bucket", "weight"), groups, {"_result": q}, "neighbours")
+    found = weighted_quantiles(levels, [*frame.keys, "level", "_name"], {"_result": q}, "neighbours")
     every = frame.grouped(counts.select(*frame.keys).distinct()).agg(frame.level())
     wide = _by_name(frame, found, list(values))
     on = every["level"] == wide["level"]

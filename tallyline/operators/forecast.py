@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.dates import add_months, days_since, month_index, month_sequence
-from tallyline.functions.numeric import nan_to_zero, null_to_zero, row_mean, safe_div
+from tallyline.functions.numeric import nan_to_zero, null_to_zero, row_mean
 from tallyline.functions.text import key_concat
 from tallyline.lineage import cut
 from tallyline.names import NON_MODEL_COLUMNS
@@ -86,11 +86,17 @@ def robust_scale(df: DataFrame, key: str = "unique_id", value: str = "y") -> Dat
     )
 
 
-def history_arrays(df: DataFrame, key: str = "unique_id", date: str = "ds", value: str = "y") -> DataFrame:
+def history_arrays(
+    df: DataFrame, key: str = "unique_id", date: str = "ds", value: str = "y", spread: bool = False,
+) -> DataFrame:
     """One row per series: its values in date order, and its last month.
 
-    The array is as long as the calendar, whatever the number of source rows.
+    The array is as long as the calendar, whatever the number of source rows. With ``spread`` the
+    series stay on all shuffle partitions: they are small but folding over them is not, so the
+    partitions must not be merged by size as adaptive execution would do.
     """
+    if spread:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     pairs = F.sort_array(F.collect_list(F.struct(F.col(date), null_to_zero(value).alias("y"))))
     return df.groupBy(key).agg(F.max(date).alias("last"), F.transform(pairs, lambda p: p["y"]).alias("ys"))
 
@@ -161,7 +167,7 @@ def exp_smoothing(
     Every (series, weights) pair is one row, folded over the values of the series inside the JVM.
     Series shorter than two seasons are smoothed without trend and season.
     """
-    states = history_arrays(df, key, date, value)
+    states = history_arrays(df, key, date, value, spread=True)
     ys, n = F.col("ys"), F.size("ys")
     long_enough = n >= 2 * SEASON
 
@@ -295,6 +301,7 @@ def tree_forecast(
     df: DataFrame, horizon: int = 60, kind: str = "boosted", key: str = "unique_id", date: str = "ds",
     value: str = "y", name: str = "tree", seed: int = SEED,
 ) -> DataFrame:
+    df = cut(df.select(key, date, value))
     model = fit_trees(df, kind, key, date, value, seed)
     blocks = -(-horizon // SEASON)
     table = recursive_forecast(df, tree_predictor(model), blocks, SEASON, key, date, value, name)
@@ -309,6 +316,7 @@ def voting_forecast(
     name: str = "voting", seed: int = SEED,
 ) -> DataFrame:
     """Mean of the boosted trees and the linear trend."""
+    df = cut(df.select(key, date, value))
     tree = tree_forecast(df, horizon, "boosted", key, date, value, "tree", seed)
     line = linear_trend(df, horizon, key, date, value, "line")
     return tree.join(line, [key, date], "full").select(key, date, row_mean("tree", "line").alias(name))
@@ -328,17 +336,17 @@ def lag_regression(
     The fit is distributed; its few coefficients become literals of a fold over the horizon, so the
     recursion needs no further job. A lag before the start of a series counts as its mean.
     """
-    staged = _scaled(df.withColumn(value, null_to_zero(value)), key, value)
-    staged = lag_set(staged, lags, False, "z", key, date).dropna(subset=[f"lag{k}" for k in lags])
-    train = cut(_assembled(staged, [f"lag{k}" for k in lags]).select("features", "z"))
+    # Written once: the fit and the roll-forward both read the series.
+    df = cut(df.select(key, date, null_to_zero(value).alias(value)))
+    staged = lag_set(_scaled(df, key, value), lags, False, "z", key, date).dropna(subset=[f"lag{k}" for k in lags])
+    train = _assembled(staged, [f"lag{k}" for k in lags]).select("features", "z")
     if train.isEmpty():
         weights, intercept = [0.0] * len(lags), 0.0
     else:
         model = LinearRegression(featuresCol="features", labelCol="z", regParam=0.01).fit(train)
         weights, intercept = [float(w) for w in model.coefficients], float(model.intercept)
 
-    arrays = history_arrays(df, key, date, value).join(
-        _scales(df.withColumn(value, null_to_zero(value)), key, value), key)
+    arrays = history_arrays(df, key, date, value, spread=True).join(_scales(df, key, value), key)
     scaled = F.transform("ys", lambda y: (y - F.col("centre")) / F.col("scale"))
 
     def roll(acc: Column, _: Column) -> Column:
@@ -391,6 +399,3 @@ def ensemble_mean(df: DataFrame, models: Sequence[str], name: str = "ensemble")
     """Mean of the model columns that have a value."""
     return df.withColumn(name, row_mean(*models))
 
-
-def lag_share(a: str, b: str) -> Column:
-    return safe_div(a, b)

@@ -43,7 +43,8 @@ def pivoted(points: DataFrame) -> DataFrame:
 
 def _blocked(points: DataFrame, radius: float | None, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Points with their bin and split, and the table of bins with their number of splits."""
-    bin_ = F.floor(F.col("_d") / F.lit(radius)) if radius else F.lit(0).cast("long")
+    # A little wider than the radius: rounding must not put two points at exactly the radius two bins apart.
+    bin_ = F.floor(F.col("_d") / F.lit(radius * (1 + 1e-9))) if radius else F.lit(0).cast("long")
     binned = points.withColumn("_bin", bin_)
     bins = binned.groupBy("_bin").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_splits"))
     return binned.join(bins, "_bin").withColumn(

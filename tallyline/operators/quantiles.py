@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tallyline.lineage import cut
 
 BUCKETS = 256
+# Up to this many counted values a group may be ranked in one task (a few megabytes).
+ONE_BUCKET = 100_000
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -37,80 +39,74 @@ def _same(groups: Sequence[str], a: str, b: str) -> Column:
     return condition
 
 
-def with_buckets(counts: DataFrame) -> DataFrame:
-    """Add the bucket of each value to a table of value counts.
+def with_buckets(counts: DataFrame, one_bucket: int = ONE_BUCKET) -> DataFrame:
+    """Write a table of value counts once and, if it is large, add the ``bucket`` of each value.
 
-    The counts are written once: the boundaries, the bucket sizes and the ranking all read them,
-    and none of them should scan the source again. The boundaries, at most 255 numbers, come to
-    the driver to become the splits of a ``Bucketizer``. NULL values get no bucket.
+    The boundaries, the bucket sizes and the ranking all read the counts, and none of them should
+    scan the source again. Up to ``one_bucket`` counted values there is no bucket column: a group
+    is small enough to be ranked at once. Above, the boundaries (at most 255 numbers) come to the
+    driver to become the splits of a ``Bucketizer``.
     """
     counts = cut(counts)
     steps = [i / BUCKETS for i in range(1, BUCKETS)]
-    found = counts.agg(F.percentile_approx("value", steps, 2000)).first()[0] or []
-    splits = [float("-inf"), *sorted({e for e in found if abs(e) != float("inf")}), float("inf")]
-    if len(splits) < 3:
-        return counts.withColumn("bucket", F.lit(0))
+    rows, found = counts.agg(F.count("value"), F.percentile_approx("value", steps, 2000)).first()
+    splits = [float("-inf"), *sorted({e for e in found or [] if abs(e) != float("inf")}), float("inf")]
+    if rows <= one_bucket or len(splits) < 3:
+        return counts
     bucketizer = Bucketizer(splits=splits, inputCol="value", outputCol="bucket", handleInvalid="keep")
     return bucketizer.transform(counts).withColumn("bucket", F.col("bucket").cast("int"))
 
 
+def _ranks(q: float, mode: str) -> dict[str, Column]:
+    """Ranks of the two neighbours of a quantile, from the size ``n`` of the group."""
+    position = (F.col("n") - 1) * F.lit(float(q))
+    if mode == "nearest":
+        return {"low": F.floor(position + 0.5), "high": F.floor(position + 0.5)}
+    return {"low": F.floor(position), "high": F.ceil(position)}
+
+
 def weighted_quantiles(
     counts: DataFrame, groups: Sequence[str], wanted: Mapping[str, float], mode: str = "linear",
 ) -> DataFrame:
     """Quantiles of a (groups, value, weight) table, one column per wanted name.
 
     ``linear`` interpolates between the two neighbours of rank (n - 1) q, ``neighbours`` takes
-    their plain mean and ``nearest`` the value at the rounded rank.
+    their plain mean and ``nearest`` the value at the rounded rank. A ``bucket`` column (see
+    ``with_buckets``) splits large groups.
     """
     if mode not in ("linear", "neighbours", "nearest"):
         raise ValueError(f"unknown mode: {mode}")
-    bucketed = counts if "bucket" in counts.columns else with_buckets(counts)
-
-    # At most BUCKETS rows per group: running counts and the wanted ranks, side by side.
-    buckets = bucketed.groupBy(*groups, "bucket").agg(F.sum("weight").alias("bucket_rows"))
-    order = Window.partitionBy(*groups).orderBy("bucket")
-    position = {name: (F.col("n") - 1) * F.lit(float(q)) for name, q in wanted.items()}
-    targets = []
-    for name, p in position.items():
-        low, high = F.floor(p), F.ceil(p)
-        if mode == "nearest":
-            low = high = F.floor(p + 0.5)
-        targets += [
-            F.struct(F.lit(name).alias("name"), F.lit("low").alias("side"), low.alias("rank")),
-            F.struct(F.lit(name).alias("name"), F.lit("high").alias("side"), high.alias("rank")),
-        ]
-    ranked = (
-        buckets
-        .withColumn("n", F.sum("bucket_rows").over(Window.partitionBy(*groups)))
-        .withColumn("rows_before", F.sum("bucket_rows").over(order) - F.col("bucket_rows"))
-        .withColumn("target", F.explode(F.array(*targets)))
-        .filter((F.col("target.rank") >= F.col("rows_before"))
-                & (F.col("target.rank") < F.col("rows_before") + F.col("bucket_rows")))
-        .groupBy(*groups, "bucket", "n", "rows_before")
-        .agg(F.collect_list("target").alias("targets"))
-    )
-
-    inside = (
-        bucketed.alias("v")
-        .join(ranked.alias("r"),
-              _same(groups, "v", "r") & (F.col("v.bucket") == F.col("r.bucket")))
-        .select(*[F.col(f"v.{g}").alias(g) for g in groups], F.col("v.bucket").alias("bucket"),
-                "value", "weight", "n", "rows_before", "targets")
-    )
-    within = Window.partitionBy(*groups, "bucket").orderBy("value")
-    placed = inside.withColumn(
-        "upto", F.col("rows_before") + F.sum("weight").over(within)
-    ).withColumn("target", F.explode("targets")).filter(
-        (F.col("target.rank") < F.col("upto"))
-        & (F.col("target.rank") >= F.col("upto") - F.col("weight")))
-
-    def side(name: str, which: str) -> Column:
-        return F.max(F.when(
-            (F.col("target.name") == name) & (F.col("target.side") == which), F.col("value")))
-
-    found = placed.groupBy(*groups).agg(
+    ranks = {f"{name}__{side}": rank for name, q in wanted.items() for side, rank in _ranks(q, mode).items()}
+    whole = Window.partitionBy(*groups)
+    if "bucket" not in counts.columns:
+        inside = counts.withColumns({
+            "n": F.sum("weight").over(whole), "upto": F.sum("weight").over(whole.orderBy("value"))})
+    else:
+        # At most BUCKETS rows per group: keep the buckets that hold a wanted rank.
+        before = F.sum("bucket_rows").over(whole.orderBy("bucket")) - F.col("bucket_rows")
+        holds = F.lit(False)
+        for rank in ranks.values():
+            holds = holds | ((rank >= F.col("before")) & (rank < F.col("before") + F.col("bucket_rows")))
+        kept = (
+            counts.groupBy(*groups, "bucket").agg(F.sum("weight").alias("bucket_rows"))
+            .withColumns({"n": F.sum("bucket_rows").over(whole), "before": before})
+            .filter(holds)
+        )
+        within = Window.partitionBy(*groups, "bucket").orderBy("value")
+        inside = (
+            counts.alias("v")
+            .join(kept.alias("k"), _same(groups, "v", "k") & (F.col("v.bucket") == F.col("k.bucket")))
+            .select(*[F.col(f"v.{g}").alias(g) for g in groups], F.col("v.bucket").alias("bucket"),
+                    "value", "weight", "n", "before")
+            .withColumn("upto", F.col("before") + F.sum("weight").over(within))
+        )
+
+    def holds_rank(rank: Column) -> Column:
+        return (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("weight"))
+
+    found = inside.groupBy(*groups).agg(
         F.max("n").alias("n"),
-        *[side(name, which).alias(f"{name}__{which}") for name in wanted for which in ("low", "high")])
+        *[F.max(F.when(holds_rank(rank), F.col("value"))).alias(name) for name, rank in ranks.items()])
     results = []
     for name, q in wanted.items():
         low, high = F.col(f"{name}__low"), F.col(f"{name}__high")
@@ -127,5 +123,7 @@ def weighted_quantiles(
 
 def grouped_quantiles(
     df: DataFrame, groups: Sequence[str], value: str, wanted: Mapping[str, float], mode: str = "linear",
+    one_bucket: int = ONE_BUCKET,
 ) -> DataFrame:
-    return weighted_quantiles(value_counts(df, groups, value), groups, wanted, mode)
+    counts = with_buckets(value_counts(df, groups, value), one_bucket)
+    return weighted_quantiles(counts, groups, wanted, mode)

@@ -11,7 +11,7 @@ from pyspark.sql.types import NumericType
 from tallyline.functions.dates import month_name
 from tallyline.functions.numeric import safe_corr, safe_div
 from tallyline.functions.text import null_text
-from tallyline.operators.quantiles import weighted_quantiles
+from tallyline.operators.quantiles import weighted_quantiles, with_buckets
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -164,14 +164,15 @@ def table_describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     pairs = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "value")
-    counts = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("weight"))
-    v, w = F.col("value"), F.col("weight")
+    counts = with_buckets(pairs.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("weight")))
+    v = F.col("value")
     moments = pairs.groupBy("column").agg(
         F.count(v).alias("count"),
         F.count(F.when(v.isNull(), 1)).alias("null_count"),
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"))
-    quartiles = weighted_quantiles(counts.filter(v.isNotNull()).select("column", "value", w), ["column"], QUARTILES)
+    quartiles = weighted_quantiles(counts, ["column"], QUARTILES)
     return moments.join(quartiles, "column", "left").select(
         "column", "count", "null_count", "mean", "std", "min", *QUARTILES, "max")
 

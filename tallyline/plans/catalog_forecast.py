@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.text import key_concat
 from tallyline.operators import backtest, forecast
-from tallyline.operators.windows import label_fill
 from tallyline.plans import forecast_cycle
 from tallyline.plans.registry import AS_OF, query, rounded, sales_sql, series_sql
 from tallyline.sources.tables import Tables, long_series, location_hierarchy, monthly_sales
@@ -298,5 +297,3 @@ def _(t):
     merged, _ = forecast_cycle.run_cycle(_history(t), _brand_levels(t), location_hierarchy(t), AS_OF)
     return merged
 
-
-__all__ = ["label_fill"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.functions.numeric import is_finite
 from tallyline.operators import charts, clusters, pairwise, segments
 from tallyline.operators.features import sku_features
 from tallyline.operators.windows import zscore
@@ -149,5 +148,3 @@ def _(t):
     labelled = _points(t).withColumn("cluster", F.split("id", ",")[0])
     return rounded(pairwise.silhouette(labelled), 6, "silhouette")
 
-
-__all__ = ["is_finite"]

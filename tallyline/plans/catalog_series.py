@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyline.operators import features, filters, rollup, windows
-from tallyline.operators.combine import keep_series
+from tallyline.operators import features, rollup, windows
 from tallyline.plans.registry import (
     AS_OF,
-    LINES_SQL,
-    lines_sql,
     query,
     rounded,
     sales_sql,
     series_sql,
 )
-from tallyline.sources.tables import long_series, monthly_sales, sales_lines
+from tallyline.sources.tables import long_series, monthly_sales
 
 _BOTH = ("act_orders_rev", "fcst_stat_final_rev")
 _CB = ["country", "franchise"]
@@ -501,5 +498,3 @@ def _(t):
     from tallyline.operators.charts import season_overlay
     return rounded(season_overlay(long_series(t, _CB), 12), 6, "cv")
 
-
-__all__ = ["LINES_SQL", "SKU_SQL", "filters", "keep_series", "lines_sql", "sales_lines"]

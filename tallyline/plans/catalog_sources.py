@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import dates, numeric, text
 from tallyline.lineage import scratch_path
-from tallyline.names import PRODUCT_LEVELS
 from tallyline.operators import combine, filters
 from tallyline.plans.registry import AS_OF, LINES_SQL, lines_sql, query, sales_sql
 from tallyline.sources import files, history
@@ -622,5 +621,3 @@ def _(t):
         F.col("o_orderdate").cast("date").cast(dates.NTZ).alias("stamp"),
         F.col("o_orderpriority").try_cast("double").alias("bad"))
 
-
-LEVELS_SHOWN = PRODUCT_LEVELS

@@ -28,11 +28,11 @@ def history_refresh(
         limit = add_months(month_start(stamp(as_of)), -keep_back)
         kept = stored.filter(F.col(date) <= limit)
     elif mode == "replace_window":
-        # One row of bounds; as scalar subqueries they also prune the scan of the history.
-        first = extract.agg(F.min(date)).scalar()
-        last = extract.agg(F.max(date)).scalar()
+        # One row of bounds; as a scalar subquery it also prunes the scan of the history.
+        span = extract.agg(F.struct(F.min(date).alias("first"), F.max(date).alias("last"))).scalar()
         kept = stored.filter(
-            F.col(date).isNull() | first.isNull() | (F.col(date) < first) | (F.col(date) > last))
+            F.col(date).isNull() | span["first"].isNull()
+            | (F.col(date) < span["first"]) | (F.col(date) > span["last"]))
     else:
         raise ValueError(f"unknown mode: {mode}")
     return kept.unionByName(extract)

@@ -18,25 +18,16 @@ from tallyline.functions.text import key_concat
 MONEY_DIGITS = 4
 
 _PRODUCT = {
-    "franchise": lambda: F.col("p_brand"),
-    "business_unit": lambda: F.col("p_type"),
-    "ibp_level_5": lambda: F.col("p_type"),
-    "ibp_level_6": lambda: F.col("p_size").cast("string"),
-    "ibp_level_7": lambda: F.col("p_name"),
+    "franchise": "p_brand", "business_unit": "p_type", "ibp_level_5": "p_type",
+    "ibp_level_6": "p_size", "ibp_level_7": "p_name",
 }
 _LOCATION = {
-    "area": lambda: F.col("r_name"),
-    "region": lambda: F.col("r_name"),
-    "group_region": lambda: F.col("r_name"),
-    "country": lambda: F.col("n_name"),
-    "selling_division": lambda: F.col("c_mktsegment"),
-}
-_LINE = {
-    "catalog_number": lambda: F.col("l_partkey").cast("string"),
-    "status": lambda: F.col("o_orderstatus"),
-    "priority": lambda: F.col("o_orderpriority"),
-    "return_flag": lambda: F.col("l_returnflag"),
+    "area": "r_name", "region": "r_name", "group_region": "r_name", "country": "n_name",
+    "selling_division": "c_mktsegment",
 }
+_ORDER = {"status": "o_orderstatus", "priority": "o_orderpriority"}
+_LINE = {"catalog_number": "l_partkey", "return_flag": "l_returnflag"}
+LEVELS = {**_PRODUCT, **_LOCATION, **_ORDER, **_LINE}
 
 MEASURES = {
     "act_orders_rev": lambda: F.col("l_extendedprice") * (1 - F.col("l_discount")),
@@ -75,13 +66,6 @@ class Tables:
         return reader.parquet(f"{self.folder}/{name}.parquet")
 
 
-def level_column(level: str) -> Column:
-    for group in (_PRODUCT, _LOCATION, _LINE):
-        if level in group:
-            return group[level]().alias(level)
-    raise ValueError(f"unknown level: {level}")
-
-
 def locations(t: Tables) -> DataFrame:
     """Customers with their nation and region."""
     return (
@@ -91,19 +75,40 @@ def locations(t: Tables) -> DataFrame:
     )
 
 
-def sales_lines(t: Tables, levels: Sequence[str]) -> DataFrame:
-    """Order lines with the asked levels, ``sales_date`` (month) and the measures."""
-    orders = t("orders")
-    if any(level in _LOCATION for level in levels):
-        orders = orders.join(locations(t), F.col("o_custkey") == F.col("c_custkey"))
+def _raw_lines(t: Tables, levels: Sequence[str]) -> DataFrame:
+    """Order lines with the asked levels as stored, the month and the measures.
+
+    Levels and the month are computed on the dimension and order side, before the join multiplies
+    their rows.
+    """
+    for level in levels:
+        if level not in LEVELS:
+            raise ValueError(f"unknown level: {level}")
+
+    def wanted(source: dict[str, str]) -> list[Column]:
+        return [F.col(source[level]).alias(level) for level in levels if level in source]
+
+    orders = t("orders").select(
+        "o_orderkey", "o_custkey", month_start("o_orderdate").alias("sales_date"), *wanted(_ORDER))
+    places = wanted(_LOCATION)
+    if places:
+        orders = orders.join(locations(t).select("c_custkey", *places), F.col("o_custkey") == F.col("c_custkey"))
     lines = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    if any(level in _PRODUCT for level in levels):
-        lines = lines.join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return lines.select(
-        *[level_column(level) for level in levels],
-        month_start("o_orderdate").alias("sales_date"),
-        *[measure().alias(name) for name, measure in MEASURES.items()],
-    )
+    products = wanted(_PRODUCT)
+    if products:
+        lines = lines.join(t("part").select("p_partkey", *products), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.withColumns({level: F.col(_LINE[level]) for level in levels if level in _LINE}).select(
+        *levels, "sales_date", *[measure().alias(name) for name, measure in MEASURES.items()])
+
+
+def _as_text(df: DataFrame, levels: Sequence[str]) -> DataFrame:
+    types = dict(df.dtypes)
+    return df.withColumns({level: F.col(level).cast("string") for level in levels if types[level] != "string"})
+
+
+def sales_lines(t: Tables, levels: Sequence[str]) -> DataFrame:
+    """Order lines with the asked levels as text, ``sales_date`` (month) and the measures."""
+    return _as_text(_raw_lines(t, levels), levels)
 
 
 def money_sum(c: Column | str) -> Column:
@@ -116,21 +121,18 @@ def monthly_sales(
     levels: Sequence[str],
     measures: Sequence[str] = ("act_orders_rev",),
 ) -> DataFrame:
-    """One row per level combination and month."""
-    return (
-        sales_lines(t, levels)
-        .groupBy(*levels, "sales_date")
-        .agg(*[money_sum(m).alias(m) for m in measures])
-    )
+    """One row per level combination and month; keys become text after they are grouped."""
+    grouped = _raw_lines(t, levels).groupBy(*levels, "sales_date").agg(*[money_sum(m).alias(m) for m in measures])
+    return _as_text(grouped, levels)
 
 
 def long_series(t: Tables, levels: Sequence[str], measure: str = "act_orders_rev") -> DataFrame:
     """The model-side form: ``unique_id``, ``ds``, ``y``; one row per series and month."""
-    return (
-        sales_lines(t, levels)
-        .groupBy(key_concat(*levels).alias("unique_id"), F.col("sales_date").alias("ds"))
-        .agg(money_sum(measure).alias("y"))
-    )
+    lines = _raw_lines(t, levels)
+    key = F.col(levels[0]) if len(levels) == 1 else key_concat(*levels)
+    grouped = lines.groupBy(key.alias("unique_id"), F.col("sales_date").alias("ds")).agg(
+        money_sum(measure).alias("y"))
+    return _as_text(grouped, ["unique_id"])
 
 
 def product_hierarchy(t: Tables) -> DataFrame:
