@@ -16,7 +16,7 @@ from tallyline.lineage import cut
 from tallyline.operators.combine import label_join
 from tallyline.operators.features import TS_FEATURES, ts_features
 from tallyline.operators.filters import training_cutoff
-from tallyline.operators.windows import label_fill, zscore
+from tallyline.operators.windows import zscore
 
 SEED = 42
 
@@ -106,8 +106,8 @@ def feature_clusters(
     vectors = vector_table(standardise(clean, TS_FEATURES), TS_FEATURES, key)
     k, _ = best_k(vectors, min(max_clusters, n // 2 - 1), seed=seed)
     labels = kmeans_labels(vectors, k, key, seed)
-    joined = label_join(history, labels.withColumn("cluster", F.col("cluster").cast("string")), key)
-    return label_fill(joined, "cluster", key, date)
+    # The label joins on the series, so all its rows carry it and there is no gap left to fill.
+    return label_join(history, labels.withColumn("cluster", F.col("cluster").cast("string")), key)
 
 
 def shape_vectors(
@@ -142,8 +142,8 @@ def shape_clusters(
         labels = kmeans_labels(vectors, k, key, seed, max_iter)
     else:
         raise ValueError(f"unknown method: {method}")
-    joined = label_join(history, labels.withColumn("cluster", F.col("cluster").cast("string")), key)
-    return label_fill(joined, "cluster", key, date)
+    # The label joins on the series, so all its rows carry it and there is no gap left to fill.
+    return label_join(history, labels.withColumn("cluster", F.col("cluster").cast("string")), key)
 
 
 def finite_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:

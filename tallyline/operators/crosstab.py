@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.numeric import is_finite, number_of, safe_div, score_bound
 from tallyline.functions.text import custom_order, natural_key, null_text
+from tallyline.lineage import cut
 from tallyline.operators.filters import derive
 from tallyline.operators.quantiles import weighted_quantiles, with_buckets
 from tallyline.operators.ranking import ordered_position
@@ -422,6 +423,7 @@ def bar_scale(table: DataFrame, rows: Sequence[str], cols: Sequence[str], value:
 
 def to_wide(table: DataFrame, rows: Sequence[str], col: str, value: str, limit: int = DISPLAY_LIMIT) -> DataFrame:
     """Cells with one column per column key; refused when there are more than ``limit`` keys."""
+    table = cut(table)
     keys = [r[0] for r in table.filter(F.col("level") == COLUMN_TOTAL).select(col).limit(limit + 1).collect()]
     if len(keys) > limit:
         raise ValueError(f"more than {limit} column keys; use the long form")

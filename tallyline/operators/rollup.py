@@ -11,6 +11,7 @@ from pyspark.sql.types import NumericType
 from tallyline.functions.dates import month_name
 from tallyline.functions.numeric import safe_corr, safe_div
 from tallyline.functions.text import null_text
+from tallyline.lineage import cut
 from tallyline.operators.quantiles import weighted_quantiles, with_buckets
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -113,10 +114,17 @@ def date_pivot(
     date: str = "sales_date",
     dates: Sequence | None = None,
 ) -> DataFrame:
-    """Rows by location (and level), one column per date in date order."""
+    """Rows by location (and level), one column per date in date order.
+
+    Unless the dates are given, the roll-up is written once: the source is not scanned a second
+    time to find its dates.
+    """
     rows = [location or "region", *([level] if level else [])]
-    dates = date_columns(df, date) if dates is None else list(dates)
-    wide = df.groupBy(*rows).pivot(date, dates).agg(F.round(F.sum(measure), 4))
+    rolled = df.groupBy(*rows, date).agg(F.round(F.sum(measure), 4).alias("_sum"))
+    if dates is None:
+        rolled = cut(rolled)
+        dates = date_columns(rolled, date)
+    wide = rolled.groupBy(*rows).pivot(date, list(dates)).agg(F.first("_sum"))
     return wide.toDF(*rows, *[f"{d:%Y-%m-%d}" for d in dates])
 
 
