@@ -302,6 +302,10 @@ def decompose(
     ).withColumn("remainder", F.col("detrended") - F.col("seasonal")).drop("phase_mean", "detrended", "phase")
 
 
+# Variances below this share of the mean square are rounding noise, e.g. around a straight line.
+NOISE = 1e-24
+
+
 def seasonal_strength_decomp(
     df: DataFrame, key: str = "unique_id", date: str = "ds", value: str = "y", min_periods: int = 24,
 ) -> DataFrame:
@@ -309,9 +313,11 @@ def seasonal_strength_decomp(
     parts = decompose(linear_interpolate(df, key, date, value), key, date, value)
     measured = parts.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_periods"), F.var_samp(value).alias("variance"),
-        F.var_pop("seasonal").alias("s"), F.var_pop("remainder").alias("r"))
+        F.var_pop("seasonal").alias("s"), F.var_pop("remainder").alias("r"),
+        (F.avg(F.col(value) * F.col(value)) * NOISE).alias("noise"))
     enough = F.col("n_periods") >= min_periods
-    ratio = F.coalesce(safe_div("s", F.col("s") + F.col("r")), F.lit(0.0))
+    both = F.col("s") + F.col("r")
+    ratio = F.coalesce(F.when(both > F.col("noise"), safe_div("s", both)), F.lit(0.0))
     return measured.select(
         key,
         F.when(~enough, F.lit(None)).when(F.col("variance") == 0, F.lit(0.0)).otherwise(
@@ -325,10 +331,10 @@ def seasonal_strength_decomp(
 def seasonal_strength_alt(
     df: DataFrame, key: str = "unique_id", date: str = "ds", value: str = "y", min_periods: int = 24,
 ) -> DataFrame:
-    """1 - var(R) / var(S + R) on the completed calendar; NULL below two seasons."""
+    """1 - var(R) / var(S + R) on the completed calendar; NULL below two seasons or without variance."""
     complete = linear_interpolate(calendar_complete(df, key, date, value), key, date, value)
     parts = decompose(complete, key, date, value)
+    both = F.var_samp(F.col("seasonal") + F.col("remainder"))
+    usable = (F.count(F.lit(1)) >= min_periods) & (both > F.avg(F.col(value) * F.col(value)) * NOISE)
     return parts.groupBy(key).agg(
-        F.when(F.count(F.lit(1)) >= min_periods,
-               1 - safe_div(F.var_samp("remainder"), F.var_samp(F.col("seasonal") + F.col("remainder")))
-               ).alias("seasonal_strength"))
+        F.when(usable, 1 - safe_div(F.var_samp("remainder"), both)).alias("seasonal_strength"))

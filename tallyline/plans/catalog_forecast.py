@@ -15,6 +15,9 @@ _CB = ["country", "franchise"]
 _SKU = ["catalog_number"]
 _CB_SERIES = series_sql(_CB)
 _SKU_SERIES = series_sql(_SKU)
+# Dense at every scale, so that fitted values are no short decimals and rounding has no ties.
+_RB = ["region", "franchise"]
+_RB_SERIES = series_sql(_RB)
 _W = "WINDOW w AS (PARTITION BY unique_id ORDER BY ds)"
 
 
@@ -91,17 +94,17 @@ def _trend_sql(source: str, horizon: int) -> str:
         ON p.unique_id = f.unique_id AND p.m = month(f.ds)"""
 
 
-@query("linear_trend_fc", f"SELECT unique_id, ds, round(linear_trend, 1) AS linear_trend FROM ({_trend_sql(_CB_SERIES, 60)})")
+@query("linear_trend_fc", f"SELECT unique_id, ds, round(linear_trend, 1) AS linear_trend FROM ({_trend_sql(_RB_SERIES, 60)})")
 def _(t):
-    return rounded(forecast.linear_trend(long_series(t, _CB), 60), 1, "linear_trend")
+    return rounded(forecast.linear_trend(long_series(t, _RB), 60), 1, "linear_trend")
 
 
-_BOTH_SQL = f"""SELECT * FROM ({_naive_sql(_CB_SERIES, 24)}) FULL JOIN
-  (SELECT unique_id, ds, linear_trend FROM ({_trend_sql(_CB_SERIES, 36)})) USING (unique_id, ds)"""
+_BOTH_SQL = f"""SELECT * FROM ({_naive_sql(_RB_SERIES, 24)}) FULL JOIN
+  (SELECT unique_id, ds, linear_trend FROM ({_trend_sql(_RB_SERIES, 36)})) USING (unique_id, ds)"""
 
 
 def _both(t: Tables) -> DataFrame:
-    series = long_series(t, _CB)
+    series = long_series(t, _RB)
     return forecast.join_models(forecast.seasonal_naive(series, 24), forecast.linear_trend(series, 36))
 
 

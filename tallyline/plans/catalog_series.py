@@ -454,7 +454,7 @@ _DECOMP = """q AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PART
 
 
 @query("seasonal_strength_decomp", f"""WITH s AS ({_SKU_SERIES}), {_DECOMP.format(source='s')}
-  SELECT unique_id, CASE WHEN count(*) < 24 THEN NULL WHEN var_samp(y) = 0 THEN 0.0 ELSE
+  SELECT unique_id, CASE WHEN count(*) < 24 THEN NULL WHEN var_samp(y) = 0 OR var_pop(seas) + var_pop(rem) <= 1e-24 * avg(y * y) THEN 0.0 ELSE
     round(var_pop(seas) / (var_pop(seas) + var_pop(rem)), 6) END AS seasonal_strength, count(*) AS n_periods,
     CASE WHEN count(*) < 24 THEN 'insufficient_data' WHEN var_samp(y) = 0 THEN 'constant_series' ELSE 'success' END AS status
   FROM parts GROUP BY 1""")
@@ -473,7 +473,7 @@ _FILLED = f"""{_CALENDAR},
 
 
 @query("seasonal_strength_alt", f"""WITH s AS ({_CB_SERIES}), {_FILLED}, {_DECOMP.format(source='filled')}
-  SELECT unique_id, CASE WHEN count(*) >= 24 THEN round(1 - var_samp(rem) / nullif(var_samp(seas + rem), 0), 6) END AS seasonal_strength
+  SELECT unique_id, CASE WHEN count(*) >= 24 AND var_samp(seas + rem) > 1e-24 * avg(y * y) THEN round(1 - var_samp(rem) / nullif(var_samp(seas + rem), 0), 6) END AS seasonal_strength
   FROM parts GROUP BY 1""")
 def _(t):
     return rounded(features.seasonal_strength_alt(long_series(t, _CB)), 6, "seasonal_strength")

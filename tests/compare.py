@@ -1,12 +1,16 @@
 """Run registered queries beside their SQL in DuckDB and compare schema, rows and values.
 
     python -m tests.compare [folder] [name ...]
+
+COMPARE_CONF="key=value,..." adds session options: results must not depend on partitioning, join
+strategy or adaptive execution.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import sys
 import time
 
@@ -74,7 +78,8 @@ def main(argv: list[str]) -> int:
     from tallyline.session import build_session
 
     folder = argv[0] if argv else "/root/testdata/sf0.01"
-    spark = build_session("compare", "local[8]", 8, {"spark.driver.memory": "8g"})
+    options = dict(pair.split("=", 1) for pair in os.environ.get("COMPARE_CONF", "").split(",") if pair)
+    spark = build_session("compare", "local[8]", 8, {"spark.driver.memory": "8g", **options})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()

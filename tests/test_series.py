@@ -147,6 +147,12 @@ def test_decomposition_of_an_exact_pattern(make_series):
     assert features.seasonal_strength_alt(df).first()["seasonal_strength"] == pytest.approx(1.0)
 
 
+def test_a_straight_line_has_no_seasonal_strength(make_series):
+    df = make_series({"a": [85447.7211 - 1686.842154545 * t for t in range(34)]})
+    assert features.seasonal_strength_decomp(df).first()["seasonal_strength"] == 0.0
+    assert features.seasonal_strength_alt(df).first()["seasonal_strength"] is None
+
+
 def test_eligible_and_top_products(spark):
     df = spark.sql("""select 'a' catalog_number, timestamp_ntz'2024-05-01' sales_date, 20.0D y union all
       select 'a', timestamp_ntz'2022-01-01', 1.0D union all select 'b', timestamp_ntz'2024-05-01', 99.0D union all
