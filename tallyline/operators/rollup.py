@@ -94,16 +94,16 @@ def year_by_month(df: DataFrame, measure: str, date: str = "sales_date") -> Data
     ])
 
 
-def date_columns(df: DataFrame, date: str = "sales_date", limit: int = 2000) -> list:
-    """The distinct dates of a table in order, for use as pivot columns.
+def date_columns(df: DataFrame, date: str, limit: int = 2000) -> list[str]:
+    """The distinct dates of a table in order, as text, for use as pivot columns.
 
     They come to the driver because they become column names; the number is checked first by
     fetching at most one more than the limit.
     """
-    found = [r[0] for r in df.select(date).distinct().limit(limit + 1).collect() if r[0] is not None]
+    found = [r[0] for r in df.select(date).distinct().limit(limit + 1).collect()]
     if len(found) > limit:
         raise ValueError(f"more than {limit} dates; use the long form")
-    return sorted(found)
+    return sorted(d for d in found if d is not None)
 
 
 def date_pivot(
@@ -112,20 +112,20 @@ def date_pivot(
     measure: str,
     level: str | None = None,
     date: str = "sales_date",
-    dates: Sequence | None = None,
+    dates: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows by location (and level), one column per date in date order.
+    """Rows by location (and level), one column per day in date order, named yyyy-mm-dd.
 
-    Unless the dates are given, the roll-up is written once: the source is not scanned a second
-    time to find its dates.
+    Days are compared as text, so no literal depends on the time zone of the session. Unless the
+    days are given, the roll-up is written once: the source is not scanned again to find them.
     """
     rows = [location or "region", *([level] if level else [])]
-    rolled = df.groupBy(*rows, date).agg(F.round(F.sum(measure), 4).alias("_sum"))
+    day = F.col(date).cast("date").cast("string").alias("_day")
+    rolled = df.groupBy(*rows, day).agg(F.round(F.sum(measure), 4).alias("_sum"))
     if dates is None:
         rolled = cut(rolled)
-        dates = date_columns(rolled, date)
-    wide = rolled.groupBy(*rows).pivot(date, list(dates)).agg(F.first("_sum"))
-    return wide.toDF(*rows, *[f"{d:%Y-%m-%d}" for d in dates])
+        dates = date_columns(rolled, "_day")
+    return rolled.groupBy(*rows).pivot("_day", list(dates)).agg(F.first("_sum"))
 
 
 def seasonality_metrics(df: DataFrame, key: str = "unique_id", value: str = "y") -> DataFrame:

@@ -62,6 +62,8 @@ def forecast_merge(
     and gaps are filled within the series. With ``keep_unforecast`` series without a forecast stay too.
     """
     plain = history.drop(*models)
+    # Written once: it selects the series of the history and is merged with them.
+    forecasts = cut(forecasts)
     keys = [c for c in plain.columns if c in forecasts.columns and c != "cluster"]
     if "cluster" in forecasts.columns:
         forecasts = forecasts.withColumnRenamed("cluster", "_forecast_cluster")

@@ -161,6 +161,18 @@ def test_eligible_and_top_products(spark):
     assert [r["catalog_number"] for r in rollup.top_products(df, "y", 2).collect()] == ["b", "a"]
 
 
+def test_date_pivot_does_not_depend_on_the_time_zone(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "America/New_York")
+    df = other.sql("""select 'EU' region, timestamp_ntz'2024-01-01' sales_date, 1.0D v union all
+                      select 'EU', timestamp_ntz'2024-02-01 23:30:00', 2.0D union all select 'US', null, 4.0D""")
+    got = {r["region"]: r.asDict() for r in rollup.date_pivot(df, None, "v").collect()}
+    assert got["EU"] == {"region": "EU", "2024-01-01": 1.0, "2024-02-01": 2.0}
+    assert got["US"] == {"region": "US", "2024-01-01": None, "2024-02-01": None}
+    with pytest.raises(ValueError):
+        rollup.date_columns(df.select(F.col("sales_date").cast("string").alias("d")), "d", limit=1)
+
+
 def test_rollup_levels(spark):
     df = spark.createDataFrame([("x", "EU", 1.0, 2.0)], "franchise string, region string, a double, b double").withColumn(
         "sales_date", F.lit("2024-01-01").cast("timestamp_ntz"))
