@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tallyline.llm import packing, piece_rounds, token_cache
+from tallyline.llm import divergence, packing, piece_rounds, token_cache, url_models
 
 QUERIES = {
+    "op1_url_model_ratio": url_models.query,
     "op2_harmonic_packing": packing.query,
     "op3_piece_rounds": piece_rounds.query,
+    "op7_divergence_rules": divergence.query,
     "op10_token_counts": token_cache.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_divergence_rules": divergence.ORACLE,
+}
