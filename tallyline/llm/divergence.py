@@ -184,7 +184,7 @@ rep AS (SELECT r, count(DISTINCT p) AS n FROM twice GROUP BY r),
 langs(lang, list) AS (VALUES {words}),
 h AS (SELECT w.*, coalesce(rep.n, 0) AS n_repeat_words, [{chars}] AS c0,
         list_transform(coalesce(langs.list, list_transform(range({BINS}), lambda z: '')),
-                       q -> len(list_filter(words, lambda x: x = q))) AS k0
+                       lambda q: len(list_filter(words, lambda x: x = q))) AS k0
       FROM w LEFT JOIN rep USING (r) LEFT JOIN langs ON langs.lang = w.lang),
 h2 AS (SELECT *, list_concat(c0, [length(t) - list_sum(c0)]) AS c,
         list_concat(k0, [len(words) - list_sum(k0)]) AS k FROM h),
