@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tallyline.llm import divergence, license_scan, packing, piece_rounds, token_cache, url_models
+from tallyline.llm import divergence, license_scan, line_chunks, packing, piece_rounds, token_cache, url_models
 
 QUERIES = {
     "op1_url_model_ratio": url_models.query,
     "op2_harmonic_packing": packing.query,
     "op3_piece_rounds": piece_rounds.query,
+    "op4_line_chunks": line_chunks.query,
     "op7_divergence_rules": divergence.query,
     "op8_license_scan": license_scan.query,
     "op10_token_counts": token_cache.query,
 }
 ORACLES: dict[str, str] = {
+    "op4_line_chunks": line_chunks.ORACLE,
     "op7_divergence_rules": divergence.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
 }
