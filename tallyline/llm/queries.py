@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyline.llm import divergence, license_scan, line_chunks, packing, piece_rounds, token_cache, url_models
+from tallyline.llm import divergence, license_scan, line_chunks, ngram_join, packing, piece_rounds, token_cache, url_models
 
 QUERIES = {
     "op1_url_model_ratio": url_models.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_chunks": line_chunks.query,
     "op7_divergence_rules": divergence.query,
     "op8_license_scan": license_scan.query,
+    "op9_ngram_join": ngram_join.query,
     "op10_token_counts": token_cache.query,
 }
 ORACLES: dict[str, str] = {
