@@ -1,21 +1,63 @@
-"""The training-data pipeline: stages over the documents table, each written and read again."""
+"""The training-data pipeline: stages over the documents table, each written and read again.
+
+All stages but the last return the columns they were given. ``n_chars``, where there is such a
+column, follows the text. Rows that share an id are one document to the near-duplicate stage and stay
+or go together; rows without an id stay. An empty table passes through every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyline.llm import packing
+from tallyline.llm import divergence, line_chunks, ngram_join, packing, pii_crf
 from tallyline.llm.common import table, vocabulary_path, written
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars as the length of the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie near the reference of their language."""
+    rows = docs.select("doc_id", "lang", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return divergence.judge(rows, keep=["_row"]).filter("kept").select("_row.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines are taken out of all texts but the first."""
+    return _counted(line_chunks.dedup(docs).select(*[f"`{c}`" for c in docs.columns]))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id."""
+    linked = ngram_join.link(docs)
+    gone = linked.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone"))
+    return docs.join(written(gone, "gone").hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind."""
+    return _counted(pii_crf.redact(docs))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of packed sequences, with their ids."""
     return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality", quality),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
 
-# No single SQL statement: stages of the list tokenize and apply a trained tagger.
+# No single SQL statement: stages of the list tokenize, search components and apply a trained tagger.
 ORACLE_SQL = None
 
 

@@ -63,7 +63,8 @@ def stretch(lines: Column, start: Column, end: Column) -> Column:
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with repeated chunks taken out of the text, and n_lines and n_removed (lines)."""
-    lines_name, removed_name, n_lines, n_removed = unused(docs, "_lines", "_removed", "n_lines", "n_removed")
+    lines_name, removed_name, n_lines, n_removed, of_id, of_text = unused(
+        docs, "_lines", "_removed", "n_lines", "n_removed", "_d", "_t")
     text, key = whole_text(text_column), F.xxhash64(whole_text(text_column))
     pieces = docs.select(
         F.col(id_column).alias("_doc"), key.alias("_text_key"), F.split(text, "\n").alias("_lines"))
@@ -102,10 +103,11 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         .filter(F.col("_part") == F.col("_text"))
         .select(F.col("_doc").alias("_d"), F.col("_text_key").alias("_t"), F.struct("_start", "_end").alias("_place"))
     )
-    taken = written(equal, "removed").groupBy("_d", "_t").agg(F.collect_set("_place").alias(removed_name))
+    taken = written(equal, "removed").groupBy(
+        F.col("_d").alias(of_id), F.col("_t").alias(of_text)).agg(F.collect_set("_place").alias(removed_name))
     whole = docs.withColumn(lines_name, F.split(text, "\n"))
     joined = whole.join(
-        taken.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col("_d")) & (key == F.col("_t")), "left")
+        taken.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col(of_id)) & (key == F.col(of_text)), "left")
     gone = F.flatten(F.transform(removed_name, lambda x: F.sequence(x["_start"], x["_end"])))
     kept = let(F.col(lines_name), lambda ls: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)), "\n"))

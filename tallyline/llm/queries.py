@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from tallyline.llm import divergence, license_scan, line_chunks, ngram_join, packing, piece_rounds, pivot_search, token_cache, url_models
+from tallyline.llm import (
+    divergence,
+    license_scan,
+    line_chunks,
+    ngram_join,
+    packing,
+    pii_crf,
+    piece_rounds,
+    pivot_search,
+    token_cache,
+    url_models,
+)
 
 QUERIES = {
     "op1_url_model_ratio": url_models.query,
     "op2_harmonic_packing": packing.query,
     "op3_piece_rounds": piece_rounds.query,
     "op4_line_chunks": line_chunks.query,
+    "op5_personal_data": pii_crf.query,
     "op6_pivot_search": pivot_search.query,
     "op7_divergence_rules": divergence.query,
     "op8_license_scan": license_scan.query,
