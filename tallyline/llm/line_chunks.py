@@ -26,7 +26,6 @@ from tallyline.llm.common import let, table, unused, whole_text, written
 
 WINDOW = 2
 BASE, MODULUS = 1_000_003, 2_147_483_647
-FAR = MODULUS + 1  # beyond every rolling hash
 
 
 def line_hash(line: Column) -> Column:
@@ -47,8 +46,7 @@ def chunk_bounds(lines: Column) -> Column:
     def ends(r: Column) -> Column:
         last = F.size(r) - 1
         return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (
-            (F.get(r, i) < F.coalesce(F.get(r, i - 1), F.lit(FAR)))
-            & (F.get(r, i) <= F.coalesce(F.get(r, i + 1), F.lit(FAR)))))
+            (i > 0) & (i < last - 1) & (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) <= F.get(r, i + 1))))
 
     def bounds(e: Column) -> Column:
         return F.transform(e, lambda x, k: F.struct(
@@ -129,7 +127,7 @@ WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls
 l AS (SELECT doc_id, text, unnest(ls) AS line, unnest(range(len(ls))) AS i, len(ls) AS n FROM d),
 h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM l),
 r AS (SELECT *, (h + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * {BASE}) % {MODULUS} AS r FROM h),
-b AS (SELECT *, i = n - 1 OR (r < coalesce(lag(r) OVER w, {FAR}) AND r <= coalesce(lead(r) OVER w, {FAR})) AS ends
+b AS (SELECT *, i = n - 1 OR (i > 0 AND i < n - 2 AND r < lag(r) OVER w AND r <= lead(r) OVER w) AS ends
       FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM b),

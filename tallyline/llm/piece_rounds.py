@@ -174,6 +174,10 @@ class PieceModel:
                 new_rank, new_merged = self._ranks(new_symbols[keep], new_segment)
                 many = np.bincount(word[places], minlength=len(best)) > 1
                 early = new_word[(new_rank <= best[new_word]) & many[new_word]]
+                # Between two merges side by side, the left one meets the first symbol of the right one.
+                side = places[:-1][(np.diff(places) == 2) & (word[places[:-1]] == word[places[1:]])]
+                met, at = self.pairs.find(merged[side] * self.width + symbols[side + 2])
+                early = np.append(early, word[side[met]][self.rank[at] <= best[word[side[met]]]])
                 if not len(early):
                     break
                 # A remaining pair as good as the merged one: take these words one merge at a time.
