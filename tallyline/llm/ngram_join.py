@@ -26,7 +26,6 @@ columns are left out.
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,55 +146,54 @@ def forest(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, percent: int,
 # --- steps --------------------------------------------------------------------------------------
 
 
-def profiles(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bits) of every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [ngram_set(t, n) for t in frame["_text"]]
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"].array, "n_shingles": [len(s) for s in sets],
-                "node": [node_of(s) for s in sets], "bits": [signature(s) for s in sets],
-            })
+MADE_SCHEMA = (
+    "n_shingles long, node long, bits binary, "  # of one row of the input
+    "shard int, grams binary, owners binary, nodes binary, sizes binary"  # of one batch and shard
+)
 
-    return docs.select("doc_id", whole_text().alias("_text")).mapInPandas(
-        profile, f"doc_id {kind}, n_shingles long, node long, bits binary")
 
+def profiles_and_postings(docs: DataFrame, n: int, percent: int, shards: int) -> DataFrame:
+    """A profile per row, and per incoming batch and shard one row of packed prefix n-grams."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-def postings(docs: DataFrame, n: int, percent: int, shards: int) -> DataFrame:
-    """Packed prefix n-grams: one row per incoming batch and shard."""
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            seen: dict[int, int] = {}
-            grams, owner, sizes = [], [], []
-            for text in frame["_text"]:
-                s = ngram_set(text, n)
-                node = node_of(s)
-                if not len(s) or node in seen:
-                    continue
-                seen[node] = len(seen)
+            sets = [ngram_set(t, n) for t in frame["_text"]]
+            nodes = [node_of(s) for s in sets]
+            yield pd.DataFrame({
+                "doc_id": frame["doc_id"].array, "n_shingles": [len(s) for s in sets], "node": nodes,
+                "bits": [signature(s) for s in sets]}).reindex(columns=columns)
+            first = {node: i for i, node in reversed(list(enumerate(nodes))) if len(sets[i])}
+            if not first:
+                continue
+            grams, owner = [], []
+            for k, i in enumerate(first.values()):
+                s = sets[i]
                 keep = len(s) + percent * len(s) // -100 + 1
                 ranked = _mix(s * ODD)  # an order that has nothing to do with the shard
                 grams.append(s[np.argpartition(ranked, keep - 1)[:keep]] if keep < len(s) else s)
-                owner.append(np.full(keep, seen[node], dtype=np.int32))
-                sizes.append(len(s))
-            if not seen:
-                continue
+                owner.append(np.full(keep, k, dtype=np.int32))
             flat, who = np.concatenate(grams), np.concatenate(owner)
-            nodes, size = np.fromiter(seen, dtype=np.int64, count=len(seen)), np.array(sizes, dtype=np.int64)
+            names = np.fromiter(first, dtype=np.int64, count=len(first))
+            size = np.array([len(sets[i]) for i in first.values()], dtype=np.int64)
             shard = ((flat >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             flat, who, shard = flat[order], who[order], shard[order]
             rows = []
             for part in np.split(np.arange(len(flat)), np.flatnonzero(np.diff(shard)) + 1):
                 members, local = np.unique(who[part], return_inverse=True)
-                rows.append((int(shard[part[0]]), flat[part].astype("<u4").tobytes(), local.astype("<u2" if len(members) < 65536 else "<u4").tobytes(),
-                             nodes[members].tobytes(), size[members].tobytes()))
-            yield pd.DataFrame(rows, columns=["shard", "grams", "owners", "nodes", "sizes"])
+                rows.append((int(shard[part[0]]), flat[part].astype("<u4").tobytes(),
+                             local.astype("<u2" if len(members) < 65536 else "<u4").tobytes(),
+                             names[members].tobytes(), size[members].tobytes()))
+            yield pd.DataFrame(rows, columns=["shard", "grams", "owners", "nodes", "sizes"]).reindex(columns=columns)
+
+    columns = ["doc_id", "n_shingles", "node", "bits", "shard", "grams", "owners", "nodes", "sizes"]
+
+    def typed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in deal(frames):
+            yield frame.astype({"n_shingles": "Int64", "node": "Int64", "shard": "Int32"})
 
-    return docs.select(whole_text().alias("_text")).mapInPandas(
-        deal, "shard int, grams binary, owners binary, nodes binary, sizes binary")
+    return docs.select("doc_id", whole_text().alias("_text")).mapInPandas(typed, f"doc_id {kind}, {MADE_SCHEMA}")
 
 
 def tiles(dealt: DataFrame, percent: int, block: int) -> DataFrame:
@@ -285,19 +283,19 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, component, grams binary) for the classes of ``wanted`` (node, doc, component)."""
+    """(tile, node, grams binary) for the classes of ``wanted`` (node, doc, tiles)."""
     def arrays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = [ngram_set(t, n) for t in frame["_text"]]
             # Another row may carry the same id: only the wanted set passes.
             right = [node_of(s) == node for s, node in zip(sets, frame["node"])]
             yield pd.DataFrame({
-                "node": frame["node"], "component": frame["component"], "grams": [s.tobytes() for s in sets]})[right]
+                "node": frame["node"], "tiles": frame["tiles"], "grams": [s.tobytes() for s in sets]})[right]
 
     texts = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("_text"))
     # The wanted classes are narrow rows and are built into a table per partition; texts stream past.
     return texts.join(wanted.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc"))).mapInPandas(
-        arrays, "node long, component long, grams binary")
+        arrays, "node long, tiles array<long>, grams binary").select(F.explode("tiles").alias("tile"), "node", "grams")
 
 
 def verified(sets: DataFrame, percent: int) -> DataFrame:
@@ -313,48 +311,52 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
     return sets.repartition("tile").sortWithinPartitions("tile").mapInPandas(check, "u long, v long")
 
 
-def link(docs: DataFrame, n: int = 5, percent: int = 75, block: int = 2048, shard_rows: int = 1_500_000, set_block: int = 512) -> DataFrame:
+def link(docs: DataFrame, n: int = 5, percent: int = 75, block: int = 2048, set_block: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id); component_id is the smallest id that links reach."""
-    spark = docs.sparkSession
-    profile = written(profiles(docs, n), "profiles")
-    nonempty = profile.filter("n_shingles > 0")
-    total = nonempty.agg(F.sum("n_shingles")).first()[0] or 0
-    shards = max(spark.sparkContext.defaultParallelism, math.ceil(total * (100 - percent) / 100 / shard_rows))
+    # The number of shards follows the input, so that a shard's n-grams fit a task at every size.
+    shards = max(docs.sparkSession.sparkContext.defaultParallelism, 2 * docs.rdd.getNumPartitions())
+    made = written(profiles_and_postings(docs, n, percent, shards), "ngrams")
+    profile = made.filter("shard IS NULL").select("doc_id", "n_shingles", "node")
+    dealt = made.filter("shard IS NOT NULL").select("shard", "grams", "owners", "nodes", "sizes")
     classes = written(
-        nonempty.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")),
+        profile.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n_shingles")),
         "classes",
     )
-    tile_rows = written(tiles(postings(docs, n, percent, shards), percent, block), "tiles").distinct()
-    members = tile_rows.join(classes.select("node", "n_shingles", "bits"), "node")
-    near = written(candidates(members, percent).distinct(), "candidates")
+    bits = made.filter("n_shingles > 0").select("node", "n_shingles", "bits")
+    tile_rows = written(tiles(dealt, percent, block), "tiles").distinct()
+    known = tile_rows.select("node").distinct().join(bits, "node").dropDuplicates(["node"])
+    near = written(candidates(tile_rows.join(written(known, "bits"), "node"), percent).distinct(), "candidates")
+
     groups = written(components(near).select(F.col("id").alias("node"), "component"), "groups")
-    wanted = groups.join(classes.select("node", "doc"), "node").select("node", "doc", "component")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / set_block).cast("int").alias("_blocks"), F.min("node").alias("_pivot"))
-    sets = written(sets_of(docs, wanted, n), "sets")
-    blocked = sets.join(written(sizes, "group-sizes"), "component").withColumn(
-        "_block", F.pmod(F.xxhash64("node"), F.col("_blocks").cast("long")).cast("int"))
+    sizes = groups.groupBy("component").agg(
+        F.ceil(F.count(F.lit(1)) / set_block).cast("int").alias("_blocks"), F.min("node").alias("_pivot"))
+    placed = (
+        groups.join(written(sizes, "group-sizes"), "component").join(classes.select("node", "doc"), "node")
+        .withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks").cast("long")).cast("int"))
+    )
     # The pivot joins every block of its component.
-    spots = F.when(F.col("node") == F.col("_pivot"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("_block"))
-    first = written(verified(
-        blocked.withColumn("_b", F.explode(spots)).select(F.xxhash64("component", "_b").alias("tile"), "node", "grams"), percent), "links")
-    reached = written(components(first).select(F.col("id").alias("node"), F.col("component").alias("_reached")), "reached")
+    blocks = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    spots = F.when(F.col("node") == F.col("_pivot"), blocks).otherwise(F.array("_block"))
+    placed = written(placed.withColumn("tiles", F.transform(spots, lambda b: F.xxhash64("component", b))), "placed")
+    links = written(verified(sets_of(docs, placed.select("node", "doc", "tiles"), n), percent), "links")
+    reached = written(components(links).select(F.col("id").alias("node"), F.col("component").alias("_reached")), "reached")
+
     # Components of several blocks that the first pass left in several parts: compare their blocks.
-    state = blocked.select("component", "node", "_blocks").filter("_blocks > 1").join(reached, "node", "left")
-    open_ = state.groupBy("component").agg(
-        F.min(F.coalesce("_reached", "node")).alias("_a"), F.max(F.coalesce("_reached", "node")).alias("_b")).filter("_a < _b")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1),
-                        lambda j: F.struct(F.least(j, F.col("_block")).alias("lo"), F.greatest(j, F.col("_block")).alias("hi")))
-    second = verified(
-        blocked.join(written(open_.select("component"), "open"), "component")
-        .withColumn("_p", F.explode(pairs)).filter("_p.lo < _p.hi")
-        .select(F.xxhash64("component", "_p.lo", "_p.hi").alias("tile"), "node", "grams"), percent)
-    final = components(written(first.union(second).distinct(), "all-links"))
-    named = written(
-        classes.select("node", "doc").join(final.select(F.col("id").alias("node"), F.col("component").alias("_c")), "node", "left")
-        .withColumn("_c", F.coalesce("_c", "node")), "named")
+    parts = placed.filter("_blocks > 1").join(reached, "node", "left").groupBy("component").agg(
+        F.min(F.coalesce("_reached", "node")).alias("_a"), F.max(F.coalesce("_reached", "node")).alias("_b"))
+    open_ = written(parts.filter("_a < _b").select("component"), "open")
+    if not open_.isEmpty():
+        pairs = F.transform(F.filter(blocks, lambda b: b != F.col("_block")), lambda b: F.xxhash64(
+            "component", F.least(b, F.col("_block")), F.greatest(b, F.col("_block"))))
+        more = placed.join(open_, "component").select("node", "doc", pairs.alias("tiles"))
+        links = written(links.union(verified(sets_of(docs, more, n), percent)).distinct(), "all-links")
+        reached = written(components(links).select(F.col("id").alias("node"), F.col("component").alias("_reached")), "all-reached")
+
+    named = written(classes.select("node", "doc").join(reached, "node", "left").withColumn(
+        "_c", F.coalesce("_reached", "node")), "named")
     smallest = named.groupBy("_c").agg(F.min("doc").alias("component_id"))
     label = written(named.join(written(smallest, "smallest"), "_c").select(F.col("node").alias("_node"), "component_id"), "labels")
-    joined = profile.select("doc_id", "n_shingles", "node").join(label, F.col("node") == F.col("_node"), "left")
+    joined = profile.join(label, F.col("node") == F.col("_node"), "left")
     return joined.select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
