@@ -103,9 +103,10 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     )
     taken = written(equal, "removed").groupBy(
         F.col("_d").alias(of_id), F.col("_t").alias(of_text)).agg(F.collect_set("_place").alias(removed_name))
-    whole = docs.withColumn(lines_name, F.split(text, "\n"))
-    joined = whole.join(
-        taken.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col(of_id)) & (key == F.col(of_text)), "left")
+    # Lines are cut after the exchange, so that texts move once.
+    joined = docs.join(
+        taken.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col(of_id)) & (key == F.col(of_text)), "left"
+    ).withColumn(lines_name, F.split(text, "\n"))
     gone = F.flatten(F.transform(removed_name, lambda x: F.sequence(x["_start"], x["_end"])))
     kept = let(F.col(lines_name), lambda ls: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)), "\n"))
