@@ -88,13 +88,34 @@ def signature(grams: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(signatures: list[bytes]) -> np.ndarray:
-    """All signatures as rows of 64-bit words, folded to the smallest number of buckets."""
-    width = min(map(len, signatures)) // 8
-    rows = np.zeros((len(signatures), width), dtype=np.uint64)
-    for i, s in enumerate(signatures):
-        rows[i] = np.bitwise_xor.reduce(np.frombuffer(s, dtype="<u8").reshape(-1, width), axis=0)
-    return rows
+class Signatures:
+    """Signatures of a tile by number of buckets; two of them are compared at the smaller number."""
+
+    def __init__(self, raw: list[bytes]):
+        self.width = np.array([len(s) // 8 for s in raw])
+        self.row = np.zeros(len(raw), dtype=np.int64)
+        self.rows: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            members = np.flatnonzero(self.width == w)
+            self.row[members] = np.arange(len(members))
+            self.rows[w, w] = np.frombuffer(b"".join(raw[i] for i in members), dtype="<u8").reshape(-1, w)
+
+    def folded(self, width: int, to: int) -> np.ndarray:
+        """All signatures of one width, folded: parities of buckets that fall together add up."""
+        if (width, to) not in self.rows:
+            rows = self.rows[width, width]
+            self.rows[width, to] = np.bitwise_xor.reduce(rows.reshape(len(rows), width // to, to), axis=1)
+        return self.rows[width, to]
+
+    def differing(self, u: int, others: np.ndarray) -> np.ndarray:
+        """Number of buckets in which the parities of ``u`` and each of the others differ."""
+        own, out = int(self.width[u]), np.zeros(len(others), dtype=np.int64)
+        widths = self.width[others]
+        for w in np.unique(widths).tolist():
+            pick, to = np.flatnonzero(widths == w), min(w, own)
+            different = self.folded(w, to)[self.row[others[pick]]] ^ self.folded(own, to)[self.row[u]]
+            out[pick] = np.bitwise_count(different).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def may_link(a: np.ndarray, b: int, differing: np.ndarray, percent: int) -> np.ndarray:
@@ -113,10 +134,10 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def forest(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, percent: int, sets: list[np.ndarray] | None = None):
+def forest(nodes: np.ndarray, sizes: np.ndarray, bits: list[bytes], percent: int, sets: list[np.ndarray] | None = None):
     """Edges that connect what links (with ``sets``) or may link (without), by a search in size order."""
     order = np.argsort(sizes, kind="stable")
-    sizes, bits = sizes[order].astype(np.int64), bits[order]
+    sizes, signatures = sizes[order].astype(np.int64), Signatures([bits[i] for i in order])
     left = np.ones(len(order), dtype=bool)
     edges: list[tuple[int, int]] = []
     for seed in range(len(order)):
@@ -131,8 +152,7 @@ def forest(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, percent: int,
             near = low + np.flatnonzero(left[low:high])
             if not len(near):
                 continue
-            differing = np.bitwise_count(bits[near] ^ bits[u]).sum(axis=1, dtype=np.int64)
-            near = near[may_link(sizes[near], int(sizes[u]), differing, percent)]
+            near = near[may_link(sizes[near], int(sizes[u]), signatures.differing(u, near), percent)]
             if sets is not None:
                 one = sets[order[u]]
                 same = np.array([common(one, sets[order[v]]) for v in near], dtype=np.int64)
@@ -273,7 +293,7 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges: list[tuple[int, int]] = []
         for group in _by_group(frames, "tile"):
-            edges += forest(group["node"].to_numpy(), group["n_shingles"].to_numpy(), folded(group["bits"].tolist()), percent)
+            edges += forest(group["node"].to_numpy(), group["n_shingles"].to_numpy(), group["bits"].tolist(), percent)
             if len(edges) > 50_000:
                 yield pd.DataFrame(edges, columns=["u", "v"]).drop_duplicates()
                 edges = []
@@ -305,7 +325,7 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
             group = group.drop_duplicates("node")
             arrays = [np.frombuffer(x, dtype=np.uint64) for x in group["grams"]]
             edges = forest(group["node"].to_numpy(), np.array([len(x) for x in arrays]),
-                           folded([signature(x) for x in arrays]), percent, arrays)
+                           [signature(x) for x in arrays], percent, arrays)
             yield pd.DataFrame(edges, columns=["u", "v"], dtype=np.int64)
 
     return sets.repartition("tile").sortWithinPartitions("tile").mapInPandas(check, "u long, v long")

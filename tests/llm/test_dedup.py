@@ -78,9 +78,10 @@ def test_bounds_and_intersections():
     for _ in range(200):
         a, b = (np.unique(rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
         assert ngram_join.common(a, b) == len(set(a.tolist()) & set(b.tolist()))
-        bits = ngram_join.folded([ngram_join.signature(a), ngram_join.signature(b)])
-        differing = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+        bits = ngram_join.Signatures([ngram_join.signature(a), ngram_join.signature(b)])
+        differing = int(bits.differing(0, np.array([1]))[0])
         assert differing <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert differing == int(bits.differing(1, np.array([0]))[0])
 
 
 def test_ngram_join_edges(spark):
