@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where neither that setting nor a
-    checkpoint folder exists (tests on one machine) is a temporary folder created.
+    A cluster names it in ``spark.checkpoint.dir``. Where neither that setting nor a checkpoint
+    folder exists, a session on one machine gets a temporary folder; any other session is
+    refused, since its executors could not read what the driver's disk holds.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,6 +23,8 @@ def checkpoint_root(spark: SparkSession) -> str:
             context.setCheckpointDir(root)
         return root
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyline-"))
     return context.getCheckpointDir()
 

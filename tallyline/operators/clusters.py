@@ -59,8 +59,17 @@ def vector_table(df: DataFrame, features: Sequence[str], key: str = "unique_id")
     return cut(df.select(key, array_to_vector(F.array(*[F.col(f).cast("double") for f in features])).alias("vector")))
 
 
-def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int = 20):
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="vector", predictionCol="cluster").fit(vectors)
+RESTARTS = 10
+
+
+def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int = 20, restarts: int = RESTARTS):
+    """The best of several starts by training cost; the first of equal ones."""
+    best = None
+    for i in range(restarts):
+        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="vector", predictionCol="cluster").fit(vectors)
+        if best is None or model.summary.trainingCost < best.summary.trainingCost:
+            best = model
+    return best
 
 
 def best_k(vectors: DataFrame, last_k: int, default: int = 2, seed: int = SEED) -> tuple[int, float]:
@@ -95,13 +104,13 @@ def feature_clusters(
 ) -> DataFrame:
     """History with a cluster label per series from its features up to one month before ``as_of``.
 
-    Fewer than four series with features leave the history unchanged.
+    With fewer than four series that have features, every label is NULL.
     """
     train = training_cutoff(history, as_of, 1, date=date)
     table = cut(ts_features(train, key=key, date=date, value=value))
     n = table.count()
     if n < 4:
-        return history
+        return history.withColumn("cluster", F.lit(None).cast("string"))
     clean = table.select(key, *[finite_or_zero(f).alias(f) for f in TS_FEATURES])
     vectors = vector_table(standardise(clean, TS_FEATURES), TS_FEATURES, key)
     k, _ = best_k(vectors, min(max_clusters, n // 2 - 1), seed=seed)

@@ -6,14 +6,16 @@ a NULL key of the data reads 'null').
 
 Totals are grouping sets. Expanding the source rows to four grouping sets would multiply the input,
 so aggregators whose parts can be merged are computed per cell first and only the cells are
-expanded. Distinct counts and quantiles expand a table of distinct values; only the sample
-variance expands source rows, since its stable merge is inside Spark's aggregate.
+expanded. Distinct counts expand a table of distinct values; quantiles roll up bucket sizes and
+expand values only against the buckets that a total needs; variances merge from cells. Only a
+caller's own aggregate is applied to source rows for every grouping set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +24,12 @@ from tallyline.functions.numeric import is_finite, number_of, safe_div, score_bo
 from tallyline.functions.text import custom_order, natural_key, null_text
 from tallyline.lineage import cut
 from tallyline.operators.filters import derive
-from tallyline.operators.quantiles import weighted_quantiles, with_buckets
+from tallyline.operators.quantiles import in_buckets, ranked_quantiles, wanted_buckets, with_buckets
 from tallyline.operators.ranking import ordered_position
 
 Sorter = Sequence[str] | Callable[[Column], Column]
 
 CELL, ROW_TOTAL, COLUMN_TOTAL, GRAND_TOTAL = 0, 1, 2, 3
-DISPLAY_LIMIT = 500
 
 
 def sort_key(attribute: Column, sorter: Sorter | None = None) -> Column:
@@ -120,8 +121,12 @@ AVERAGE = Merged(
 )
 
 
-def _spread(aggregate: Callable) -> Direct:
-    return Direct(1, lambda v: F.when(F.count(v[0].number) <= 1, F.lit(0.0)).otherwise(aggregate(v[0].number)))
+@dataclass(frozen=True)
+class Spread:
+    """A function of the sample variance, merged from the size, mean and squared deviations of cells."""
+
+    finish: Callable[[Column], Column]
+    inputs: int = 1
 
 
 def _bound(upper: bool) -> Merged:
@@ -137,11 +142,11 @@ AGGREGATORS = {
             F.array_sort(F.collect_list(F.struct(key.alias("key"), F.coalesce(value, F.lit("")).alias("value")))),
             lambda e: e["value"]), ", ")),
     "Sum": SUM,
-    "Integer Sum": Merged(1, _sum_parts, lambda p: F.round(_zero(p["s0"]), 0)),
+    "Integer Sum": SUM,  # another display of the same value
     "Average": AVERAGE,
     "Median": Quantile(0.5),
-    "Sample Variance": _spread(F.var_samp),
-    "Sample Standard Deviation": _spread(F.stddev_samp),
+    "Sample Variance": Spread(lambda variance: variance),
+    "Sample Standard Deviation": Spread(F.sqrt),
     "Minimum": Merged(1, lambda v: {"e": (F.min(v[0].number), F.min)}, lambda p: p["e"]),
     "Maximum": Merged(1, lambda v: {"e": (F.max(v[0].number), F.max)}, lambda p: p["e"]),
     "First": _extreme(F.min),
@@ -178,6 +183,15 @@ class _Frame:
         cols = F.grouping(self.cols[0]) if self.cols else F.lit(1)
         return (rows * 2 + cols).cast("int").alias("level")
 
+    def levels(self) -> list[tuple[int, list[str]]]:
+        """The grouping sets as (level, keys kept)."""
+        sets = {CELL: self.keys, ROW_TOTAL: self.rows, COLUMN_TOTAL: self.cols, GRAND_TOTAL: []}
+        if not self.cols:
+            return [(ROW_TOTAL, sets[ROW_TOTAL]), (GRAND_TOTAL, [])]
+        if not self.rows:
+            return [(COLUMN_TOTAL, sets[COLUMN_TOTAL]), (GRAND_TOTAL, [])]
+        return list(sets.items())
+
     def grouped(self, df: DataFrame, extra: Sequence[str] = ()):
         """Grouping sets (rows, cols), (rows), (cols), (), each with the extra keys."""
         sets = {tuple([*r, *c]) for r in (self.rows, []) for c in (self.cols, [])}
@@ -249,10 +263,15 @@ def _quantile(frame: _Frame, source: DataFrame, q: float, values: Mapping[str, V
     # Counts of distinct values per cell, NULL included: a cell without numbers still is a cell.
     counts = with_buckets(pairs.groupBy(*frame.keys, "_name", F.col("_value").alias("value")).agg(
         F.count(F.lit(1)).alias("_n")))
-    bucket = [c for c in counts.columns if c == "bucket"]
-    levels = frame.grouped(counts.filter(F.col("value").isNotNull()), ("_name", "value", *bucket)).agg(
-        frame.level(), F.sum("_n").alias("weight"))
-    found = weighted_quantiles(levels, [*frame.keys, "level", "_name"], {"_result": q}, "neighbours")
+    known, wanted = counts.filter(F.col("value").isNotNull()), {"_result": q}
+    # Only bucket sizes are rolled up to the totals; a total then meets the values of its bucket alone.
+    cells = known.groupBy(*frame.keys, "_name", "bucket").agg(F.sum("_n").alias("_n"))
+    sizes = frame.grouped(cells, ("_name", "bucket")).agg(frame.level(), F.sum("_n").alias("bucket_rows"))
+    groups = [*frame.keys, "level", "_name"]
+    kept = cut(wanted_buckets(sizes, groups, wanted, "neighbours"))
+    inside = in_buckets(_expanded(frame, known.withColumnRenamed("_n", "weight")), kept, groups)
+    inside = inside.groupBy(*groups, "bucket", "value", "n", "before").agg(F.sum("weight").alias("weight"))
+    found = ranked_quantiles(inside, groups, wanted, "neighbours")
     every = frame.grouped(counts.select(*frame.keys).distinct()).agg(frame.level())
     wide = _by_name(frame, found, list(values))
     on = every["level"] == wide["level"]
@@ -262,6 +281,43 @@ def _quantile(frame: _Frame, source: DataFrame, q: float, values: Mapping[str, V
         *[every[k] for k in frame.keys], every["level"], *[wide[n] for n in values])
 
 
+def _expanded(frame: _Frame, df: DataFrame) -> DataFrame:
+    """Rows of cells once per grouping set, with the keys that the set sums over as NULL."""
+    parts = [
+        df.withColumns({k: F.lit(None).cast("string") for k in frame.keys if k not in keys}).withColumn("level", F.lit(level).cast("int"))
+        for level, keys in frame.levels()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _spreads(frame: _Frame, source: DataFrame, finish: Callable[[Column], Column], values: Mapping[str, Value]) -> DataFrame:
+    """Sample variances: deviations within each cell plus those of the cell's mean from the total's mean.
+
+    Source rows are aggregated once; both terms are differences from a mean, so nothing cancels.
+    """
+    cells = cut(source.groupBy(*frame.keys).agg(*[c for n, v in values.items() for c in (
+        F.count(v.number).alias(f"{n}__n"), F.coalesce(F.avg(v.number), F.lit(0.0)).alias(f"{n}__mean"),
+        F.coalesce(F.var_pop(v.number) * F.count(v.number), F.lit(0.0)).alias(f"{n}__within"))]))
+    rows = _expanded(frame, cells) if frame.keys else cells.withColumn("level", F.lit(GRAND_TOTAL))
+    keys = [*frame.keys, "level"]
+    means = rows.groupBy(*keys).agg(*[c for n in values for c in (
+        F.sum(f"{n}__n").alias(f"{n}__all"),
+        safe_div(F.sum(F.col(f"{n}__n") * F.col(f"{n}__mean")), F.sum(f"{n}__n")).alias(f"{n}__centre"))])
+    means = means.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in means.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    def squared(n: str) -> Column:
+        off = F.col(f"{n}__mean") - F.col(f"{n}__centre")
+        return F.sum(F.col(f"{n}__within") + F.col(f"{n}__n") * off * off)
+
+    summed = rows.join(means, on).groupBy(*keys).agg(*[c for n in values for c in (
+        F.max(f"{n}__all").alias(f"{n}__all"), squared(n).alias(f"{n}__squares"))])
+    return summed.select(*keys, *[
+        F.when(F.col(f"{n}__all") <= 1, F.lit(0.0)).otherwise(
+            finish(safe_div(f"{n}__squares", F.col(f"{n}__all") - 1))).alias(n) for n in values])
+
+
 def crosstab(
     df: DataFrame,
     rows: Sequence[str] = (),
@@ -320,6 +376,8 @@ def crosstab(
         table = _merged(frame, source, sets)
         if isinstance(chosen, Share):
             table = _shared(frame, table, list(sets), chosen.scope)
+    elif isinstance(base, Spread):
+        table = _spreads(frame, source, base.finish, named)
     elif isinstance(base, Direct):
         columns = ([base.column([v]).alias(n) for n, v in named.items()] if one_input
                    else [base.column(inputs).alias("value")])
@@ -421,10 +479,6 @@ def bar_scale(table: DataFrame, rows: Sequence[str], cols: Sequence[str], value:
         "bar_base": F.when(shown, base), "bar_height": F.when(shown, scale(F.abs(x)))}).drop("_min", "_max")
 
 
-def to_wide(table: DataFrame, rows: Sequence[str], col: str, value: str, limit: int = DISPLAY_LIMIT) -> DataFrame:
-    """Cells with one column per column key; refused when there are more than ``limit`` keys."""
-    table = cut(table)
-    keys = [r[0] for r in table.filter(F.col("level") == COLUMN_TOTAL).select(col).limit(limit + 1).collect()]
-    if len(keys) > limit:
-        raise ValueError(f"more than {limit} column keys; use the long form")
-    return table.filter(F.col("level") == CELL).groupBy(*rows).pivot(col, sorted(keys)).agg(F.first(value))
+def to_wide(table: DataFrame, rows: Sequence[str], col: str, value: str, keys: Sequence[str]) -> DataFrame:
+    """Cells with one column per given column key; the long form is the result for any number of keys."""
+    return table.filter(F.col("level") == CELL).groupBy(*rows).pivot(col, list(keys)).agg(F.first(value))

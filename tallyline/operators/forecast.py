@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -92,13 +93,11 @@ def history_arrays(
     """One row per series: its values in date order, and its last month.
 
     The array is as long as the calendar, whatever the number of source rows. With ``spread`` the
-    series stay on all shuffle partitions: they are small but folding over them is not, so the
-    partitions must not be merged by size as adaptive execution would do.
+    arrays are dealt out again: they are small but folding over them is not.
     """
-    if spread:
-        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     pairs = F.sort_array(F.collect_list(F.struct(F.col(date), null_to_zero(value).alias("y"))))
-    return df.groupBy(key).agg(F.max(date).alias("last"), F.transform(pairs, lambda p: p["y"]).alias("ys"))
+    arrays = df.groupBy(key).agg(F.max(date).alias("last"), F.transform(pairs, lambda p: p["y"]).alias("ys"))
+    return arrays.repartition(key) if spread else arrays
 
 
 def _unrolled(states: DataFrame, values: Column, name: str, key: str, date: str) -> DataFrame:
@@ -322,6 +321,53 @@ def voting_forecast(
     return tree.join(line, [key, date], "full").select(key, date, row_mean("tree", "line").alias(name))
 
 
+RIDGE = 0.01
+
+
+def _lag_weights(staged: DataFrame, lags: Sequence[int], group: Sequence[str]) -> DataFrame:
+    """Per group, the ridge regression of ``z`` on its lags: ``weights`` and ``intercept``.
+
+    One aggregate of first and second moments per group (map-side combined), then one small system
+    of equations per group. A group without a complete row has no weights.
+    """
+    names = [f"lag{k}" for k in lags]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    complete = F.lit(True)
+    for name in names:
+        complete = complete & F.col(name).isNotNull()
+
+    def mean(c: Column) -> Column:
+        return F.avg(F.when(complete, c))
+
+    moments = staged.groupBy(*group).agg(
+        F.array(*[mean(F.col(n)) for n in names]).alias("x"), mean(F.col("z")).alias("zz"),
+        F.array(*[mean(F.col(n) * F.col("z")) for n in names]).alias("xz"),
+        F.array(*[mean(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).alias("xx"))
+
+    def solve(frames):
+        for frame in frames:
+            rows = []
+            for x, z, xz, xx in zip(frame["x"], frame["zz"], frame["xz"], frame["xx"]):
+                if z is None or np.isnan(z):
+                    rows.append((None, None))
+                    continue
+                x, xz = np.array(x, dtype=float), np.array(xz, dtype=float)
+                both = np.zeros((len(names), len(names)))
+                for (i, j), v in zip(pairs, xx):
+                    both[i, j] = both[j, i] = v
+                spread = both - np.outer(x, x)
+                # The penalty is relative to each lag's variance, as if lags were standardised.
+                spread += np.diag(RIDGE * np.maximum(np.diag(spread), 1e-12))
+                w = np.linalg.lstsq(spread, xz - x * z, rcond=None)[0]
+                rows.append((w.tolist(), float(z - w @ x)))
+            out = frame[list(group)].copy()
+            out["weights"], out["intercept"] = [r[0] for r in rows], [r[1] for r in rows]
+            yield out
+
+    kinds = "".join(f"{g} {staged.schema[g].dataType.simpleString()}, " for g in group)
+    return moments.mapInPandas(solve, f"{kinds}weights array<double>, intercept double")
+
+
 def lag_regression(
     df: DataFrame,
     horizon: int = 56,
@@ -330,58 +376,53 @@ def lag_regression(
     date: str = "ds",
     value: str = "y",
     name: str = "lag_regression",
+    cluster: str | None = None,
 ) -> DataFrame:
-    """One linear model on lagged values over all series, rolled forward month by month.
+    """A linear model on lagged values over all series (or per ``cluster``), rolled forward by months.
 
-    The fit is distributed; its few coefficients become literals of a fold over the horizon, so the
-    recursion needs no further job. A lag before the start of a series counts as its mean.
+    The fit is one aggregate, whatever the number of clusters; the coefficients join the series and
+    the recursion is a fold over the horizon. A lag before the start of a series counts as its mean.
+    Where no series has a complete row of lags, nothing can be fitted and the forecast is NULL.
     """
+    group = [cluster] if cluster else []
     # Written once: the fit and the roll-forward both read the series.
-    df = cut(df.select(key, date, null_to_zero(value).alias(value)))
-    staged = lag_set(_scaled(df, key, value), lags, False, "z", key, date).dropna(subset=[f"lag{k}" for k in lags])
-    train = _assembled(staged, [f"lag{k}" for k in lags]).select("features", "z")
-    if train.isEmpty():
-        weights, intercept = [0.0] * len(lags), 0.0
-    else:
-        model = LinearRegression(featuresCol="features", labelCol="z", regParam=0.01).fit(train)
-        weights, intercept = [float(w) for w in model.coefficients], float(model.intercept)
-
+    df = cut(df.select(key, date, *group, null_to_zero(value).alias(value)))
+    staged = lag_set(_scaled(df, key, value), lags, False, "z", key, date)
+    weights = cut(_lag_weights(staged, lags, group))
     arrays = history_arrays(df, key, date, value, spread=True).join(_scales(df, key, value), key)
+    if cluster:
+        labels = df.groupBy(key).agg(F.min(cluster).alias(cluster))
+        arrays = arrays.join(labels, key).join(weights, cluster)
+    else:
+        # One row, read as scalar subqueries.
+        arrays = arrays.withColumn("_fit", weights.select(F.struct("weights", "intercept")).scalar()).select(
+            "*", "_fit.weights", "_fit.intercept")
     scaled = F.transform("ys", lambda y: (y - F.col("centre")) / F.col("scale"))
 
     def roll(acc: Column, _: Column) -> Column:
-        value_next = F.lit(intercept)
-        for k, w in zip(lags, weights):
-            value_next = value_next + F.lit(w) * F.coalesce(F.get(acc, F.size(acc) - k), F.lit(0.0))
+        value_next = F.col("intercept")
+        for i, k in enumerate(lags):
+            value_next = value_next + F.get("weights", F.lit(i)) * F.coalesce(F.get(acc, F.size(acc) - k), F.lit(0.0))
         return F.concat(acc, F.array(value_next))
 
     rolled = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), scaled, roll)
     values = F.transform(F.slice(rolled, F.size("ys") + 1, horizon), lambda z: z * F.col("scale") + F.col("centre"))
-    return _unrolled(arrays, values, name, key, date)
+    plain = F.when(F.col("intercept").isNotNull(), values).otherwise(F.array_repeat(F.lit(None).cast("double"), horizon))
+    if not cluster:
+        return _unrolled(arrays, plain, name, key, date)
+    return arrays.select(key, cluster, "last", F.posexplode(plain).alias("_h", name)).select(
+        key, F.add_months(F.col("last").cast("date"), F.col("_h") + 1).cast("timestamp_ntz").alias(date), name, cluster)
 
 
 def cluster_models(
-    df: DataFrame,
-    forecaster: Callable[[DataFrame], DataFrame],
-    cluster: str = "cluster",
-    limit: int = 100,
+    df: DataFrame, horizon: int, lags: Sequence[int] = LAGS, cluster: str = "cluster", key: str = "unique_id",
 ) -> DataFrame:
-    """Fit and predict each cluster apart; the label stays on the output, rows without one are left out.
+    """The lag regression fitted and rolled forward per cluster; rows without a label are left out.
 
-    The labels come to the driver after a check of their number; one fit per label is the purpose.
+    All clusters are fitted in one job with the label as key, so their number has no bound.
     """
-    known = cut(df.filter(F.col(cluster).isNotNull()))
-    labels = [r[0] for r in known.select(cluster).distinct().limit(limit + 1).collect()]
-    if len(labels) > limit:
-        raise ValueError(f"more than {limit} clusters")
-    if not labels:
-        raise ValueError("no labelled series")
-    result: DataFrame | None = None
-    for label in sorted(labels):
-        part = forecaster(known.filter(F.col(cluster) == label).drop(cluster)).withColumn(
-            cluster, F.lit(str(label)))
-        result = part if result is None else result.unionByName(part)
-    return result
+    known = df.filter(F.col(cluster).isNotNull()).withColumn(cluster, F.col(cluster).cast("string"))
+    return lag_regression(known, horizon, lags, key, cluster=cluster)
 
 
 # --- ensembles -----------------------------------------------------------------------------------

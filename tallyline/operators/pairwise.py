@@ -132,7 +132,7 @@ def knn_distance(points: DataFrame, rank: int, block_rows: int = BLOCK_ROWS) ->
         radius *= 2
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of (u, v) edges as (id, component); the component is its smallest id.
 
     Large-star and small-star rounds (Kiveris et al., 2014). Each round is a grouped minimum and a
@@ -148,7 +148,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
     current = cut(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct())
     before = signature(current)
-    for _ in range(max_rounds):
+    while True:  # the edges reach a fixed point
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
             both.join(minimum(both), "u").filter(F.col("v") > F.col("u"))
@@ -166,8 +166,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(
         current.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")), "id", "left"
     ).withColumn("component", F.coalesce("component", "id"))

@@ -94,15 +94,12 @@ def year_by_month(df: DataFrame, measure: str, date: str = "sales_date") -> Data
     ])
 
 
-def date_columns(df: DataFrame, date: str, limit: int = 2000) -> list[str]:
+def date_columns(df: DataFrame, date: str) -> list[str]:
     """The distinct dates of a table in order, as text, for use as pivot columns.
 
-    They come to the driver because they become column names; the number is checked first by
-    fetching at most one more than the limit.
+    They come to the driver because they become column names: one per day of the calendar at most.
     """
-    found = [r[0] for r in df.select(date).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} dates; use the long form")
+    found = [r[0] for r in df.select(date).distinct().collect()]
     return sorted(d for d in found if d is not None)
 
 
@@ -168,18 +165,23 @@ def seasonal_variance_ratio(
 def table_describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, NULL count, mean, std, min, quartiles and max, one row per column.
 
-    The table is read as (column, value) pairs once; quartiles are exact and distributed.
+    The table is read once, as (column, value) pairs that are counted and written; everything else
+    comes from the counts. Deviations are taken from the mean, so the spread does not cancel.
     """
     pairs = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "value")
-    counts = with_buckets(pairs.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("weight")))
-    v = F.col("value")
-    moments = pairs.groupBy("column").agg(
-        F.count(v).alias("count"),
-        F.count(F.when(v.isNull(), 1)).alias("null_count"),
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
+    counted = cut(pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("weight")))
+    counts = with_buckets(counted.filter(F.col("value").isNotNull()))
+    v, n = F.col("value"), F.col("weight")
+    known = F.when(v.isNotNull(), n)
+    sums = counted.groupBy("column").agg(
+        F.coalesce(F.sum(known), F.lit(0)).alias("count"),
+        F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("null_count"),
+        safe_div(F.sum(v * n), F.sum(known)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    squares = counted.join(sums.select("column", F.col("mean").alias("_m")), "column").groupBy("column").agg(
+        F.sum((v - F.col("_m")) * (v - F.col("_m")) * n).alias("_s"))
+    moments = sums.join(squares, "column").withColumn(
+        "std", F.sqrt(safe_div("_s", F.when(F.col("count") > 1, F.col("count") - 1))))
     quartiles = weighted_quantiles(counts, ["column"], QUARTILES)
     return moments.join(quartiles, "column", "left").select(
         "column", "count", "null_count", "mean", "std", "min", *QUARTILES, "max")

@@ -46,7 +46,7 @@ _xt("xt_list_unique", "List Unique Values", ["priority", "return_flag"],
     "string_agg(DISTINCT return_flag, ', ' ORDER BY return_flag) AS return_flag")
 _xt("xt_sum", "Sum", ["priority", "act_orders_rev_val"],
     "sum(CAST(substr(priority, 1, 1) AS DOUBLE)) AS priority, sum(act_orders_rev_val) AS act_orders_rev_val")
-_xt("xt_int_sum", "Integer Sum", [_Q], f"round(sum({_Q})) AS {_Q}")
+_xt("xt_int_sum", "Integer Sum", [_Q], f"sum({_Q}) AS {_Q}")
 _xt("xt_average", "Average", [_Q], f"round(avg({_Q}), 9) AS {_Q}", 9)
 _xt("xt_median", "Median", [_Q, _P], f"median({_Q}) AS {_Q}, round(median({_P}), 3) AS {_P}", 3)
 _xt("xt_sample_variance", "Sample Variance", [_Q],

@@ -85,7 +85,7 @@ def ensemble_forecasts(series: DataFrame, horizon: int = 60) -> DataFrame:
     series = cut(series)
     plain = series.drop("cluster")
     labelled = "cluster" in series.columns
-    pooled = (cluster_models(series, lambda part: lag_regression(part, horizon)) if labelled
+    pooled = (cluster_models(series, horizon) if labelled
               else lag_regression(plain, horizon))
     single = join_models(
         exp_smoothing(plain, horizon), linear_trend(plain, horizon), seasonal_naive(plain, horizon))

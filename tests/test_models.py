@@ -90,7 +90,7 @@ def test_standardise(spark):
 
 def test_too_few_series_stay_unlabelled(make_series):
     df = make_series({"a": range(1, 30), "b": range(30)})
-    assert "cluster" not in clusters.feature_clusters(df, "2030-01-01").columns
+    assert {r["cluster"] for r in clusters.feature_clusters(df, "2030-01-01").collect()} == {None}
     features = sku_features(make_series({"a": [0] * 12}))
     assert [r["segment"] for r in segments.statistical_segments(features).collect()] == ["single_cluster"]
 
@@ -198,8 +198,15 @@ def test_ensemble_lies_between_its_models(five_patterns):
 def test_clusters_are_fitted_apart(make_series):
     df = make_series({"a": range(30), "b": range(30, 0, -1), "c": range(30)}).withColumn(
         "cluster", F.when(F.col("unique_id") != "c", F.col("unique_id")))
-    rows = forecast.cluster_models(df, lambda part: forecast.linear_trend(part, 3)).collect()
+    rows = forecast.cluster_models(df, 3, lags=(1,)).collect()
     assert {(r["unique_id"], r["cluster"]) for r in rows} == {("a", "a"), ("b", "b")} and len(rows) == 6
+    step = {(r["unique_id"], r["ds"].month): r["lag_regression"] for r in rows}
+    assert step["a", 7] > 25 and step["b", 7] < 6
+
+
+def test_lag_regression_without_complete_rows(make_series):
+    rows = forecast.lag_regression(make_series({"a": range(5)}), 3).collect()
+    assert [r["lag_regression"] for r in rows] == [None] * 3
 
 
 def test_merge_keeps_history_unchanged(spark):
