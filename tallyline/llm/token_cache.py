@@ -98,7 +98,8 @@ def token_counts(
 
     fresh = chosen.mapInPandas(count, "digest binary, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    return keys.join(stored(spark, cache_path, version), "digest")
+    # Written, so that both sides of the join are plain exchanges and a digest of very many copies can be split.
+    return keys.join(written(stored(spark, cache_path, version), "token-counts"), "digest")
 
 
 def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None, cache_path: str | None = None) -> DataFrame:
