@@ -334,7 +334,8 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
 def link(docs: DataFrame, n: int = 5, percent: int = 75, block: int = 2048, set_block: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id); component_id is the smallest id that links reach."""
     # The number of shards follows the input, so that a shard's n-grams fit a task at every size.
-    shards = max(docs.sparkSession.sparkContext.defaultParallelism, 2 * docs.rdd.getNumPartitions())
+    parts = docs.agg(F.max(F.spark_partition_id())).first()[0] or 0  # reads no column
+    shards = max(docs.sparkSession.sparkContext.defaultParallelism, 2 * (parts + 1))
     made = written(profiles_and_postings(docs, n, percent, shards), "ngrams")
     profile = made.filter("shard IS NULL").select("doc_id", "n_shingles", "node")
     dealt = made.filter("shard IS NOT NULL").select("shard", "grams", "owners", "nodes", "sizes")
