@@ -35,6 +35,20 @@ def add_months(c: Column | str, n: int | Column) -> Column:
     return F.add_months(as_column(c).cast("date"), n).cast(NTZ)
 
 
+def in_months(day: Column | str, first: Column | None = None, last: Column | None = None) -> Column:
+    """Whether a raw day lies in a month between two stamps, as a range on the day itself.
+
+    Equal to comparing the start of the day's month with the stamps, but it reaches the scan.
+    """
+    day, inside = as_column(day), F.lit(True)
+    if first is not None:  # months that start before ``first`` are out
+        start = month_start(first)
+        inside = inside & (day >= F.when(start < first, add_months(start, 1)).otherwise(start))
+    if last is not None:
+        inside = inside & (day < add_months(month_start(last), 1))
+    return inside
+
+
 def last_full_month(as_of) -> Column:
     return add_months(month_start(stamp(as_of)), -1)
 

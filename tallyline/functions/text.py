@@ -40,12 +40,13 @@ def null_text(c: Column | str) -> Column:
 
 def _chunk_key(chunk: Column) -> Column:
     # A run of digits sorts by value: its length, then its digits. A run that begins with 0
-    # counts as a fraction below 1, so it sorts before all others, digit by digit.
+    # counts as a fraction below 1, so it sorts before all others, digit by digit. Other text
+    # stays as it is, so it compares with text that has no digit in raw order.
     return (
         F.when(chunk.rlike("^0"), F.concat(F.lit("0"), chunk, F.lit(_STOP)))
         .when(chunk.rlike("^[0-9]"),
-              F.concat(F.lit("1"), F.lpad(F.length(chunk).cast("string"), 4, "0"), chunk))
-        .otherwise(F.concat(chunk, F.lit(_STOP)))
+              F.concat(F.lit("1"), F.lpad(F.length(chunk).cast("string"), 10, "0"), chunk))
+        .otherwise(chunk)
     )
 
 
@@ -53,7 +54,9 @@ def natural_key(c: Column | str) -> Column:
     """Sort key of natural order: NULL, NaN, numbers (also as text) by value, other text.
 
     Text is cut into runs of digits and runs of other characters; digit runs compare by value.
-    Text without any digit and text with digits compare by the same key.
+    Text without any digit compares with all other text in raw order up to its first difference.
+    A total order cannot compare raw texts in every such pair and chunks in all others: where a
+    digit run meets a character that sorts among the digits' keys, the key decides.
     """
     text = as_column(c).cast("string")
     blank = F.trim(text) == ""

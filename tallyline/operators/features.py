@@ -186,19 +186,12 @@ def sku_features(
 # --- seasonality ------------------------------------------------------------------------------
 
 
-def seasonal_flags(
-    df: DataFrame,
-    key: str = "unique_id",
-    date: str = "ds",
-    value: str = "y",
-    cv: float = 0.3,
-    range_ratio: float = 2.0,
-    month_cv: float = 0.25,
+def seasonal_metrics(
+    df: DataFrame, key: str = "unique_id", date: str = "ds", value: str = "y",
 ) -> DataFrame:
-    """Three criteria, their score 0..3 and ``is_seasonal`` for two or more.
+    """Series metrics and the spread of the twelve calendar-month means.
 
-    Series metrics and the twelve calendar-month means come from one aggregate, so the series are
-    shuffled once and nothing is joined. Series without a monthly cv are dropped.
+    All come from one aggregate, so the series are shuffled once and nothing is joined.
     """
     y = F.col(value)
     means = F.array_compact(F.array(*[F.avg(F.when(F.month(date) == m, y)) for m in range(1, SEASON + 1)]))
@@ -208,7 +201,7 @@ def seasonal_flags(
     total = F.aggregate("_means", F.lit(0.0), lambda s, m: s + m)
     centre = F.col("overall_monthly_mean")
     spread = F.aggregate("_means", F.lit(0.0), lambda s, m: s + (m - centre) * (m - centre))
-    metrics = (
+    return (
         grouped.withColumn("overall_monthly_mean", safe_div(total, F.size("_means")))
         .withColumn("monthly_std", F.sqrt(safe_div(spread, F.size("_means") - 1)))
         .withColumns({
@@ -219,6 +212,22 @@ def seasonal_flags(
         })
         .drop("_means")
     )
+
+
+def seasonal_flags(
+    df: DataFrame,
+    key: str = "unique_id",
+    date: str = "ds",
+    value: str = "y",
+    cv: float = 0.3,
+    range_ratio: float = 2.0,
+    month_cv: float = 0.25,
+) -> DataFrame:
+    """Three criteria, their score 0..3 and ``is_seasonal`` for two or more.
+
+    Series without a monthly cv are dropped.
+    """
+    metrics = seasonal_metrics(df, key, date, value)
     flags = {
         "high_cv": F.col("cv") >= cv,
         "high_range_ratio": F.col("range_ratio") >= range_ratio,

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyline.functions.text import key_concat
 from tallyline.operators import backtest, forecast
 from tallyline.plans import forecast_cycle
-from tallyline.plans.registry import AS_OF, query, rounded, sales_sql, series_sql
+from tallyline.functions.numeric import is_finite
+from tallyline.plans.registry import QUERIES, AS_OF, query, rounded, sales_sql, series_sql
 from tallyline.sources.tables import Tables, long_series, location_hierarchy, monthly_sales
 
 _CB = ["country", "franchise"]
@@ -283,9 +284,28 @@ def _(t):
     return forecast.lag_regression(long_series(t, _CB), 56)
 
 
-@query("exp_smoothing_fc")
+_GRID_SQL = ", ".join(f"({i}, {a}, {b}, {g})" for i, (a, b, g) in enumerate(forecast.SMOOTHING_GRID))
+
+
+@query("exp_smoothing_fc", f"""WITH RECURSIVE s AS ({_CB_SERIES}),
+  h AS (SELECT unique_id, max(ds) AS last, list(coalesce(y, 0) ORDER BY ds) AS ys FROM s GROUP BY 1),
+  st AS (SELECT *, len(ys) >= 24 AS ok, list_sum(ys[1:12]) / len(ys[1:12]) AS m1, list_sum(ys[13:24]) / len(ys[13:24]) AS m2 FROM h),
+  grid(i, a, b, g) AS (VALUES {_GRID_SQL}),
+  fold(unique_id, i, a, b, g, rest, level, trend, season, sse, last) AS (
+    SELECT unique_id, i, a, CASE WHEN ok THEN b ELSE 0 END, CASE WHEN ok THEN g ELSE 0 END,
+      CASE WHEN ok THEN ys[13:] ELSE ys END, CASE WHEN ok THEN m1 ELSE ys[1] END,
+      CASE WHEN ok THEN (m2 - m1) / 12 ELSE 0 END,
+      CASE WHEN ok THEN list_transform(ys[1:12], lambda y: y - m1) ELSE list_transform(range(12), lambda z: CAST(0 AS DOUBLE)) END,
+      CAST(0 AS DOUBLE), last FROM st, grid
+    UNION ALL SELECT unique_id, i, a, b, g, rest[2:], level + trend + a * e, trend + b * a * e,
+      list_append(season[2:12], season[1] + g * (1 - a) * e), sse + e * e, last
+    FROM (SELECT *, rest[1] - (level + trend + season[1]) AS e FROM fold WHERE len(rest) > 0)),
+  best AS (SELECT * FROM fold WHERE len(rest) = 0 QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY sse, i) = 1)
+  SELECT unique_id, CAST(last + to_months(CAST(k AS INT)) AS TIMESTAMP) AS ds,
+    round(level + k * trend + season[(k - 1) % 12 + 1], 3) AS exp_smoothing
+  FROM (SELECT *, unnest(range(1, 61)) AS k FROM best)""")
 def _(t):
-    return forecast.exp_smoothing(long_series(t, _CB), 60)
+    return rounded(forecast.exp_smoothing(long_series(t, _CB), 60), 3, "exp_smoothing")
 
 
 @query("cluster_models")
@@ -296,8 +316,42 @@ def _(t):
     return forecast.cluster_models(series, 12)
 
 
+def _frame_sql(horizon: int, where: str = "", label: str = "") -> str:
+    """What SQL can state of a fitted model: a row for each series and month of the horizon, with a finite value."""
+    return f"""SELECT unique_id, {label} CAST(unnest(generate_series(max(ds) + INTERVAL 1 MONTH,
+      max(ds) + INTERVAL {horizon} MONTH, INTERVAL 1 MONTH)) AS TIMESTAMP) AS ds, true AS finite
+      FROM ({_CB_SERIES}) {where} GROUP BY unique_id"""
+
+
+def _frame(table: DataFrame, name: str) -> DataFrame:
+    return table.withColumn("finite", is_finite(name)).drop(name)
+
+
+@query("lag_regression_frame", _frame_sql(56))
+def _(t):
+    return _frame(forecast.lag_regression(long_series(t, _CB), 56), "lag_regression")
+
+
+@query("cluster_models_frame", _frame_sql(
+    12, "WHERE unique_id NOT LIKE '%,Brand#7'", "split_part(unique_id, ',', 2) AS cluster,"))
+def _(t):
+    return _frame(QUERIES["cluster_models"](t.spark, t.folder), "lag_regression")
+
+
+@query("tree_frame", _frame_sql(12))
+def _(t):
+    return _frame(forecast.tree_forecast(long_series(t, _CB), 12), "tree")
+
+
 @query("forecast_cycle")
 def _(t):
-    merged, _ = forecast_cycle.run_cycle(_history(t), _brand_levels(t), location_hierarchy(t), AS_OF)
+    merged, _ = forecast_cycle.run_cycle(_history(t), _brand_levels(t), location_hierarchy(t), AS_OF, validate=False)
     return merged
 
+
+@query("forecast_cycle_scores")
+def _(t):
+    """The validation half of the same run."""
+    _, scores = forecast_cycle.run_cycle(_history(t), _brand_levels(t), location_hierarchy(t), AS_OF)
+    return scores
+

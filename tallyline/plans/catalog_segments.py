@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.operators.ranking import ordered_position
 from tallyline.operators import charts, clusters, pairwise, segments
 from tallyline.operators.features import sku_features
 from tallyline.operators.windows import zscore
@@ -85,6 +86,16 @@ def _(t):
     return clusters.feature_clusters(long_series(t, _CB), AS_OF)
 
 
+@query("cluster_labels", f"""SELECT unique_id, count(DISTINCT ds) AS n_rows, 1 AS n_labels, true AS in_range
+  FROM ({series_sql(_CB)}) GROUP BY 1""")
+def _(t):
+    """What SQL can state of a k-means run: history unchanged, one label of k per series."""
+    labelled = clusters.shape_clusters(long_series(t, _CB), AS_OF, method="kmeans")
+    return labelled.groupBy("unique_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cluster").cast("int").alias("n_labels"),
+        F.bool_and(F.col("cluster").cast("int").between(0, 5)).alias("in_range"))
+
+
 @query("best_k")
 def _(t):
     chosen = segments.STATISTICAL_FEATURES
@@ -133,9 +144,31 @@ def _(t):
     return rounded(pairwise.knn_distance(_points(t), 4), 6, "distance")
 
 
-@query("density_clusters")
+@query("knn_curve", f"""WITH {_VECTORS}, k AS (SELECT a.id, round(list_sort(list(list_distance(a.vector, b.vector)))[21], 6) AS distance
+    FROM vec a CROSS JOIN vec b GROUP BY 1)
+  SELECT id, distance, CAST(row_number() OVER (ORDER BY distance, id) AS BIGINT) AS position FROM k""")
+def _(t):
+    """The sorted distances to the 20th neighbour, from which EPS below is read."""
+    far = rounded(pairwise.knn_distance(_points(t), 20), 6, "distance")
+    return ordered_position(far, [F.col("distance"), F.col("id")], "position").select("id", "distance", "position")
+
+
+# Near the lower end of the distances to the 20th neighbour: some series are cores, some border, some noise.
+EPS, MIN_POINTS = 8.5, 20
+
+
+@query("density_clusters", f"""WITH RECURSIVE {_VECTORS},
+  near AS (SELECT a.id AS u, b.id AS v FROM vec a CROSS JOIN vec b WHERE list_distance(a.vector, b.vector) <= {EPS}),
+  core AS (SELECT u AS id FROM near GROUP BY 1 HAVING count(*) >= {MIN_POINTS}),
+  e AS (SELECT u, v FROM near WHERE u IN (FROM core) AND v IN (FROM core)),
+  reach(id, r) AS (SELECT id, id FROM core UNION SELECT e.v, reach.r FROM reach JOIN e ON e.u = reach.id),
+  label AS (SELECT id, min(r) AS component FROM reach GROUP BY 1)
+  SELECT vec.id, vec.id IN (FROM core) AS core, coalesce(own.component, near_core.component) AS component
+  FROM vec LEFT JOIN label own ON own.id = vec.id
+    LEFT JOIN (SELECT near.u, min(label.component) AS component FROM near JOIN label ON label.id = near.v GROUP BY 1) near_core
+      ON near_core.u = vec.id""")
 def _(t):
-    return pairwise.density_clusters(_points(t).select("id", F.slice("vector", 1, 2).alias("vector")), 0.2, 20)
+    return pairwise.density_clusters(_points(t), EPS, MIN_POINTS)
 
 
 @query("silhouette", f"""WITH {_VECTORS}, p AS (SELECT id, split_part(id, ',', 1) AS c, vector FROM vec),

@@ -437,7 +437,7 @@ def _(t):
   FROM b LEFT JOIN m USING (unique_id)""")
 def _(t):
     series = long_series(t, _SKU)
-    table = rollup.seasonality_metrics(series).join(rollup.monthly_cv(series), "unique_id", "left")
+    table = features.seasonal_metrics(series)  # both metrics from one aggregate
     return rounded(table.select("unique_id", "cv", "monthly_cv"), 6, "cv", "monthly_cv")
 
 

@@ -54,8 +54,13 @@ _STAR_MEASURE_TEXT = {
 }
 
 
-def order_star(t: Tables) -> Star:
-    """The order tables as a star.
+def _star_months():
+    now = dates.stamp(SELECTION.as_of)
+    return dates.add_months(now, -SELECTION.past_months), dates.add_months(now, SELECTION.next_months)
+
+
+def order_star(t: Tables, months=None) -> Star:
+    """The order tables as a star; ``months`` bounds the fact side at the scan.
 
     The product dimension gets a superseded version of every row, as a versioned dimension has;
     the join has to leave those out.
@@ -74,7 +79,8 @@ def order_star(t: Tables) -> Star:
         F.col("c_custkey").alias("loc_skey"), F.col("c_mktsegment").alias("selling_division"),
         F.col("r_name").alias("area"), F.col("r_name").alias("group_region"),
         F.col("r_name").alias("region"), F.col("n_name").alias("country"))
-    fact = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+    orders = t("orders").filter(dates.in_months("o_orderdate", *months)) if months else t("orders")
+    fact = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_partkey").alias("item_skey"), F.col("o_custkey").alias("location_skey"),
         F.col("l_suppkey").alias("matrix_skey"), dates.month_start("o_orderdate").alias("sales_date"),
         *[F.expr(sql).alias(m) for m, sql in _STAR_MEASURE_TEXT.items()])
@@ -96,18 +102,18 @@ _STAR_KEYS_SQL = """c_mktsegment AS selling_division, r_name AS area, r_name AS
   CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS sales_date, p_retailprice AS uom,
   CAST(p_size AS VARCHAR) AS pack_content"""
 _STAR_SQL = f"""SELECT {_STAR_KEYS_SQL},
-  {', '.join(f'round(sum({sql}), 4) AS {m}' for m, sql in _STAR_MEASURE_TEXT.items())}
+  {', '.join(f'CAST(sum(CAST({sql} AS DECIMAL(18, 4))) AS DOUBLE) AS {m}' for m, sql in _STAR_MEASURE_TEXT.items())}
   {_STAR_FROM} GROUP BY ALL"""
 
 
 @query("star_extract", _STAR_SQL)
 def _(t):
-    return star_extract(order_star(t), SELECTION, STAR_KEYS, STAR_MEASURES)
+    return star_extract(order_star(t, _star_months()), SELECTION, STAR_KEYS, STAR_MEASURES)
 
 
 @query("extract_count", f"SELECT count(*) AS n_rows FROM (SELECT DISTINCT {_STAR_KEYS_SQL} {_STAR_FROM})")
 def _(t):
-    return extract_count(order_star(t), SELECTION, STAR_KEYS)
+    return extract_count(order_star(t, _star_months()), SELECTION, STAR_KEYS)
 
 
 @query("product_hierarchy", """SELECT DISTINCT p_type AS business_sector, p_brand AS franchise,
@@ -238,18 +244,22 @@ def _(t):
   WHERE sales_date BETWEEN TIMESTAMP '2001-02-15' AND TIMESTAMP '2002-02-15'""")
 def _(t):
     from tallyline.sources.extract import month_window
-    return monthly_sales(t, _CRB).filter(month_window(F.col("sales_date"), AS_OF, 6, 6))
+    now = dates.stamp(AS_OF)
+    sales = monthly_sales(t, _CRB, months=(dates.add_months(now, -6), dates.add_months(now, 6)))
+    return sales.filter(month_window(F.col("sales_date"), AS_OF, 6, 6))
 
 
 @query("last_36_months", f"""SELECT * FROM ({_CRB_SQL})
   WHERE sales_date BETWEEN TIMESTAMP '1998-08-01' AND TIMESTAMP '2001-07-01'""")
 def _(t):
-    return filters.last_months(monthly_sales(t, _CRB), AS_OF, 36)
+    last = dates.last_full_month(AS_OF)
+    return filters.last_months(monthly_sales(t, _CRB, months=(dates.add_months(last, -35), last)), AS_OF, 36)
 
 
 @query("training_cutoff", f"SELECT * FROM ({_CRB_SQL}) WHERE sales_date <= TIMESTAMP '2001-07-15'")
 def _(t):
-    return filters.training_cutoff(monthly_sales(t, _CRB), AS_OF)
+    limit = dates.add_months(dates.stamp(AS_OF), -1)
+    return filters.training_cutoff(monthly_sales(t, _CRB, months=(None, limit)), AS_OF)
 
 
 @query("trailing_window", f"""SELECT 'recent' AS side, * FROM ({_CRB_SQL}) WHERE sales_date > TIMESTAMP '2000-07-15'
@@ -304,7 +314,9 @@ def _(t):
 
 @query("row_click_filter", f"SELECT * FROM ({sales_sql(['region', 'catalog_number'])}) WHERE catalog_number = '42'")
 def _(t):
-    return filters.row_click_filter(monthly_sales(t, ["region", "catalog_number"]), "42")
+    # The typed key reaches the scan; the filter on the text form stays the definition.
+    sales = monthly_sales(t, ["region", "catalog_number"], keys={"catalog_number": "42"})
+    return filters.row_click_filter(sales, "42")
 
 
 @query("drop_if_present", "SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part")

@@ -100,8 +100,9 @@ def run_cycle(
     as_of,
     measure: str = "act_orders_rev",
     horizon: int = 60,
-) -> tuple[DataFrame, DataFrame]:
-    """Merged history and forecasts, and the back-test of each model.
+    validate: bool = True,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Merged history and forecasts, and the back-test of each model (unless left out).
 
     ``history`` has ``unique_id``, ``country``, ``catalog_number``, ``sales_date`` and the measure.
     """
@@ -120,9 +121,9 @@ def run_cycle(
             ("linear_trend", linear_trend, False),
             ("lag_regression", lag_regression, True),
         )
-    ]
+    ] if validate else []
     merged = forecast_merge(history, forecasts, [*MODELS, "ensemble"])
-    return merged, reduce(lambda a, b: a.unionByName(b), scores)
+    return merged, reduce(lambda a, b: a.unionByName(b), scores) if scores else None
 
 
 def forecast_vs_published(

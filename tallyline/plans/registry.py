@@ -62,7 +62,7 @@ MONTH_SQL = "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)"
 def sales_sql(levels, measures=("act_orders_rev",)) -> str:
     """One row per level combination and month."""
     columns = [f"{LEVELS_SQL[level]} AS {level}" for level in levels]
-    sums = [f"round(sum({MEASURES_SQL[m]}), 4) AS {m}" for m in measures]
+    sums = [f"CAST(sum(CAST({MEASURES_SQL[m]} AS DECIMAL(18, 4))) AS DOUBLE) AS {m}" for m in measures]
     return f"SELECT {', '.join([*columns, MONTH_SQL + ' AS sales_date', *sums])} FROM {LINES_SQL} GROUP BY ALL"
 
 
@@ -77,4 +77,4 @@ def series_sql(levels, measure="act_orders_rev") -> str:
     """unique_id, ds, y with one row per series and month."""
     key = " || ',' || ".join(LEVELS_SQL[level] for level in levels)
     return (f"SELECT {key} AS unique_id, {MONTH_SQL} AS ds, "
-            f"round(sum({MEASURES_SQL[measure]}), 4) AS y FROM {LINES_SQL} GROUP BY ALL")
+            f"CAST(sum(CAST({MEASURES_SQL[measure]} AS DECIMAL(18, 4))) AS DOUBLE) AS y FROM {LINES_SQL} GROUP BY ALL")

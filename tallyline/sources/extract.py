@@ -70,7 +70,7 @@ def star_extract(
 ) -> DataFrame:
     """Sum of the measures by the keys over the selected part of the star."""
     return star_join(star, selection).groupBy(*keys).agg(
-        *[F.round(F.sum(m), 4).alias(m) for m in measures])
+        *[F.sum(F.col(m).cast("decimal(18,4)")).cast("double").alias(m) for m in measures])
 
 
 def extract_count(star: Star, selection: Selection, keys: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.dates import add_months, month_start, stamp
+from tallyline.lineage import cut
 
 
 def history_refresh(
@@ -28,7 +29,8 @@ def history_refresh(
         limit = add_months(month_start(stamp(as_of)), -keep_back)
         kept = stored.filter(F.col(date) <= limit)
     elif mode == "replace_window":
-        # One row of bounds; as a scalar subquery it also prunes the scan of the history.
+        # Written once: two reads of a live source may disagree. The bounds are one row.
+        extract = cut(extract)
         span = extract.agg(F.struct(F.min(date).alias("first"), F.max(date).alias("last"))).scalar()
         kept = stored.filter(
             F.col(date).isNull() | span["first"].isNull()

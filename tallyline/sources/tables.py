@@ -7,12 +7,13 @@ re-checks with the real size, and everything larger is a sort-merge join with sk
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.functions.dates import month_start
+from tallyline.functions.dates import in_months, month_start
+from tallyline.functions.numeric import as_column
 from tallyline.functions.text import key_concat
 
 MONEY_DIGITS = 4
@@ -75,9 +76,15 @@ def locations(t: Tables) -> DataFrame:
     )
 
 
-def _raw_lines(t: Tables, levels: Sequence[str]) -> DataFrame:
+Months = tuple[Column | None, Column | None]
+
+
+def _raw_lines(t: Tables, levels: Sequence[str], months: Months | None = None, keys: Mapping[str, object] | None = None) -> DataFrame:
     """Order lines with the asked levels as stored, the month and the measures.
 
+    ``months`` keeps the months between two stamps, as a range on the order day that reaches the
+    scan; ``keys`` keeps line keys that equal a value of their stored type.
+
     Levels and the month are computed on the dimension and order side, before the join multiplies
     their rows.
     """
@@ -88,12 +95,19 @@ def _raw_lines(t: Tables, levels: Sequence[str]) -> DataFrame:
     def wanted(source: dict[str, str]) -> list[Column]:
         return [F.col(source[level]).alias(level) for level in levels if level in source]
 
-    orders = t("orders").select(
+    stored = t("orders")
+    if months:
+        stored = stored.filter(in_months("o_orderdate", *months))
+    orders = stored.select(
         "o_orderkey", "o_custkey", month_start("o_orderdate").alias("sales_date"), *wanted(_ORDER))
     places = wanted(_LOCATION)
     if places:
         orders = orders.join(locations(t).select("c_custkey", *places), F.col("o_custkey") == F.col("c_custkey"))
-    lines = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    facts = t("lineitem")
+    for level, wanted_value in (keys or {}).items():
+        column = _LINE[level]
+        facts = facts.filter(F.col(column) == F.lit(wanted_value).cast(facts.schema[column].dataType))
+    lines = facts.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     products = wanted(_PRODUCT)
     if products:
         lines = lines.join(t("part").select("p_partkey", *products), F.col("l_partkey") == F.col("p_partkey"))
@@ -112,17 +126,19 @@ def sales_lines(t: Tables, levels: Sequence[str]) -> DataFrame:
 
 
 def money_sum(c: Column | str) -> Column:
-    """Sum of a money amount, kept to four digits so that it does not depend on the order of rows."""
-    return F.round(F.sum(c), MONEY_DIGITS)
+    """Sum of a money amount as a decimal with four digits: exact, so the order of rows cannot show."""
+    return F.sum(as_column(c).cast(f"decimal(18,{MONEY_DIGITS})")).cast("double")
 
 
 def monthly_sales(
     t: Tables,
     levels: Sequence[str],
     measures: Sequence[str] = ("act_orders_rev",),
+    months: Months | None = None,
+    keys: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """One row per level combination and month; keys become text after they are grouped."""
-    grouped = _raw_lines(t, levels).groupBy(*levels, "sales_date").agg(*[money_sum(m).alias(m) for m in measures])
+    grouped = _raw_lines(t, levels, months, keys).groupBy(*levels, "sales_date").agg(*[money_sum(m).alias(m) for m in measures])
     return _as_text(grouped, levels)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import pathlib
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -34,6 +37,33 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "l_tax" not in text and "l_shipdate" not in text and "p_retailprice" not in text
 
 
+@pytest.mark.parametrize("name", ["star_extract", "extract_count", "relative_month_range", "last_36_months", "training_cutoff"])
+def test_month_windows_reach_the_scan_of_orders(spark, name):
+    text = plan(entry.queries()[name](spark, FOLDER))
+    assert re.search(r"PushedFilters: \[[^\]]*LessThan\(o_orderdate", text)
+
+
+def test_a_clicked_key_reaches_the_scan(spark):
+    text = plan(entry.queries()["row_click_filter"](spark, FOLDER))
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(l_partkey,42\)", text)
+
+
+def test_a_query_runs_from_another_folder(tmp_path):
+    """Workers get the package from the session, not from the working folder."""
+    script = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from tallyline.session import build_session\n"
+        "spark = build_session('other', 'local[2]', 2, {'spark.checkpoint.dir': sys.argv[2]})\n"
+        "from tallyline.operators.pairwise import knn_distance\n"
+        "points = spark.createDataFrame([(str(i), [float(i), 0.0]) for i in range(30)], 'id string, vector array<double>')\n"
+        "print('rows', knn_distance(points, 2).count())\n")
+    root = pathlib.Path(__file__).parent.parent
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script, str(root), str(tmp_path / "shared")], cwd=tmp_path, env=env,
+                          capture_output=True, text=True, timeout=300)
+    assert "rows 30" in done.stdout, done.stderr[-2000:]
+
+
 def test_features_shuffle_a_series_once_after_the_roll_up(spark):
     from tallyline.operators.features import ts_features
     from tallyline.sources.tables import Tables, long_series
