@@ -4,7 +4,9 @@
    which takes part once; a profile holds a class's size and its bitmap signature: the parity, per
    hash bucket, of the n-grams that fall there, with two to four buckets per n-gram.
 2. Two sets that are similar enough share one of the first ``size - need + 1`` n-grams of each in a
-   common order (the hash is one), so these n-grams are dealt over shards as packed arrays. A shard
+   common order. N-grams of very many texts come last in it (any order is exact; this one keeps texts
+   apart that share a frequent passage only), all others by hash. The first n-grams are dealt over
+   shards as packed arrays. A shard
    sorts its n-grams, and classes that share one are cut where neighbouring sizes differ too much to
    link: the runs are the tiles. Equal tiles are kept once. A run of more than ``block`` classes is
    dealt as pairs of blocks that are compatible in size.
@@ -172,7 +174,26 @@ MADE_SCHEMA = (
 )
 
 
-def profiles_and_postings(docs: DataFrame, n: int, percent: int, shards: int) -> DataFrame:
+def frequent_ngrams(docs: DataFrame, n: int, share: float) -> np.ndarray:
+    """Sorted hashes of n-grams that at least ``share`` of all texts hold, as far as batches show them.
+
+    Every batch counts all its texts and reports what is frequent in it, and the reports are added
+    up. At most (mean set size) / ``share`` n-grams can be that frequent, which bounds the result.
+    """
+    def heavy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            grams, counts = np.unique(np.concatenate([ngram_set(t, n) for t in frame["_text"]]), return_counts=True)
+            often = counts >= max(8, share * len(frame))
+            yield pd.DataFrame({"gram": grams[often].view(np.int64), "texts": counts[often]})
+
+    reports = docs.select(whole_text().alias("_text")).mapInPandas(heavy, "gram long, texts long")
+    known = reports.groupBy("gram").agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= share * docs.count())
+    return np.sort(np.array([r["gram"] for r in known.collect()], dtype=np.int64).view(np.uint64))
+
+
+def profiles_and_postings(docs: DataFrame, n: int, percent: int, shards: int, frequent: np.ndarray) -> DataFrame:
     """A profile per row, and per incoming batch and shard one row of packed prefix n-grams."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -190,7 +211,10 @@ def profiles_and_postings(docs: DataFrame, n: int, percent: int, shards: int) ->
             for k, i in enumerate(first.values()):
                 s = sets[i]
                 keep = len(s) + percent * len(s) // -100 + 1
-                ranked = _mix(s * ODD)  # an order that has nothing to do with the shard
+                ranked = _mix(s * ODD) >> np.uint64(1)  # an order that has nothing to do with the shard
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                    ranked[frequent[at] == s] += np.uint64(1 << 63)
                 grams.append(s[np.argpartition(ranked, keep - 1)[:keep]] if keep < len(s) else s)
                 owner.append(np.full(keep, k, dtype=np.int32))
             flat, who = np.concatenate(grams), np.concatenate(owner)
@@ -303,19 +327,18 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(tile, node, grams binary) for the classes of ``wanted`` (node, doc, tiles)."""
+    """(node, grams binary) for the classes of ``wanted`` (node, doc)."""
     def arrays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = [ngram_set(t, n) for t in frame["_text"]]
             # Another row may carry the same id: only the wanted set passes.
             right = [node_of(s) == node for s, node in zip(sets, frame["node"])]
-            yield pd.DataFrame({
-                "node": frame["node"], "tiles": frame["tiles"], "grams": [s.tobytes() for s in sets]})[right]
+            yield pd.DataFrame({"node": frame["node"], "grams": [s.tobytes() for s in sets]})[right]
 
     texts = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("_text"))
     # The wanted classes are narrow rows and are built into a table per partition; texts stream past.
     return texts.join(wanted.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc"))).mapInPandas(
-        arrays, "node long, tiles array<long>, grams binary").select(F.explode("tiles").alias("tile"), "node", "grams")
+        arrays, "node long, grams binary")
 
 
 def verified(sets: DataFrame, percent: int) -> DataFrame:
@@ -331,12 +354,15 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
     return sets.repartition("tile").sortWithinPartitions("tile").mapInPandas(check, "u long, v long")
 
 
-def link(docs: DataFrame, n: int = 5, percent: int = 75, block: int = 2048, set_block: int = 512) -> DataFrame:
+def link(
+    docs: DataFrame, n: int = 5, percent: int = 75, block: int = 4096, set_block: int = 512, frequent_share: float = 0.002,
+) -> DataFrame:
     """(doc_id, n_shingles, component_id); component_id is the smallest id that links reach."""
     # The number of shards follows the input, so that a shard's n-grams fit a task at every size.
-    parts = docs.agg(F.max(F.spark_partition_id())).first()[0] or 0  # reads no column
+    parts = docs.select(F.spark_partition_id().alias("_p")).agg(F.max("_p")).first()[0] or 0  # reads no column
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, 2 * (parts + 1))
-    made = written(profiles_and_postings(docs, n, percent, shards), "ngrams")
+    made = written(profiles_and_postings(
+        docs, n, percent, shards, frequent_ngrams(docs, n, frequent_share)), "ngrams")
     profile = made.filter("shard IS NULL").select("doc_id", "n_shingles", "node")
     dealt = made.filter("shard IS NOT NULL").select("shard", "grams", "owners", "nodes", "sizes")
     classes = written(
@@ -359,7 +385,12 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, block: int = 2048, set_
     blocks = F.sequence(F.lit(0), F.col("_blocks") - 1)
     spots = F.when(F.col("node") == F.col("_pivot"), blocks).otherwise(F.array("_block"))
     placed = written(placed.withColumn("tiles", F.transform(spots, lambda b: F.xxhash64("component", b))), "placed")
-    links = written(verified(sets_of(docs, placed.select("node", "doc", "tiles"), n), percent), "links")
+    sets = written(sets_of(docs, placed.select("node", "doc"), n), "sets")
+
+    def dealt_sets(where: DataFrame) -> DataFrame:
+        return where.join(sets, "node").select(F.explode("tiles").alias("tile"), "node", "grams")
+
+    links = written(verified(dealt_sets(placed.select("node", "tiles")), percent), "links")
     reached = written(components(links).select(F.col("id").alias("node"), F.col("component").alias("_reached")), "reached")
 
     # Components of several blocks that the first pass left in several parts: compare their blocks.
@@ -369,8 +400,8 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, block: int = 2048, set_
     if not open_.isEmpty():
         pairs = F.transform(F.filter(blocks, lambda b: b != F.col("_block")), lambda b: F.xxhash64(
             "component", F.least(b, F.col("_block")), F.greatest(b, F.col("_block"))))
-        more = placed.join(open_, "component").select("node", "doc", pairs.alias("tiles"))
-        links = written(links.union(verified(sets_of(docs, more, n), percent)).distinct(), "all-links")
+        more = placed.join(open_, "component").select("node", pairs.alias("tiles"))
+        links = written(links.union(verified(dealt_sets(more), percent)).distinct(), "all-links")
         reached = written(components(links).select(F.col("id").alias("node"), F.col("component").alias("_reached")), "all-reached")
 
     named = written(classes.select("node", "doc").join(reached, "node", "left").withColumn(

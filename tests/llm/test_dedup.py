@@ -73,6 +73,12 @@ def test_ngram_join_equals_brute_force(spark, blocks):
     assert got == brute(texts, 5, 75)
 
 
+def test_frequent_ngrams_come_last(spark):
+    docs = spark.createDataFrame([(i, f"own{i} a b c d e f") for i in range(40)], "doc_id long, text string").coalesce(1)
+    frequent = ngram_join.frequent_ngrams(docs, 5, 0.5)
+    assert set(frequent.tolist()) == set(ngram_join.ngram_set("a b c d e f").tolist())
+
+
 def test_bounds_and_intersections():
     rng = np.random.default_rng(2)
     for _ in range(200):
