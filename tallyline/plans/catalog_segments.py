@@ -146,7 +146,7 @@ def _(t):
 
 @query("knn_curve", f"""WITH {_VECTORS}, k AS (SELECT a.id, round(list_sort(list(list_distance(a.vector, b.vector)))[21], 6) AS distance
     FROM vec a CROSS JOIN vec b GROUP BY 1)
-  SELECT id, distance, CAST(row_number() OVER (ORDER BY distance, id) AS BIGINT) AS position FROM k""")
+  SELECT id, distance, CAST(row_number() OVER (ORDER BY distance, id) AS INTEGER) AS position FROM k""")
 def _(t):
     """The sorted distances to the 20th neighbour, from which EPS below is read."""
     far = rounded(pairwise.knn_distance(_points(t), 20), 6, "distance")
