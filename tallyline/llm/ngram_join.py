@@ -185,7 +185,7 @@ def frequent_ngrams(docs: DataFrame, n: int, share: float) -> np.ndarray:
             if not len(frame):
                 continue
             grams, counts = np.unique(np.concatenate([ngram_set(t, n) for t in frame["_text"]]), return_counts=True)
-            often = counts >= max(8, share * len(frame))
+            often = counts >= max(3, share * len(frame))
             yield pd.DataFrame({"gram": grams[often].view(np.int64), "texts": counts[often]})
 
     reports = docs.select(whole_text().alias("_text")).mapInPandas(heavy, "gram long, texts long")
@@ -355,7 +355,7 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link(
-    docs: DataFrame, n: int = 5, percent: int = 75, block: int = 4096, set_block: int = 512, frequent_share: float = 0.002,
+    docs: DataFrame, n: int = 5, percent: int = 75, block: int = 4096, set_block: int = 512, frequent_share: float = 0.0005,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id); component_id is the smallest id that links reach."""
     # The number of shards follows the input, so that a shard's n-grams fit a task at every size.
