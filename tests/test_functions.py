@@ -131,3 +131,9 @@ def test_headings_round_trip(spark):
 def test_volume_band_matches_its_limits(spark, x):
     got = values(spark, "double", [x], numeric.volume_band("v"))[0]
     assert got == ("low" if x < 100 else "medium" if x < 1000 else "high")
+
+
+def test_text_without_digits_compares_raw(spark):
+    frame = spark.createDataFrame([("Hip2",), ("Hip system",), ("a1",), ("a!",), ("Hip10",)], "v string")
+    got = [r[0] for r in frame.orderBy(text.natural_key("v")).collect()]
+    assert got == ["Hip system", "Hip2", "Hip10", "a!", "a1"]
