@@ -3,15 +3,34 @@
 All stages but the last return the columns they were given. ``n_chars``, where there is such a
 column, follows the text. Rows that share an id are one document to the near-duplicate stage and stay
 or go together; rows without an id stay. An empty table passes through every stage.
+
+A stage begins by removing the intermediate tables of the stage before it, whose result has been
+written by then.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import divergence, line_chunks, ngram_join, packing, pii_crf
-from tallyline.llm.common import table, vocabulary_path, written
+from tallyline.llm.common import WRITTEN, discard, table, vocabulary_path, written
+
+_left: list[str] = []  # intermediate tables of the stage that ran last
+
+
+def _stage(step):
+    @functools.wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _left)
+        before = len(WRITTEN)
+        result = step(spark, docs, sf_dir)
+        _left[:] = WRITTEN[before:]
+        return result
+
+    return run_step
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -50,11 +69,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality", quality),
-    ("lines", lines),
-    ("near_duplicates", near_duplicates),
-    ("personal_data", personal_data),
-    ("packing", packed),
+    ("quality", _stage(quality)),
+    ("lines", _stage(lines)),
+    ("near_duplicates", _stage(near_duplicates)),
+    ("personal_data", _stage(personal_data)),
+    ("packing", _stage(packed)),
 ]
 
 # No single SQL statement: stages of the list tokenize, search components and apply a trained tagger.

@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 from tallyline.lineage import scratch_path
 
 
+# Folders of the tables written by this process, in order.
+WRITTEN: list[str] = []
+
+
+def discard(spark, paths: list[str]) -> None:
+    """Remove written tables that no unfinished result reads any more."""
+    context = spark.sparkContext
+    for path in paths:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
@@ -19,6 +31,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     only what it needs and a lost executor costs nothing that was written.
     """
     path = scratch_path(df.sparkSession, name)
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
