@@ -47,7 +47,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines are taken out of all texts but the first."""
+    """Repeated passages of two lines or more are taken out of all texts but the first."""
     return _counted(line_chunks.dedup(docs).select(*[f"`{c}`" for c in docs.columns]))
 
 

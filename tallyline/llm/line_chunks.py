@@ -1,4 +1,15 @@
-"""Line dedup over content-defined chunks, with DataFrame functions only.
+"""Line dedup, with DataFrame functions only: every repeated passage, or whole content-defined chunks.
+
+``dedup`` removes every passage of two visible lines or more that occurred before. Its unit is the
+stretch of two consecutive visible lines with the blank lines between them, so where a passage stands
+and what surrounds it does not matter. Keys of all stretches are counted (pre-aggregated, 8 bytes
+each), stretches whose key was found once are left behind, and the others are compared by a 256-bit
+digest of their text. All but the first place of a stretch (smallest document id, then line) lose their
+lines. A line is only removed where an equal line stands at a smaller place, so each text of a line
+stays at least once.
+
+``dedup_chunks`` is the registered query and what its SQL states. It removes whole chunks only, and
+short passages that hold no chunk of their own stay.
 
 Lines are hashed, a rolling hash over ``WINDOW`` consecutive line hashes is taken at every line, and a
 chunk ends where it is smaller than at both neighbouring lines. The place of an end depends on a few
@@ -12,9 +23,10 @@ for the documents themselves. Joins on a chunk's key have a plain exchange on bo
 adaptive execution can split a chunk that very many documents share.
 
 Edge cases: a null text stays null; single lines and chunks without any visible character are never
-removed; a document may end up empty but keeps its row; equal rows (same id and text) count as one
-occurrence and are treated alike; a null id comes before all others; an empty table gives an
-empty result; other columns are kept as they are.
+removed (nor, by ``dedup``, a single line that repeats between blank lines, or the overlap of a
+stretch of two equal lines with itself); a document may end up empty but keeps its row; equal rows
+(same id and text) count as one occurrence and are treated alike; a null id comes before all others;
+an empty table gives an empty result; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -59,13 +71,37 @@ def stretch(lines: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, end - start + 1), "\n")
 
 
-def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks taken out of the text, and n_lines and n_removed (lines)."""
+def _pieces(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    text = whole_text(text_column)
+    return docs.select(
+        F.col(id_column).alias("_doc"), F.xxhash64(text).alias("_text_key"), F.split(text, "\n").alias("_lines"))
+
+
+def _cut(docs: DataFrame, places: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``docs`` without the lines of ``places`` (_d, _t, _place: start and end), and n_lines and n_removed."""
     lines_name, removed_name, n_lines, n_removed, of_id, of_text = unused(
         docs, "_lines", "_removed", "n_lines", "n_removed", "_d", "_t")
     text, key = whole_text(text_column), F.xxhash64(whole_text(text_column))
-    pieces = docs.select(
-        F.col(id_column).alias("_doc"), key.alias("_text_key"), F.split(text, "\n").alias("_lines"))
+    taken = places.groupBy(
+        F.col("_d").alias(of_id), F.col("_t").alias(of_text)).agg(F.collect_set("_place").alias(removed_name))
+    # Lines are cut after the exchange, so that texts move once.
+    joined = docs.join(
+        taken.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col(of_id)) & (key == F.col(of_text)), "left"
+    ).withColumn(lines_name, F.split(text, "\n"))
+    gone = F.array_distinct(F.flatten(F.transform(removed_name, lambda x: F.sequence(x["_start"], x["_end"]))))
+    kept = let(F.col(lines_name), lambda ls: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)), "\n"))
+    columns = [
+        F.when(F.col(removed_name).isNull(), F.col(text_column)).otherwise(kept).alias(text_column)
+        if c == text_column else F.col(f"`{c}`") for c in docs.columns
+    ]
+    return joined.select(
+        *columns, F.size(lines_name).cast("long").alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_removed))
+
+
+def dedup_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with repeated chunks taken out of the text, and n_lines and n_removed (lines)."""
+    pieces = _pieces(docs, id_column, text_column)
     chunks = (
         pieces.withColumn("_chunk", F.explode(chunk_bounds(F.col("_lines"))))
         .filter(F.col("_chunk.end") > F.col("_chunk.start"))
@@ -101,25 +137,54 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         .filter(F.col("_part") == F.col("_text"))
         .select(F.col("_doc").alias("_d"), F.col("_text_key").alias("_t"), F.struct("_start", "_end").alias("_place"))
     )
-    taken = written(equal, "removed").groupBy(
-        F.col("_d").alias(of_id), F.col("_t").alias(of_text)).agg(F.collect_set("_place").alias(removed_name))
-    # Lines are cut after the exchange, so that texts move once.
-    joined = docs.join(
-        taken.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col(of_id)) & (key == F.col(of_text)), "left"
-    ).withColumn(lines_name, F.split(text, "\n"))
-    gone = F.flatten(F.transform(removed_name, lambda x: F.sequence(x["_start"], x["_end"])))
-    kept = let(F.col(lines_name), lambda ls: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)), "\n"))
-    columns = [
-        F.when(F.col(removed_name).isNull(), F.col(text_column)).otherwise(kept).alias(text_column)
-        if c == text_column else F.col(f"`{c}`") for c in docs.columns
-    ]
-    return joined.select(
-        *columns, F.size(lines_name).cast("long").alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_removed))
+    return _cut(docs, written(equal, "removed"), id_column, text_column)
+
+
+def stretches(lines: Column) -> Column:
+    """Array of (start, end) of every two consecutive visible lines, both inclusive."""
+    visible = F.filter(
+        F.transform(lines, lambda x, i: F.when(x.rlike("[^ \\t-\\r]"), i)), lambda i: i.isNotNull())
+    return let(visible, lambda v: F.transform(
+        F.slice(v, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0))),
+        lambda x, k: F.struct(x.alias("start"), F.get(v, k + 1).alias("end"))))
+
+
+def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` without any repeated passage of two lines or more, and n_lines and n_removed (lines)."""
+    pieces = _pieces(docs, id_column, text_column)
+
+    def spelled(place: Column) -> Column:
+        return stretch(F.col("_lines"), place["start"], place["end"])
+
+    # Texts and line arrays stay in their row; narrow rows leave it.
+    keys = pieces.select(F.explode(F.transform(stretches(F.col("_lines")), lambda p: F.xxhash64(spelled(p)))).alias("_known"))
+    twice = written(
+        keys.groupBy("_known").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_known"), "twice")
+    places = pieces.select("_doc", "_text_key", F.explode(F.transform(stretches(F.col("_lines")), lambda p: let(
+        spelled(p), lambda t: F.struct(
+            p["start"].alias("_start"), p["end"].alias("_end"), F.xxhash64(t).alias("_key"),
+            F.unhex(F.sha2(t.cast("binary"), 256)).alias("_digest"))))).alias("_place"))
+    found = written(
+        places.select("_doc", "_text_key", "_place.*").join(twice, F.col("_key") == F.col("_known")).drop("_key", "_known"),
+        "passages")
+    place = F.struct("_doc", "_text_key", "_start", "_end")
+    first = written(
+        found.groupBy("_digest").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > 1).select(F.col("_digest").alias("_known"), "_first"),
+        "first-passages")
+    # Equal lines in a row: a stretch that begins in its own first place is no second one.
+    overlaps = (F.col("_doc").eqNullSafe(F.col("_first._doc")) & (F.col("_text_key") == F.col("_first._text_key"))
+                & (F.col("_start") <= F.col("_first._end")))
+    gone = (
+        found.join(first, F.col("_digest") == F.col("_known"))
+        .filter(~overlaps)
+        .select(F.col("_doc").alias("_d"), F.col("_text_key").alias("_t"), F.struct("_start", "_end").alias("_place"))
+    )
+    return _cut(docs, written(gone, "removed"), id_column, text_column)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 # Whole chunks are compared as text; no key takes part.

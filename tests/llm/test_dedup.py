@@ -29,6 +29,53 @@ def test_single_lines_stay(spark):
     assert {r["text"] for r in line_chunks.dedup(docs).collect()} == {r["text"] for r in docs.collect()}
 
 
+def without_repeats(texts: dict[int, str]) -> dict[int, str]:
+    """Every two adjacent lines that stood before, in order of id and line, lose both lines."""
+    seen, out = {}, {}
+    for d in sorted(texts):
+        ls, gone = texts[d].split("\n"), set()
+        for i in range(len(ls) - 1):
+            pair = (ls[i], ls[i + 1])
+            if pair in seen and not (ls[i] == ls[i + 1] and seen[pair] == (d, i - 1)):
+                gone |= {i, i + 1}
+            seen.setdefault(pair, (d, i))
+        out[d] = "\n".join(x for i, x in enumerate(ls) if i not in gone)
+    return out
+
+
+def test_short_passages_are_removed_wherever_they_stand(spark):
+    """Passages of 2 to 6 lines in the middle of documents of own lines; chunk ends fall where they may."""
+    rng = random.Random(11)
+    texts: dict[int, str] = {}
+    for size in range(2, 7):
+        for j in range(12):
+            passage = [f"passage {size} {j} line {k} {rng.random()}" for k in range(size)]
+            for copy in range(2):
+                before, after = ([f"own {size} {j} {copy} {side} {k}" for k in range(rng.randint(3, 9))] for side in "ab")
+                texts[len(texts)] = "\n".join([*before, *passage, *after])
+    texts[len(texts)] = "x\nx\nx\nx\nx"
+    texts[len(texts)] = "one\n\nall rights reserved\n\ntwo"
+    texts[len(texts)] = "three\n\nall rights reserved\n\nfour"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    rows = {r["doc_id"]: r for r in line_chunks.dedup(docs).collect()}
+    n = len(texts) - 3
+    for d in range(0, n, 2):
+        assert rows[d]["text"] == texts[d]
+        assert "passage" not in rows[d + 1]["text"] and rows[d + 1]["n_removed"] == 2 + d // 24
+    assert {d: r["text"] for d, r in rows.items() if d < n} == {d: t for d, t in without_repeats(texts).items() if d < n}
+    assert rows[n]["text"] == "x\nx"
+    assert all(rows[d]["text"] == texts[d] for d in (n + 1, n + 2))  # single lines between blank lines
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(5)
+    texts = {i: "\n".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(0, 9))) or "z" for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_chunks.dedup(docs).collect()}
+    assert got == without_repeats(texts)
+    assert {x for t in got.values() for x in t.split("\n") if x} == {x for t in texts.values() for x in t.split("\n")}
+
+
 def brute(texts: dict[int, str], n: int, percent: int) -> dict[int, int]:
     sets = {}
     for d, t in texts.items():
