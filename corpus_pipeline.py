@@ -1,8 +1,8 @@
 """The training-data pipeline: stages over the documents table, each written and read again.
 
 All stages but the last return the columns they were given. ``n_chars``, where there is such a
-column, follows the text. Rows that share an id are one document to the near-duplicate stage and stay
-or go together; rows without an id stay. An empty table passes through every stage.
+column, follows the text. The near-duplicate stage decides per row: rows that share an id stay or go by
+their own text, and rows without an id come after all others. An empty table passes through every stage.
 
 A stage begins by removing the intermediate tables of the stage before it, whose result has been
 written by then.
@@ -52,10 +52,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
-    linked = ngram_join.link(docs)
-    gone = linked.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(written(gone, "gone").hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each group of linked rows the one with the smallest id."""
+    return ngram_join.first_rows(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import table, whole_text, written
+from tallyline.llm.common import table, unused, whole_text, written
 from tallyline.operators.pairwise import components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -169,7 +169,7 @@ def forest(nodes: np.ndarray, sizes: np.ndarray, bits: list[bytes], percent: int
 
 
 MADE_SCHEMA = (
-    "n_shingles long, node long, bits binary, "  # of one row of the input
+    "n_shingles long, node long, bits binary, text_key long, "  # of one row of the input
     "shard int, grams binary, owners binary, nodes binary, sizes binary"  # of one batch and shard
 )
 
@@ -193,6 +193,11 @@ def frequent_ngrams(docs: DataFrame, n: int, share: float) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in known.collect()], dtype=np.int64).view(np.uint64))
 
 
+def text_key() -> Column:
+    """64 bits that tell the texts of rows with equal ids apart."""
+    return F.xxhash64(whole_text())
+
+
 def profiles_and_postings(docs: DataFrame, n: int, percent: int, shards: int, frequent: np.ndarray) -> DataFrame:
     """A profile per row, and per incoming batch and shard one row of packed prefix n-grams."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -203,7 +208,7 @@ def profiles_and_postings(docs: DataFrame, n: int, percent: int, shards: int, fr
             nodes = [node_of(s) for s in sets]
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"].array, "n_shingles": [len(s) for s in sets], "node": nodes,
-                "bits": [signature(s) for s in sets]}).reindex(columns=columns)
+                "bits": [signature(s) for s in sets], "text_key": frame["_text_key"]}).reindex(columns=columns)
             first = {node: i for i, node in reversed(list(enumerate(nodes))) if len(sets[i])}
             if not first:
                 continue
@@ -231,13 +236,13 @@ def profiles_and_postings(docs: DataFrame, n: int, percent: int, shards: int, fr
                              names[members].tobytes(), size[members].tobytes()))
             yield pd.DataFrame(rows, columns=["shard", "grams", "owners", "nodes", "sizes"]).reindex(columns=columns)
 
-    columns = ["doc_id", "n_shingles", "node", "bits", "shard", "grams", "owners", "nodes", "sizes"]
+    columns = ["doc_id", "n_shingles", "node", "bits", "text_key", "shard", "grams", "owners", "nodes", "sizes"]
 
     def typed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in deal(frames):
-            yield frame.astype({"n_shingles": "Int64", "node": "Int64", "shard": "Int32"})
+            yield frame.astype({"n_shingles": "Int64", "node": "Int64", "text_key": "Int64", "shard": "Int32"})
 
-    return docs.select("doc_id", whole_text().alias("_text")).mapInPandas(typed, f"doc_id {kind}, {MADE_SCHEMA}")
+    return docs.select("doc_id", whole_text().alias("_text"), text_key().alias("_text_key")).mapInPandas(typed, f"doc_id {kind}, {MADE_SCHEMA}")
 
 
 def tiles(dealt: DataFrame, percent: int, block: int) -> DataFrame:
@@ -354,16 +359,16 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
     return sets.repartition("tile").sortWithinPartitions("tile").mapInPandas(check, "u long, v long")
 
 
-def link(
+def linked_rows(
     docs: DataFrame, n: int = 5, percent: int = 75, block: int = 4096, set_block: int = 512, frequent_share: float = 0.0005,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id); component_id is the smallest id that links reach."""
+    """The rows of ``link`` with text_key, and ``component``, which is NULL for an empty set alone."""
     # The number of shards follows the input, so that a shard's n-grams fit a task at every size.
     parts = docs.select(F.spark_partition_id().alias("_p")).agg(F.max("_p")).first()[0] or 0  # reads no column
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, 2 * (parts + 1))
     made = written(profiles_and_postings(
         docs, n, percent, shards, frequent_ngrams(docs, n, frequent_share)), "ngrams")
-    profile = made.filter("shard IS NULL").select("doc_id", "n_shingles", "node")
+    profile = made.filter("shard IS NULL").select("doc_id", "n_shingles", "node", "text_key")
     dealt = made.filter("shard IS NOT NULL").select("shard", "grams", "owners", "nodes", "sizes")
     classes = written(
         profile.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n_shingles")),
@@ -407,11 +412,42 @@ def link(
     named = written(classes.select("node", "doc").join(reached, "node", "left").withColumn(
         "_c", F.coalesce("_reached", "node")), "named")
     smallest = named.groupBy("_c").agg(F.min("doc").alias("component_id"))
-    label = written(named.join(written(smallest, "smallest"), "_c").select(F.col("node").alias("_node"), "component_id"), "labels")
+    label = written(named.join(written(smallest, "smallest"), "_c").select(F.col("node").alias("_node"), "_c", "component_id"), "labels")
     joined = profile.join(label, F.col("node") == F.col("_node"), "left")
     return joined.select(
         "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "text_key", F.when(F.col("n_shingles") > 0, F.col("_c")).alias("component"))
+
+
+def link(docs: DataFrame, n: int = 5, percent: int = 75, **blocks) -> DataFrame:
+    """(doc_id, n_shingles, component_id); component_id is the smallest id that links reach."""
+    return linked_rows(docs, n, percent, **blocks).select("doc_id", "n_shingles", "component_id")
+
+
+def first_rows(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """One row of each component, the one with the smallest id (null ids last), and all rows without words."""
+    of_id, of_text = unused(docs, "_d", "_t")
+    rows = written(linked_rows(docs, n, percent).filter("component IS NOT NULL").select(
+        "component", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key").alias("row")), "linked-rows")
+    first = written(
+        rows.groupBy("component").agg(F.min("row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .filter("_n > 1").select(F.col("component").alias("_c"), "_first"),
+        "first-rows")
+    # Pairs of id and text of components of several rows; the first one may be several equal rows.
+    pairs = rows.join(first, F.col("component") == F.col("_c")).groupBy("row").agg(
+        F.max(F.col("row").eqNullSafe(F.col("_first"))).alias("_is_first"), F.count(F.lit(1)).alias("_n"))
+    marks = written(
+        pairs.filter("NOT _is_first OR _n > 1").select(
+            F.col("row.doc_id").alias(of_id), F.col("row.text_key").alias(of_text), "_is_first"),
+        "marks")
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (text_key() == F.col(of_text))
+    left = docs.join(marks.drop("_is_first").hint("shuffle_hash"), same, "left_anti")
+    equal = marks.filter("_is_first")
+    if equal.isEmpty():
+        return left
+    copies = docs.join(equal.select(of_id, of_text).hint("shuffle_hash"), same, "left_semi").withColumn(of_text, text_key())
+    return left.unionByName(copies.dropDuplicates(["doc_id", of_text]).drop(of_text))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

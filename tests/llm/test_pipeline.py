@@ -41,3 +41,19 @@ def test_run_equals_plain_steps(spark):
         got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], dtype="<u4").tolist())
     assert got == expected
     assert 0 < len(got) < len(kept) < docs.count()
+
+
+def test_near_duplicates_decide_per_row(spark):
+    """Repeated and null ids: a clean text keeps its row, copies under one id or without an id go."""
+    long = [" ".join(f"{k}{i}" for i in range(40)) for k in "abcde"]
+    rows = [
+        (1, long[0]), (2, f"{long[0]} more"), (2, long[1]),  # id 2 is a near copy and a clean text
+        (3, long[2]), (3, long[2]), (3, long[2].upper()),  # copies under one id
+        (None, long[3]), (None, long[3]), (None, long[0]), (None, f"{long[4]} more"), (4, long[4]),
+        (5, ""), (5, ""), (None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    found = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in got), key=str)
+    assert found == sorted([(1, long[0]), (2, long[1]), (3, long[2]), (None, long[3]), (4, long[4]),
+                            (5, ""), (5, ""), (None, "")], key=str)
