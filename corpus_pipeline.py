@@ -42,7 +42,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near the reference of their language."""
-    rows = docs.select("doc_id", "lang", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    source = [c for c in docs.columns if c == "source"]
+    rows = docs.select("doc_id", "lang", "text", *source, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return divergence.judge(rows, keep=["_row"]).filter("kept").select("_row.*")
 
 

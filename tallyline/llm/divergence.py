@@ -1,16 +1,23 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
 Each document is compared with the reference of its language by the Jensen-Shannon distance of two
-histograms: character classes, and the common words of the language beside all other words. The
-references are sums over all documents of the language. Short documents have noisy histograms, so
-each comparison has a minimum length below which it has no say.
+histograms: character classes, and the common words of the language beside all other words. Short
+documents have noisy histograms, so each comparison has a minimum length below which it has no say.
+
+A reference is a median of medians: over the documents of a source (all that pass the base rules, each
+with its shares, so length has no weight), then over the sources, so a source has one vote however
+many rows it holds. Shares are counted in ``LEVELS`` steps, so the state of a median is bounded. A
+language has a reference of its own if ``min_sources`` sources hold it; otherwise, and where the
+language is null, or unknown and rare, the reference over all languages is taken. Tables without a
+source column take the median over documents. The registered query and its SQL take the plain sum over
+all documents of a language instead (``reference="sum"``), which a hot source can make its own.
 
 Per-document arrays (words, windows) never leave their row: repeated three-word windows are found
 by sorting window hashes packed with their positions, and the few windows whose hashes meet are then
 compared as text. Only counts are shuffled.
 
-Edge cases: a null text has no words; a null or unknown language has a reference of its own and no
-common words; null and repeated ids and repeated rows keep their own rows; an empty table gives an
+Edge cases: a null text has no words; a null or unknown language has no common words, so its words have
+no say; a null source is a source; null and repeated ids and repeated rows keep their own rows; an empty table gives an
 empty result; other columns are left out unless named in ``keep``.
 """
 
@@ -31,6 +38,7 @@ COMMON_WORDS = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por"],
 }
 BINS = 12
+LEVELS = 4096  # steps of a share from 0 to 1 in the medians of references
 SPACE = "[ \\t-\\r]+"
 # Each class takes what the ones before it left; what remains is other.
 CLASSES = {
@@ -79,7 +87,10 @@ def repeated_words(words: Column, n: Column) -> list[tuple[str, Column]]:
 
 def features(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Counts and histograms of every document, still unwritten."""
-    df = docs.select(F.col("doc_id").alias("doc_id"), *keep, F.col("lang").cast("string").alias("_lang"), whole_text().alias("_text"))
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    df = docs.select(
+        F.col("doc_id").alias("doc_id"), *keep, F.col("lang").cast("string").alias("_lang"), source.alias("_source"),
+        whole_text().alias("_text"))
     df = df.withColumn("_words", F.array_remove(F.split("_text", SPACE), ""))
     df = df.withColumn("n_words", F.size("_words").cast("long"))
     for name, column in repeated_words(F.col("_words"), F.size("_words")):
@@ -103,7 +114,7 @@ def features(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         counts.append(F.col(f"_n_{name}"))
     counts.append(F.length(rest))
     return df.select(
-        "doc_id", *keep, "_lang", "n_words",
+        "doc_id", *keep, "_lang", "_source", "n_words",
         (F.length("_text") - F.col("_n_space")).cast("long").alias("word_chars"),
         F.col("_n_symbol").cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         F.array(*[c.cast("long") for c in counts]).alias("_chars"),
@@ -127,6 +138,51 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
+def sums(measured: DataFrame) -> DataFrame:
+    """(_of, _of_chars, _of_common): all documents of a language added up."""
+    return measured.groupBy(F.col("_lang").alias("_of")).agg(
+        F.array(*[F.sum(F.get("_chars", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("_of_chars"),
+        F.array(*[F.sum(F.get("_common", F.lit(i))) for i in range(BINS + 1)]).alias("_of_common"),
+    )
+
+
+def medians(passed: DataFrame, measured: DataFrame, by_source: bool, min_sources: int, rare_percent: int) -> DataFrame:
+    """(_of, _of_chars, _of_common) for every language of ``measured``, learned from the rows of ``passed``."""
+    sizes = {"_chars": len(CLASSES) + 1, "_common": BINS + 1}
+    known = F.col("_lang").isin(*COMMON_WORDS)
+
+    def middle(df: DataFrame, keys: list[str], value) -> DataFrame:
+        # Doubled, so that a median between two steps stays an integer.
+        arrays = [F.array(*[(2 * F.percentile(value(c, i), F.lit(0.5))).cast("long") for i in range(n)]).alias(c)
+                  for c, n in sizes.items()]
+        return df.groupBy(*keys).agg(*arrays, *([F.count(F.lit(1)).alias("_votes")]), F.sum("_docs").alias("_docs"))
+
+    def share(column: str, i: int) -> Column:
+        part = F.get(column, F.lit(i)) / F.nullif(_total(F.col(column)), F.lit(0).cast("long"))
+        part = F.round(LEVELS * part).cast("long")
+        return F.when(F.coalesce(known, F.lit(False)), part) if column == "_common" else part
+
+    def vote(column: str, i: int) -> Column:
+        return F.get(column, F.lit(i))
+
+    def reference(keys: list[str]) -> DataFrame:
+        one = passed.withColumn("_docs", F.lit(1).cast("long"))
+        return middle(middle(one, [*keys, "_source"], share), keys, vote) if by_source else middle(one, keys, share)
+
+    own = reference(["_lang"]).select(
+        F.col("_lang").alias("_own"), F.col("_chars").alias("_own_chars"), F.col("_common").alias("_own_common"),
+        F.col("_votes").alias("_own_votes"), F.col("_docs").alias("_own_docs"))
+    languages = measured.select(F.col("_lang").alias("_of")).distinct()
+    joined = languages.join(own, F.col("_of").eqNullSafe(F.col("_own")), "left").crossJoin(reference([]))
+    known = F.coalesce(F.col("_of").isin(*COMMON_WORDS), F.lit(False))
+    common = F.col("_of").isNotNull() & (100 * F.col("_own_docs") >= rare_percent * F.col("_docs"))
+    independent = F.coalesce((F.col("_own_votes") >= min_sources) & (known | common), F.lit(False))
+    no_words = F.array(*[F.lit(int(i == BINS)).cast("long") for i in range(BINS + 1)])
+    return joined.select(
+        "_of", F.when(independent, F.col("_own_chars")).otherwise(F.col("_chars")).alias("_of_chars"),
+        F.when(~known, no_words).when(independent, F.col("_own_common")).otherwise(F.col("_common")).alias("_of_common"))
+
+
 def judge(
     docs: DataFrame,
     keep: Sequence[str] = (),
@@ -136,14 +192,16 @@ def judge(
     min_words: int = 100,
     base_words: int = 50,
     repeat_percent: int = 50,
+    reference: str = "sources",
+    min_sources: int = 3,
+    rare_percent: int = 5,
 ) -> DataFrame:
     """One row per document: its counts, char_distance, word_distance, base_failed and kept."""
     measured = written(features(docs, keep), "quality")
+    failed = (F.col("n_words") < base_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     reference = written(
-        measured.groupBy(F.col("_lang").alias("_of")).agg(
-            F.array(*[F.sum(F.get("_chars", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("_of_chars"),
-            F.array(*[F.sum(F.get("_common", F.lit(i))) for i in range(BINS + 1)]).alias("_of_common"),
-        ),
+        sums(measured) if reference == "sum"
+        else medians(measured.filter(~failed), measured, "source" in docs.columns, min_sources, rare_percent),
         "languages",
     )
     df = measured.join(reference, F.col("_lang").eqNullSafe(F.col("_of")))
@@ -153,7 +211,6 @@ def judge(
         ((_total(F.col("_chars")) >= min_chars) & (F.col("char_distance") > char_limit))
         | ((F.col("n_words") >= min_words) & (F.col("word_distance") > word_limit))
     )
-    failed = (F.col("n_words") < base_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     return df.select(
         "doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"),
@@ -162,7 +219,7 @@ def judge(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents"))
+    judged = judge(table(spark, sf_dir, "documents"), reference="sum")
     return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 

@@ -167,6 +167,23 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert counts[(0, False)] > 4 * counts.get((0, True), 0)
 
 
+def test_hot_junk_source_is_no_reference(spark):
+    """A third of all rows from one source of symbol noise, in a common language, in a null and in a rare one."""
+    prose = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    good = {r["doc_id"] for r in divergence.judge(prose).filter("kept").collect()}
+    rng = random.Random(9)
+    noise = [" ".join(rng.choice(["word### word$$$", "text### ab$$$", "some$$$ more###"]) + str(rng.randint(0, 10**6))
+                      for _ in range(60)) for _ in range(500)]
+    for lang, repeat in (("en", 1), (None, 1), ("zz", 1), ("en", 100)):
+        rows = [(-1 - i, " ".join([t] * repeat) if i == 0 else t, lang, "junk") for i, t in enumerate(noise)]
+        junk = spark.createDataFrame(rows, prose.schema)
+        judged = divergence.judge(prose.union(junk)).select("doc_id", "kept", "base_failed").collect()
+        passed = {r["doc_id"] for r in judged if r["kept"]}
+        assert not any(d < 0 for d in passed)
+        assert not all(r["base_failed"] for r in judged if r["doc_id"] < 0)
+        assert len(good - passed) <= 0.01 * len(good)
+
+
 def test_repeated_windows_equal_brute_force(spark):
     rng = random.Random(3)
     texts = {i: " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60))) for i in range(200)}
