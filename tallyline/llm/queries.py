@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallyline.llm import (
     divergence,
+    fill_middle,
     license_scan,
     line_chunks,
     ngram_join,
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_ngram_join": ngram_join.query,
     "op10_token_counts": token_cache.query,
+    "op12_fill_in_middle": fill_middle.query,
 }
 ORACLES: dict[str, str] = {
     "op4_line_chunks": line_chunks.ORACLE,
     "op6_pivot_search": pivot_search.ORACLE,
     "op7_divergence_rules": divergence.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
+    "op12_fill_in_middle": fill_middle.ORACLE,
 }
