@@ -12,7 +12,9 @@ from tallyline.llm import (
     pii_crf,
     piece_rounds,
     pivot_search,
+    secret_ledger,
     token_cache,
+    turn_repair,
     url_models,
 )
 
@@ -27,12 +29,15 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_ngram_join": ngram_join.query,
     "op10_token_counts": token_cache.query,
+    "op11_secret_ledger": secret_ledger.query,
     "op12_fill_in_middle": fill_middle.query,
+    "op13_turn_repair": turn_repair.query,
 }
 ORACLES: dict[str, str] = {
     "op4_line_chunks": line_chunks.ORACLE,
     "op6_pivot_search": pivot_search.ORACLE,
     "op7_divergence_rules": divergence.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
+    "op11_secret_ledger": secret_ledger.ORACLE,
     "op12_fill_in_middle": fill_middle.ORACLE,
 }
