@@ -26,6 +26,7 @@ from tallyline.lineage import cut
 from tallyline.operators.filters import derive
 from tallyline.operators.quantiles import in_buckets, ranked_quantiles, wanted_buckets, with_buckets
 from tallyline.operators.ranking import ordered_position
+from tallyline.operators.user_aggregates import UserAggregator, stateful
 
 Sorter = Sequence[str] | Callable[[Column], Column]
 
@@ -323,7 +324,7 @@ def crosstab(
     rows: Sequence[str] = (),
     cols: Sequence[str] = (),
     vals: Sequence[str] = (),
-    aggregator: str | Callable[..., Column] = "Count",
+    aggregator: str | Callable[..., Column] | UserAggregator = "Count",
     *,
     q: float | None = None,
     predicate: Column | None = None,
@@ -333,16 +334,19 @@ def crosstab(
 ) -> DataFrame:
     """Cross-tabulate ``vals`` by ``rows`` and ``cols``.
 
-    ``aggregator`` is a name of ``AGGREGATORS``, ``"Quantile"`` (with ``q``), or a callable that
-    gets one column per input and returns an aggregate column. An aggregator with one input makes
-    one result column per value attribute, any other makes the column ``value``.
+    ``aggregator`` is a name of ``AGGREGATORS``, ``"Quantile"`` (with ``q``), a callable that
+    gets one column per input and returns an aggregate column, or a ``UserAggregator`` with a state of
+    its own. An aggregator with one input makes one result column per value attribute, any other makes
+    the column ``value``.
     """
     sorters = sorters or {}
     if derived:
         df = derive(df, derived)
     if predicate is not None:
         df = df.filter(predicate)
-    if callable(aggregator):
+    if isinstance(aggregator, UserAggregator):
+        chosen = aggregator
+    elif callable(aggregator):
         chosen = Direct(len(vals), lambda v: aggregator(*[x.raw for x in v]))
     elif aggregator == "Quantile":
         if q is None:
@@ -371,7 +375,13 @@ def crosstab(
     inputs = [value(v) for v in vals[: chosen.inputs]]
     base = chosen.of if isinstance(chosen, Share) else chosen
 
-    if isinstance(base, Merged):
+    if isinstance(base, UserAggregator):
+        inputs_of = {v: [f"_v_{v}"] for v in vals} if one_input else {"value": [f"_v_{v}" for v in vals[: base.inputs]]}
+        # No columns at all would leave a partition's rows without a shape.
+        rows_of = source if source.columns else source.withColumn("_row", F.lit(1))
+        levels = frame.levels() if frame.keys else [(GRAND_TOTAL, [])]
+        table = _by_name(frame, stateful(rows_of, frame.keys, levels, inputs_of, base), list(inputs_of))
+    elif isinstance(base, Merged):
         sets = {n: (base, [v]) for n, v in named.items()} if one_input else {"value": (base, inputs)}
         table = _merged(frame, source, sets)
         if isinstance(chosen, Share):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyline.operators import charts
 from tallyline.operators.crosstab import bar_scale, crosstab, heatmap_scale, ordered
+from tallyline.operators.user_aggregates import GeometricMean, Mode
 from tallyline.plans.registry import lines_sql, query, rounded, sales_sql
 from tallyline.sources.tables import monthly_sales, sales_lines
 
@@ -176,6 +177,22 @@ def _(t):
     return crosstab(_lines(t), ROWS, COLS, [_Q], lambda v: F.max(v) - F.min(v))
 
 
+@query("xt_user_state", f"""SELECT {_HEAD}, round(exp(avg(ln({_Q}))), 6) AS {_Q}, round(exp(avg(ln({_P}))), 6) AS {_P}
+  FROM {_LINES} {_SETS}""")
+def _(t):
+    """A caller's aggregator with a state: geometric means of two measures."""
+    return rounded(crosstab(_lines(t), ROWS, COLS, [_Q, _P], GeometricMean()), 6, _Q, _P)
+
+
+@query("xt_user_mode", f"""WITH c AS (SELECT {_HEAD}, CAST({_Q} AS BIGINT) AS v, count(*) AS n FROM {_LINES}
+    GROUP BY GROUPING SETS ((region, franchise, status, {_Q}), (region, franchise, {_Q}), (status, {_Q}), ({_Q})))
+  SELECT region, franchise, status, level, CAST(v AS VARCHAR) AS quantity FROM c
+  QUALIFY row_number() OVER (PARTITION BY region, franchise, status, level ORDER BY n DESC, CAST(v AS VARCHAR)) = 1""")
+def _(t):
+    lines = _lines(t).withColumn("quantity", F.col(_Q).cast("bigint").cast("string"))
+    return crosstab(lines, ROWS, COLS, ["quantity"], Mode())
+
+
 # --- chart tables --------------------------------------------------------------------------------
 
 _CB = sales_sql(["country"], ["act_orders_rev", "fcst_stat_final_rev"])

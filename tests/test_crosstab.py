@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyline.operators.crosstab import AGGREGATORS, bar_scale, crosstab, heatmap_scale, ordered, to_wide
 from tallyline.operators.quantiles import grouped_quantiles
+from tallyline.operators import user_aggregates
 from tallyline.operators.ranking import ordered_position
+from tallyline.operators.user_aggregates import GeometricMean, Mode, UserAggregator, partial_states
 
 
 @pytest.fixture(scope="module")
@@ -144,3 +146,51 @@ def test_ordered_position_spans_partitions(spark):
     df = spark.range(1000).selectExpr("id", "cast((id * 7919) % 1000 as int) k").repartition(7)
     got = {r["k"]: r["p"] for r in ordered_position(df, [F.col("k")], "p").collect()}
     assert got == {k: k + 1 for k in range(1000)}
+
+
+class _Spread(UserAggregator):
+    """Two inputs and a state of several fields: largest difference of two columns, and rows seen."""
+
+    inputs, state, result = 2, "top double, n long, seen array<double>", "string"
+
+    def push(self, state, one, other):
+        gaps = (one - other).dropna()
+        before = state or {"top": None, "n": 0, "seen": []}
+        tops = [x for x in (before["top"], gaps.max() if len(gaps) else None) if x is not None]
+        return {"top": max(tops, default=None), "n": before["n"] + len(one), "seen": sorted({*before["seen"], *gaps})}
+
+    def merge(self, a, b):
+        tops = [x for x in (a["top"], b["top"]) if x is not None]
+        return {"top": max(tops, default=None), "n": a["n"] + b["n"], "seen": sorted({*a["seen"], *b["seen"]})}
+
+    def value(self, state):
+        return f"{state['top']}/{state['n']}/{len(state['seen'])}"
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_user_aggregator_with_state(sales, partitions):
+    got = cells(crosstab(sales.repartition(partitions), ["r"], ["c"], ["v", "w"], _Spread()))
+    assert got == {
+        ("n", "a", 0): "-1.0/2/2", ("n", "b", 0): "3.0/1/1", ("null", "a", 0): "3.0/1/1", ("s", "b", 0): "None/2/0",
+        ("n", None, 1): "3.0/3/3", ("null", None, 1): "3.0/1/1", ("s", None, 1): "None/2/0",
+        (None, "a", 2): "3.0/3/3", (None, "b", 2): "3.0/3/1", (None, None, 3): "3.0/6/3",
+    }
+
+
+def test_user_aggregator_without_columns_or_rows(spark, sales):
+    total = crosstab(sales, [], [], ["v"], GeometricMean()).collect()
+    assert len(total) == 1 and total[0]["v"] == pytest.approx((1 * 2 * 3 * 4) ** 0.25)
+    assert [r["level"] for r in crosstab(sales, ["r"], [], ["t"], Mode()).orderBy("level").collect()] == [1, 1, 1, 3]
+    assert crosstab(sales.limit(0), ["r"], ["c"], ["v"], GeometricMean()).count() == 0
+
+
+def test_no_group_of_rows_or_states_meets_in_one_task(spark, monkeypatch):
+    """Rows become states in their partition; what is exchanged are states, under a salt first."""
+    many = spark.range(0, 20_000, 1, 16).select(F.lit("a").alias("r"), F.lit("b").alias("c"), (F.col("id") + 1).cast("double").alias("v"))
+    partial = partial_states(many, ["r", "c"], {"v": ["v"]}, GeometricMean())
+    assert partial.count() == 16 and partial.select("_salt").distinct().count() == 16
+    assert "Exchange" not in partial._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(user_aggregates, "HELD", 0)  # sent on after every batch
+    got = crosstab(many, ["r"], ["c"], ["v"], GeometricMean()).collect()
+    expected = float(np.exp(np.log(np.arange(1, 20_001)).mean()))
+    assert len(got) == 4 and all(r["v"] == pytest.approx(expected) for r in got)
