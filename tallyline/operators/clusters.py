@@ -1,11 +1,10 @@
-"""Clustering of series on Spark ML."""
+"""Clustering of series: k-means in batched rounds, and bisecting k-means of Spark ML."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.dates import month_index
 from tallyline.functions.numeric import finite_or_zero, is_finite, safe_div
 from tallyline.lineage import cut
+from tallyline.operators import lloyd
 from tallyline.operators.combine import label_join
 from tallyline.operators.features import TS_FEATURES, ts_features
 from tallyline.operators.filters import training_cutoff
@@ -55,42 +55,29 @@ def standardise(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def vector_table(df: DataFrame, features: Sequence[str], key: str = "unique_id") -> DataFrame:
-    """(key, vector) written once, since every fit reads it again."""
-    return cut(df.select(key, array_to_vector(F.array(*[F.col(f).cast("double") for f in features])).alias("vector")))
+    """The features as points, written once, since every round of a fit reads them again."""
+    vector = F.array(*[F.col(f).cast("double") for f in features])
+    return lloyd.prepared(df.select(key, vector.alias("vector")), "vector", key)
 
 
-RESTARTS = 10
+def best_k(points: DataFrame, last_k: int, default: int = 2, seed: int = SEED) -> tuple[int, float]:
+    """The k from 2 to ``last_k`` with the best silhouette (squared Euclidean), and the score."""
+    run, scores = lloyd.search(points, last_k, default, seed=seed)
+    return run.k, scores.get(run.k, -1.0)
 
 
-def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int = 20, restarts: int = RESTARTS):
-    """The best of several starts by training cost; the first of equal ones."""
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="vector", predictionCol="cluster").fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+def kmeans_labels(points: DataFrame, k: int, key: str = "unique_id", seed: int = SEED) -> DataFrame:
+    """(key, cluster) of the best of several starts."""
+    return lloyd.labels(points, key, lloyd.best_fits(points, {"": k}, seed=seed)).drop("segment")
 
 
-def best_k(vectors: DataFrame, last_k: int, default: int = 2, seed: int = SEED) -> tuple[int, float]:
-    """The k from 2 to ``last_k`` with the best silhouette, and the score.
-
-    Spark's evaluator measures squared Euclidean silhouettes in linear time, which serves to rank k.
-    """
-    best, score = default, -1.0
-    evaluator = ClusteringEvaluator(featuresCol="vector", predictionCol="cluster")
-    for k in range(2, last_k + 1):
-        model = _fit(vectors, k, seed)
-        if sum(1 for size in model.summary.clusterSizes if size) < 2:
-            continue
-        value = evaluator.evaluate(model.transform(vectors))
-        if value > score:
-            best, score = k, value
-    return best, score
-
-
-def kmeans_labels(vectors: DataFrame, k: int, key: str = "unique_id", seed: int = SEED, max_iter: int = 20) -> DataFrame:
-    return _fit(vectors, k, seed, max_iter).transform(vectors).select(key, "cluster")
+def feature_points(
+    history: DataFrame, as_of, key: str = "unique_id", date: str = "ds", value: str = "y",
+) -> DataFrame:
+    """Standardised features of every series up to one month before ``as_of``, as points."""
+    train = training_cutoff(history, as_of, 1, date=date)
+    clean = ts_features(train, key=key, date=date, value=value).select(key, *[finite_or_zero(f).alias(f) for f in TS_FEATURES])
+    return vector_table(standardise(cut(clean), TS_FEATURES), TS_FEATURES, key)
 
 
 def feature_clusters(
@@ -106,15 +93,12 @@ def feature_clusters(
 
     With fewer than four series that have features, every label is NULL.
     """
-    train = training_cutoff(history, as_of, 1, date=date)
-    table = cut(ts_features(train, key=key, date=date, value=value))
-    n = table.count()
+    points = feature_points(history, as_of, key, date, value)
+    n = points.count()
     if n < 4:
         return history.withColumn("cluster", F.lit(None).cast("string"))
-    clean = table.select(key, *[finite_or_zero(f).alias(f) for f in TS_FEATURES])
-    vectors = vector_table(standardise(clean, TS_FEATURES), TS_FEATURES, key)
-    k, _ = best_k(vectors, min(max_clusters, n // 2 - 1), seed=seed)
-    labels = kmeans_labels(vectors, k, key, seed)
+    run, _ = lloyd.search(points, min(max_clusters, n // 2 - 1), seed=seed)
+    labels = lloyd.labels(points, key, {"": run}).drop("segment")
     # The label joins on the series, so all its rows carry it and there is no gap left to fill.
     return label_join(history, labels.withColumn("cluster", F.col("cluster").cast("string")), key)
 
@@ -135,20 +119,19 @@ def shape_clusters(
     key: str = "unique_id",
     date: str = "ds",
     value: str = "y",
-    max_iter: int = 800,
     seed: int = SEED,
 ) -> DataFrame:
     """History with a label per series from the shape of its normalised months.
 
     ``bisecting`` splits clusters top-down, ``kmeans`` fits all at once.
     """
-    vectors = cut(shape_vectors(history, as_of, key, date, value).select(
-        key, array_to_vector("vector").alias("vector")))
+    vectors = shape_vectors(history, as_of, key, date, value)
     if method == "bisecting":
+        vectors = cut(vectors.select(key, array_to_vector("vector").alias("vector")))
         model = BisectingKMeans(k=k, seed=seed, featuresCol="vector", predictionCol="cluster").fit(vectors)
         labels = model.transform(vectors).select(key, "cluster")
     elif method == "kmeans":
-        labels = kmeans_labels(vectors, k, key, seed, max_iter)
+        labels = kmeans_labels(lloyd.prepared(vectors, "vector", key), k, key, seed)
     else:
         raise ValueError(f"unknown method: {method}")
     # The label joins on the series, so all its rows carry it and there is no gap left to fill.

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.numeric import finite_or_zero, safe_div
 from tallyline.lineage import cut
-from tallyline.operators.clusters import SEED, best_k, finite_rows, kmeans_labels, standardise, vector_table
+from tallyline.operators import lloyd
+from tallyline.operators.clusters import SEED, finite_rows, standardise, vector_table
 
 STATISTICAL_FEATURES = (
     "cv", "trend_strength", "seasonality_strength", "growth_rate", "volatility", "break_points")
@@ -35,8 +36,8 @@ def statistical_segments(features: DataFrame, key: str = "unique_id", seed: int
     if n < 2:
         return features.select(key, F.lit("single_cluster").alias("segment"))
     vectors = vector_table(standardise(valid, STATISTICAL_FEATURES), STATISTICAL_FEATURES, key)
-    k, _ = best_k(vectors, min(9, n - 1), seed=seed)
-    labels = kmeans_labels(vectors, k, key, seed)
+    run, _ = lloyd.search(vectors, min(9, n - 1), seed=seed)
+    labels = lloyd.labels(vectors, key, {"": run})
     return features.select(key).join(labels, key, "left").select(
         key,
         F.coalesce(F.concat(F.lit("statistical_cluster_"), F.col("cluster").cast("string")),
@@ -46,29 +47,31 @@ def statistical_segments(features: DataFrame, key: str = "unique_id", seed: int
 def combined_segments(features: DataFrame, key: str = "unique_id", seed: int = SEED) -> DataFrame:
     """Rule segments, those of more than three series split by KMeans on three features.
 
-    There are at most fifteen rule segments (five kinds, three bands), so the loop over them is
-    short; each fit is distributed. Features are standardised within their segment.
+    Features are standardised within their segment. All segments are fitted together, a round of all
+    their restarts being one job.
     """
     base = cut(business_segments(features, key).join(features.select(key, *SUB_FEATURES), key))
+    points, ks = rule_points(base, key)
+    if not ks:
+        return base.select(key, "segment")
+    found = lloyd.labels(points, key, lloyd.best_fits(points, ks, seed=seed)).select(
+        F.col(key).alias("_key"), F.concat("segment", F.lit("_sub"), F.col("cluster").cast("string")).alias("refined"))
+    return base.join(found, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("refined", "segment").alias("segment"))
+
+
+def rule_points(base: DataFrame, key: str = "unique_id") -> tuple[DataFrame, dict[str, int]]:
+    """Points of the rule segments that are split, and the number of clusters of each."""
     valid = finite_rows(base, SUB_FEATURES)
     members = base.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
     stats = valid.groupBy("segment").agg(
         F.count(F.lit(1)).alias("n_valid"),
         *[c for f in SUB_FEATURES for c in (F.avg(f).alias(f"{f}_mean"), F.stddev_pop(f).alias(f"{f}_std"))])
-    scaled = cut(valid.join(stats, "segment").select(key, "segment", *[
-        F.coalesce(safe_div(F.col(f) - F.col(f"{f}_mean"), F.col(f"{f}_std")), F.lit(0.0)).alias(f)
-        for f in SUB_FEATURES]))
-    split = members.join(stats.select("segment", "n_valid"), "segment").filter(
-        (F.col("n") > 3) & (F.col("n_valid") > 1)).orderBy("segment").collect()
-    refined: DataFrame | None = None
-    for row in split:
-        vectors = vector_table(scaled.filter(F.col("segment") == row["segment"]), SUB_FEATURES, key)
-        labels = kmeans_labels(vectors, min(3, row["n_valid"]), key, seed).select(
-            key, F.concat(F.lit(f"{row['segment']}_sub"), F.col("cluster").cast("string")).alias("refined"))
-        refined = labels if refined is None else refined.unionByName(labels)
-    if refined is None:
-        return base.select(key, "segment")
-    return base.join(refined, key, "left").select(key, F.coalesce("refined", "segment").alias("segment"))
+    vector = F.array(*[
+        F.coalesce(safe_div(F.col(f) - F.col(f"{f}_mean"), F.col(f"{f}_std")), F.lit(0.0)) for f in SUB_FEATURES])
+    points = lloyd.prepared(valid.join(stats, "segment").select(key, "segment", vector.alias("vector")), "vector", key, "segment")
+    # Fifteen rows at most: five kinds, three bands.
+    split = members.join(stats.select("segment", "n_valid"), "segment").filter((F.col("n") > 3) & (F.col("n_valid") > 1))
+    return points, {r["segment"]: min(3, r["n_valid"]) for r in split.collect()}
 
 
 def segment_series(features: DataFrame, method: str = "combined", key: str = "unique_id", seed: int = SEED) -> DataFrame:

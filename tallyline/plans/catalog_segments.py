@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.operators.ranking import ordered_position
-from tallyline.operators import charts, clusters, pairwise, segments
-from tallyline.operators.features import sku_features
+from tallyline.operators import charts, clusters, lloyd, pairwise, segments
+from tallyline.operators.features import MIN_LENGTH, sku_features
 from tallyline.operators.windows import zscore
 from tallyline.plans.catalog_series import SKU_SQL
 from tallyline.plans.registry import AS_OF, query, rounded, series_sql
@@ -106,6 +106,42 @@ def _(t):
         "n_series", F.lit(k).alias("best_k"), F.lit(score).alias("score"))
 
 
+_FINITE = " AND ".join(f"isfinite({c})" for c in segments.STATISTICAL_FEATURES)
+
+
+@query("cluster_fixed_point", f"""SELECT 'features' AS method, unique_id, true AS nearest, true AS best_score
+    FROM ({series_sql(_CB)}) WHERE ds <= TIMESTAMP '2001-07-15' GROUP BY unique_id HAVING count(*) >= {MIN_LENGTH}
+  UNION ALL SELECT 'statistical', unique_id, true, true FROM ({SKU_SQL}) WHERE {_FINITE}""")
+def _(t):
+    """Every label names the nearest of the means of the labelled series, and the reported k scores best."""
+    chosen = segments.STATISTICAL_FEATURES
+    valid = clusters.finite_rows(_features(t), chosen)
+    parts = []
+    for method, points, most in (
+        ("features", clusters.feature_points(long_series(t, _CB), AS_OF), 10),
+        ("statistical", clusters.vector_table(clusters.standardise(valid, chosen), chosen), 9),
+    ):
+        run, scores = lloyd.search(points, most)
+        fixed = lloyd.fixed_point(points, lloyd.labels(points, "unique_id", {"": run}), "unique_id")
+        parts.append(fixed.select(F.lit(method).alias("method"), "unique_id", "nearest",
+                                  F.lit(scores[run.k] >= max(scores.values())).alias("best_score")))
+    return parts[0].unionByName(parts[1])
+
+
+@query("segment_fixed_point", f"""WITH {_BUSINESS},
+    ok AS (SELECT * FROM seg WHERE isfinite(cv) AND isfinite(trend_strength) AND isfinite(volatility)),
+    n AS (SELECT segment FROM seg GROUP BY 1 HAVING count(*) > 3),
+    v AS (SELECT segment FROM ok GROUP BY 1 HAVING count(*) > 1)
+  SELECT segment, unique_id, true AS nearest FROM ok WHERE segment IN (FROM n) AND segment IN (FROM v)""")
+def _(t):
+    """The same of the rule segments that are split, all fitted at once."""
+    features = _features(t)
+    base = segments.business_segments(features).join(features.select("unique_id", *segments.SUB_FEATURES), "unique_id")
+    points, ks = segments.rule_points(base)
+    labelled = lloyd.labels(points, "unique_id", lloyd.best_fits(points, ks))
+    return lloyd.fixed_point(points, labelled, "unique_id").select("segment", "unique_id", "nearest")
+
+
 @query("shape_clusters")
 def _(t):
     return clusters.shape_clusters(long_series(t, _CB), AS_OF)
