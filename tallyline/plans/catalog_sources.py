@@ -9,7 +9,7 @@ from tallyline.functions import dates, numeric, text
 from tallyline.lineage import scratch_path
 from tallyline.operators import combine, filters
 from tallyline.plans.registry import AS_OF, LINES_SQL, lines_sql, query, sales_sql
-from tallyline.sources import files, history
+from tallyline.sources import files, history, remote, store
 from tallyline.sources.extract import Selection, Star, extract_count, star_extract
 from tallyline.sources.tables import (
     Tables,
@@ -176,11 +176,24 @@ def _(t):
 
 @query("batch_append", f"SELECT return_flag, count(*) AS n, sum(act_orders_rev_val) AS quantity FROM ({lines_sql(['return_flag'])}) GROUP BY ALL")
 def _(t):
-    lines = sales_lines(t, ["return_flag"])
-    batches = [lines.filter(F.col("return_flag") == f) for f in ("A", "N", "R")]
-    rest = lines.filter(~F.col("return_flag").isin("A", "N", "R") | F.col("return_flag").isNull())
-    return files.append_batches([*batches, rest]).groupBy("return_flag").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("act_orders_rev_val").alias("quantity"))
+    """Record batches of the order lines, appended as they arrive."""
+    lines = remote.read_batches(t.spark, PARQUET_BATCHES, {"path": f"{t.folder}/lineitem.parquet"}, ["l_returnflag", "l_quantity"])
+    return lines.groupBy(F.col("l_returnflag").alias("return_flag")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+PARQUET_BATCHES = "tallyline.sources.remote:ParquetBatches"
+
+
+@query("remote_batches", """SELECT l_returnflag AS return_flag, l_linestatus AS line_status, count(*) AS n, sum(l_quantity) AS quantity
+  FROM lineitem WHERE l_quantity >= 20 AND l_returnflag IN ('A', 'R') GROUP BY ALL""")
+def _(t):
+    """A remote table in batches, with filters that the remote side applies."""
+    columns = ["l_returnflag", "l_linestatus", "l_quantity"]
+    lines = remote.read_batches(t.spark, PARQUET_BATCHES, {"path": f"{t.folder}/lineitem.parquet"}, columns)
+    wanted = lines.filter((F.col("l_quantity") >= 20) & F.col("l_returnflag").isin("A", "R"))
+    return wanted.groupBy(F.col("l_returnflag").alias("return_flag"), F.col("l_linestatus").alias("line_status")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
 def _stored_and_new(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -201,6 +214,17 @@ def _(t):
     return history.history_refresh(stored, new, AS_OF)
 
 
+@query("history_refresh_store", f"""WITH sales AS ({_REGION_MONTH})
+  SELECT * FROM sales WHERE sales_date < TIMESTAMP '2001-02-01' UNION ALL {_NEW_SQL}""")
+def _(t):
+    """The same refresh of a store by month, which rewrites the extract's months only."""
+    stored, new = _stored_and_new(t)
+    path = scratch_path(t.spark, "store")
+    store.create(stored, path)
+    store.refresh(t.spark, path, new)
+    return store.read(t.spark, path)
+
+
 @query("history_refresh_append", f"""WITH sales AS ({_REGION_MONTH})
   SELECT * FROM sales WHERE sales_date <= TIMESTAMP '2001-05-01' UNION ALL {_NEW_SQL}""")
 def _(t):
