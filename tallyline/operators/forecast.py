@@ -322,14 +322,12 @@ def voting_forecast(
 
 
 RIDGE = 0.01
+# A cluster's fit starts from this many rows of the pooled one.
+PRIOR_ROWS = 24.0
 
 
-def _lag_weights(staged: DataFrame, lags: Sequence[int], group: Sequence[str]) -> DataFrame:
-    """Per group, the ridge regression of ``z`` on its lags: ``weights`` and ``intercept``.
-
-    One aggregate of first and second moments per group (map-side combined), then one small system
-    of equations per group. A group without a complete row has no weights.
-    """
+def _lag_moments(staged: DataFrame, lags: Sequence[int], group: Sequence[str]) -> DataFrame:
+    """Per group the complete rows and the means of ``z``, its lags and their products: one aggregate."""
     names = [f"lag{k}" for k in lags]
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     complete = F.lit(True)
@@ -339,11 +337,40 @@ def _lag_weights(staged: DataFrame, lags: Sequence[int], group: Sequence[str]) -
     def mean(c: Column) -> Column:
         return F.avg(F.when(complete, c))
 
-    moments = staged.groupBy(*group).agg(
+    return staged.groupBy(*group).agg(
+        F.count(F.when(complete, 1)).cast("double").alias("rows"),
         F.array(*[mean(F.col(n)) for n in names]).alias("x"), mean(F.col("z")).alias("zz"),
         F.array(*[mean(F.col(n) * F.col("z")) for n in names]).alias("xz"),
         F.array(*[mean(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).alias("xx"))
 
+
+def _towards_pool(moments: DataFrame, width: int, prior: float = PRIOR_ROWS) -> DataFrame:
+    """Each group's means with ``prior`` rows of the pooled means added; a group without rows gets the pool's."""
+    moments = cut(moments)
+    sizes = {"x": width, "xz": width, "xx": width * (width + 1) // 2}
+
+    def pooled(c: Column) -> Column:
+        return F.sum(F.col("rows") * c) / F.nullif(F.sum("rows"), F.lit(0.0))
+
+    pool = moments.filter("rows > 0").agg(F.struct(
+        pooled(F.col("zz")).alias("zz"),
+        *[F.array(*[pooled(F.get(n, F.lit(i))) for i in range(size)]).alias(n) for n, size in sizes.items()])).scalar()
+
+    def mixed(own: Column, whole: Column) -> Column:
+        return F.when(F.col("rows") > 0, (F.col("rows") * own + prior * whole) / (F.col("rows") + prior)).otherwise(whole)
+
+    return moments.withColumn("_pool", pool).select(
+        *[c for c in moments.columns if c not in (*sizes, "zz")], mixed(F.col("zz"), F.col("_pool.zz")).alias("zz"),
+        *[F.zip_with(n, F.col(f"_pool.{n}"), mixed).alias(n) for n in sizes])
+
+
+def solved(moments: DataFrame, width: int, group: Sequence[str]) -> DataFrame:
+    """Per group the ridge regression of ``z`` on its lags: ``weights`` and ``intercept``.
+
+    One small system of equations per group. A group without a mean has no weights.
+    """
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+
     def solve(frames):
         for frame in frames:
             rows = []
@@ -352,7 +379,7 @@ def _lag_weights(staged: DataFrame, lags: Sequence[int], group: Sequence[str]) -
                     rows.append((None, None))
                     continue
                 x, xz = np.array(x, dtype=float), np.array(xz, dtype=float)
-                both = np.zeros((len(names), len(names)))
+                both = np.zeros((width, width))
                 for (i, j), v in zip(pairs, xx):
                     both[i, j] = both[j, i] = v
                 spread = both - np.outer(x, x)
@@ -364,8 +391,22 @@ def _lag_weights(staged: DataFrame, lags: Sequence[int], group: Sequence[str]) -
             out["weights"], out["intercept"] = [r[0] for r in rows], [r[1] for r in rows]
             yield out
 
-    kinds = "".join(f"{g} {staged.schema[g].dataType.simpleString()}, " for g in group)
-    return moments.mapInPandas(solve, f"{kinds}weights array<double>, intercept double")
+    kinds = "".join(f"{g} {moments.schema[g].dataType.simpleString()}, " for g in group)
+    return moments.select(*group, "x", "zz", "xz", "xx").mapInPandas(solve, f"{kinds}weights array<double>, intercept double")
+
+
+def rolled_forward(lags: Sequence[int], horizon: int) -> Column:
+    """The months after ``ys``: a fold over the horizon with ``weights`` and ``intercept`` on values of ``centre`` and ``scale``."""
+    scaled = F.transform("ys", lambda y: (y - F.col("centre")) / F.col("scale"))
+
+    def roll(acc: Column, _: Column) -> Column:
+        value_next = F.col("intercept")
+        for i, k in enumerate(lags):
+            value_next = value_next + F.get("weights", F.lit(i)) * F.coalesce(F.get(acc, F.size(acc) - k), F.lit(0.0))
+        return F.concat(acc, F.array(value_next))
+
+    rolled = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), scaled, roll)
+    return F.transform(F.slice(rolled, F.size("ys") + 1, horizon), lambda z: z * F.col("scale") + F.col("centre"))
 
 
 def lag_regression(
@@ -382,13 +423,15 @@ def lag_regression(
 
     The fit is one aggregate, whatever the number of clusters; the coefficients join the series and
     the recursion is a fold over the horizon. A lag before the start of a series counts as its mean.
-    Where no series has a complete row of lags, nothing can be fitted and the forecast is NULL.
+    A cluster's equations lean towards the pooled ones, so a cluster of short series still has a forecast.
+    Where no series at all has a complete row of lags, nothing can be fitted and the forecast is NULL.
     """
     group = [cluster] if cluster else []
     # Written once: the fit and the roll-forward both read the series.
     df = cut(df.select(key, date, *group, null_to_zero(value).alias(value)))
     staged = lag_set(_scaled(df, key, value), lags, False, "z", key, date)
-    weights = cut(_lag_weights(staged, lags, group))
+    moments = _lag_moments(staged, lags, group)
+    weights = cut(solved(_towards_pool(moments, len(lags)) if group else moments, len(lags), group))
     arrays = history_arrays(df, key, date, value, spread=True).join(_scales(df, key, value), key)
     if cluster:
         labels = df.groupBy(key).agg(F.min(cluster).alias(cluster))
@@ -397,16 +440,7 @@ def lag_regression(
         # One row, read as scalar subqueries.
         arrays = arrays.withColumn("_fit", weights.select(F.struct("weights", "intercept")).scalar()).select(
             "*", "_fit.weights", "_fit.intercept")
-    scaled = F.transform("ys", lambda y: (y - F.col("centre")) / F.col("scale"))
-
-    def roll(acc: Column, _: Column) -> Column:
-        value_next = F.col("intercept")
-        for i, k in enumerate(lags):
-            value_next = value_next + F.get("weights", F.lit(i)) * F.coalesce(F.get(acc, F.size(acc) - k), F.lit(0.0))
-        return F.concat(acc, F.array(value_next))
-
-    rolled = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), scaled, roll)
-    values = F.transform(F.slice(rolled, F.size("ys") + 1, horizon), lambda z: z * F.col("scale") + F.col("centre"))
+    values = rolled_forward(lags, horizon)
     plain = F.when(F.col("intercept").isNotNull(), values).otherwise(F.array_repeat(F.lit(None).cast("double"), horizon))
     if not cluster:
         return _unrolled(arrays, plain, name, key, date)
