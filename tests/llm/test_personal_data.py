@@ -99,3 +99,19 @@ def test_redact(spark):
     got = {r["doc_id"]: r for r in P.redact(docs).collect()}
     assert got[1]["text"] == "mail [EMAIL] or [IP]" and got[1]["spans"] == 5
     assert got[2]["text"] is None
+
+
+def test_labelled_rows_are_not_taken_from_the_tables(spark):
+    """No labelled span, and no number or secret of the unlabelled rows, stands in a table that is judged."""
+    from pyspark.sql import functions as F
+
+    wanted = set()
+    for example in P.EXAMPLES:
+        text, spans = P.parse(example)
+        wanted |= {text[a:b] for _, a, b in spans}
+        wanted |= {w.strip(P.EDGE) for w in text.split() if len(w) >= 14 and any(c in P.MARKS for c in w)}
+    wanted -= {"978-3-16-148410-0"}  # the number that explanations of book numbers use
+    for scale in ("sf0.001", "sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet").select(F.col("text"))
+        held = docs.select(F.explode(F.filter(F.array(*map(F.lit, sorted(wanted))), lambda w: F.contains(F.col("text"), w))).alias("w"))
+        assert [r["w"] for r in held.distinct().collect()] == []
