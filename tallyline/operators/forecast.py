@@ -210,6 +210,76 @@ def exp_smoothing(
     return _unrolled(best, values, name, key, date)
 
 
+BOOST_ROUNDS, BOOST_RATE = 100, 0.5
+
+
+def linear_boost(
+    df: DataFrame,
+    horizon: int = 60,
+    rounds: int = BOOST_ROUNDS,
+    rate: float = BOOST_RATE,
+    penalty: float = 0.0,
+    key: str = "unique_id",
+    date: str = "ds",
+    value: str = "y",
+    name: str = "linear_boost",
+) -> DataFrame:
+    """Boosted linear model per series on month, days since 2021 and the value twelve rows before.
+
+    From the series' mean, every round moves the bias and then each weight in turn by ``rate`` times its
+    Newton step on the squared error (``penalty`` times the squared weights added). All steps follow from the
+    series' sums and products, so the fit is one aggregate and a fold over the rounds, whatever the number of
+    rows; the forecast is a fold over the horizon. A lag before the start counts as the mean.
+    """
+    names = ("month", "days", "lag12")
+    rows = train_features(df.select(key, date, null_to_zero(value).alias(value)), key, date, value)
+    rows = rows.withColumn("_base", F.avg(value).over(Window.partitionBy(key)))
+    x, rest = [F.col(n).cast("double") for n in names], F.col(value) - F.col("_base")
+    sums = rows.groupBy(key).agg(
+        F.max(date).alias("last"), F.first("_base").alias("base"), F.count(F.lit(1)).cast("double").alias("n"),
+        F.array(*[F.sum(c) for c in x]).alias("s"), F.array(*[F.sum(c * rest) for c in x]).alias("c"),
+        *[F.array(*[F.sum(a * b) for b in x]).alias(f"g{i}") for i, a in enumerate(x)])
+
+    def step(w: list[Column], i: int) -> Column:
+        """The weight ``i`` after its step, from the bias (place 0) and weights before it."""
+        gradient = F.get("s", F.lit(i)) * w[0] - F.get("c", F.lit(i)) + penalty * w[i + 1]
+        for j in range(len(names)):
+            gradient = gradient + F.get(f"g{i}", F.lit(j)) * w[j + 1]
+        # A feature that is 0 throughout keeps weight 0.
+        return w[i + 1] - F.coalesce(rate * gradient / F.nullif(F.get(f"g{i}", F.lit(i)) + penalty, F.lit(0.0)), F.lit(0.0))
+
+    def one_round(acc: Column, _: Column) -> Column:
+        def held(values: Column, *rest: Callable[[list[Column]], Column]) -> Column:
+            """The steps one after the other, each value computed once."""
+            if not rest:
+                return values
+            return F.element_at(F.transform(F.array(values), lambda v: held(
+                rest[0]([F.get(v, F.lit(j)) for j in range(len(names) + 1)]), *rest[1:])), 1)
+
+        def moved(i: int) -> Callable[[list[Column]], Column]:
+            return lambda w: F.array(*[step(w, i) if j == i + 1 else w[j] for j in range(len(names) + 1)])
+
+        bias = F.get(acc, F.lit(0))
+        for j in range(len(names)):
+            bias = bias - rate / F.col("n") * F.get("s", F.lit(j)) * F.get(acc, F.lit(j + 1))
+        bias = bias - rate * F.get(acc, F.lit(0))
+        start = F.array(bias, *[F.get(acc, F.lit(j + 1)) for j in range(len(names))])
+        return held(start, *[moved(i) for i in range(len(names))])
+
+    zeros = F.array(*[F.lit(0.0)] * (len(names) + 1))
+    fitted = sums.withColumn("w", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), zeros, one_round)).select(key, "base", "w")
+    states = history_arrays(df, key, date, value, spread=True).join(fitted, key)
+
+    def roll(acc: Column, h: Column) -> Column:
+        day = F.add_months(F.col("last").cast("date"), h)
+        lag = F.coalesce(F.get(acc, F.size(acc) - SEASON), F.col("base"))
+        value_next = F.col("base") + F.get("w", F.lit(0)) + F.get("w", F.lit(1)) * F.month(day) + F.get("w", F.lit(2)) * days_since(day)
+        return F.concat(acc, F.array(value_next + F.get("w", F.lit(3)) * lag))
+
+    rolled = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("ys"), roll)
+    return _unrolled(states, F.slice(rolled, F.size("ys") + 1, horizon), name, key, date)
+
+
 # --- pooled models -------------------------------------------------------------------------------
 
 

@@ -345,6 +345,32 @@ def _(t):
     return rounded(forecast.exp_smoothing(long_series(t, _CB), 60), 3, "exp_smoothing")
 
 
+_BOOST_STEP = "{w} - coalesce(0.5::DOUBLE * ({s} * b + {g1} * w1 + {g2} * w2 + {g3} * w3 - {c}) / nullif({g}, 0), 0)"
+
+
+@query("linear_boost_fc", f"""WITH RECURSIVE s AS ({_RB_SERIES}),
+  f AS (SELECT unique_id, ds, y, CAST(month(ds) AS DOUBLE) AS m, CAST(date_diff('day', DATE '2021-01-01', CAST(ds AS DATE)) AS DOUBLE) AS d,
+    coalesce(lag(y, 12) OVER w, y) AS l, avg(y) OVER (PARTITION BY unique_id) AS base FROM s {_W}),
+  g AS (SELECT unique_id, max(ds) AS last, max(base) AS base, count(*) AS n, sum(m) AS sm, sum(d) AS sd, sum(l) AS sl,
+    sum(m * (y - base)) AS cm, sum(d * (y - base)) AS cd, sum(l * (y - base)) AS cl, sum(m * m) AS mm, sum(m * d) AS md,
+    sum(m * l) AS ml, sum(d * d) AS dd, sum(d * l) AS dl, sum(l * l) AS ll, list(y ORDER BY ds) AS ys FROM f GROUP BY 1),
+  r(unique_id, k, b, w1, w2, w3) AS (
+    SELECT unique_id, 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM g
+    UNION ALL SELECT unique_id, k, b, w1, w2, {_BOOST_STEP.format(w='w3', s='sl', g1='ml', g2='dl', g3='ll', c='cl', g='ll')} FROM (
+      SELECT * REPLACE ({_BOOST_STEP.format(w='w2', s='sd', g1='md', g2='dd', g3='dl', c='cd', g='dd')} AS w2) FROM (
+        SELECT * REPLACE ({_BOOST_STEP.format(w='w1', s='sm', g1='mm', g2='md', g3='ml', c='cm', g='mm')} AS w1) FROM (
+          SELECT g.*, k + 1 AS k, b - 0.5::DOUBLE * (b + (sm * w1 + sd * w2 + sl * w3) / n) AS b, w1, w2, w3
+          FROM r JOIN g ON g.unique_id = r.unique_id WHERE k < 100)))),
+  p(unique_id, h, zs) AS (SELECT unique_id, 0, ys FROM g
+    UNION ALL SELECT p.unique_id, h + 1, list_append(zs, base + b + w1 * month(last + to_months(h + 1))
+      + w2 * date_diff('day', DATE '2021-01-01', CAST(last + to_months(h + 1) AS DATE)) + w3 * CASE WHEN len(zs) >= 12 THEN zs[-12] ELSE base END)
+    FROM p JOIN g ON g.unique_id = p.unique_id JOIN r ON r.unique_id = p.unique_id AND r.k = 100 WHERE h < 60)
+  SELECT p.unique_id, CAST(last + to_months(h) AS TIMESTAMP) AS ds, round(zs[-1], 2) AS linear_boost
+  FROM p JOIN g ON g.unique_id = p.unique_id WHERE h > 0""")
+def _(t):
+    return rounded(forecast.linear_boost(long_series(t, _RB), 60), 2, "linear_boost")
+
+
 @query("cluster_models")
 def _(t):
     # One brand has no label, to show that it is left out.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyline.operators import features, rollup, windows
+from tallyline.operators import features, loess, rollup, windows
 from tallyline.plans.registry import (
     AS_OF,
     query,
@@ -462,6 +462,64 @@ def _(t):
     return rounded(features.seasonal_strength_decomp(long_series(t, _SKU)), 6, "seasonal_strength")
 
 
+def _loess_sql(out: str, source: str, window: int, y: str, weight: str = "1", ends: int = 0, part: str = "unique_id") -> str:
+    """A table (part, pos, v): local regression of ``y`` of ``source`` (part, pos, n) with tricube weights, straight from the definition."""
+    return f"""{out}_x AS (SELECT {part}, n, unnest(range({-ends}, n + {ends})) AS x FROM (SELECT {part}, max(n) AS n FROM {source} GROUP BY {part})),
+  {out}_l AS (SELECT *, greatest(0, least(x - (least({window}, n) + 1) // 2 + 1, n - least({window}, n))) AS lo FROM {out}_x),
+  {out}_h AS (SELECT *, lo + least({window}, n) - 1 AS hi FROM {out}_l),
+  {out}_w AS (SELECT a.*, t.pos AS j, {y} AS y, {weight} * CASE WHEN r > 0.999::DOUBLE THEN 0 WHEN r <= 0.001::DOUBLE THEN 1
+      ELSE (1 - r * r * r) * (1 - r * r * r) * (1 - r * r * r) END AS w
+    FROM (SELECT *, greatest(x - lo, hi - x) + greatest(0, ({window} - n) // 2) AS reach FROM {out}_h) a
+    JOIN {source} t ON {' AND '.join(f't.{c.strip()} = a.{c.strip()}' for c in part.split(','))} AND t.pos BETWEEN a.lo AND a.hi
+    CROSS JOIN LATERAL (SELECT abs(t.pos - a.x) / CAST(greatest(a.reach, 1) AS DOUBLE) AS r)),
+  {out}_s AS (SELECT {part}, x, max(n) AS n, max(reach) AS reach, sum(w) AS w, sum(w * (j - x)) / sum(w) AS c,
+      sum(w * (j - x) * (j - x)) / sum(w) AS cc, sum(w * y) / sum(w) AS l, sum(w * (j - x) * y) / sum(w) AS ly FROM {out}_w GROUP BY {part}, x),
+  {out} AS (SELECT {part}, x AS pos, CASE WHEN reach > 0 AND sqrt(greatest(cc - c * c, 0)) > 0.001::DOUBLE * (n - 1)
+      THEN l - (ly - c * l) / (cc - c * c) * c ELSE l END AS v FROM {out}_s)"""
+
+
+def _stl_round_sql(k: int, trend: str, weight: str) -> str:
+    """Season and trend tables s{k}, t{k} after one alternation from the trend and weights of ``y{k}`` (unique_id, pos, n, y)."""
+    average = "SELECT unique_id, pos, v FROM (SELECT unique_id, pos, avg(v) OVER (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN {0} PRECEDING AND CURRENT ROW) AS v FROM {1}) WHERE pos >= {2}"
+    return f"""sub{k} AS (SELECT unique_id, pos % 12 AS phase, pos // 12 AS pos, count(*) OVER (PARTITION BY unique_id, pos % 12) AS n,
+      y - {trend} AS d, {weight} AS rw FROM y{k}),
+  {_loess_sql(f'c{k}', f'sub{k}', 7, 't.d', 't.rw', 1, 'unique_id, phase')},
+  cyc{k} AS (SELECT unique_id, phase + 12 * (pos + 1) AS pos, v FROM c{k}),
+  a{k} AS ({average.format(11, f'cyc{k}', 11)}), b{k} AS ({average.format(11, f'a{k}', 22)}), m{k} AS ({average.format(2, f'b{k}', 24)}),
+  low{k}_in AS (SELECT unique_id, pos - 24 AS pos, v, count(*) OVER (PARTITION BY unique_id) AS n FROM m{k}),
+  {_loess_sql(f'low{k}', f'low{k}_in', 13, 't.v')},
+  s{k} AS (SELECT y.unique_id, y.pos, cyc{k}.v - low{k}.v AS s FROM y{k} y JOIN cyc{k} ON cyc{k}.unique_id = y.unique_id AND cyc{k}.pos = y.pos + 12
+    JOIN low{k} ON low{k}.unique_id = y.unique_id AND low{k}.pos = y.pos),
+  de{k} AS (SELECT y.*, y - s AS de FROM y{k} y JOIN s{k} USING (unique_id, pos)),
+  {_loess_sql(f't{k}', f'de{k}', 23, 't.de', f't.{weight}' if weight != '1' else '1')}"""
+
+
+# One alternation, one robust repetition: season, trend and weights of the second pass start from those of the first.
+_LOESS_SQL = f"""WITH s AS ({{series}}),
+  num AS (SELECT unique_id, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS pos, count(*) OVER (PARTITION BY unique_id) AS n,
+    var_samp(y) OVER (PARTITION BY unique_id) AS variance, avg(y * y) OVER (PARTITION BY unique_id) AS square FROM s),
+  y1 AS (SELECT unique_id, pos, n, y FROM num WHERE n >= 24 AND variance > 0),
+  {_stl_round_sql(1, '0', '1')},
+  res AS (SELECT y1.unique_id, y1.pos, y1.n, y1.y, t1.v AS trend, abs(y1.y - s1.s - t1.v) AS r FROM y1
+    JOIN s1 USING (unique_id, pos) JOIN t1 USING (unique_id, pos)),
+  med AS (SELECT unique_id, 6 * median(r) AS h FROM res GROUP BY 1),
+  y2 AS (SELECT unique_id, pos, n, y, trend, CASE WHEN r <= 0.001::DOUBLE * h THEN 1 WHEN r > 0.999::DOUBLE * h THEN 0
+    ELSE (1 - (r / h) * (r / h)) * (1 - (r / h) * (r / h)) END AS rw FROM res JOIN med USING (unique_id)),
+  {_stl_round_sql(2, 'trend', 'rw')},
+  v AS (SELECT unique_id, var_pop(s) AS vs, var_pop(y - s - v) AS vr FROM y2 JOIN s2 USING (unique_id, pos) JOIN t2 USING (unique_id, pos) GROUP BY 1)
+  SELECT unique_id, CASE WHEN max(n) < 24 THEN NULL WHEN max(variance) = 0 THEN 0.0
+      WHEN max(vs) + max(vr) <= 1e-24 * max(square) THEN 0.0 ELSE round(max(vs) / (max(vs) + max(vr)), 6) END AS seasonal_strength,
+    count(*) AS n_periods, CASE WHEN count(*) < 24 THEN 'insufficient_data' WHEN max(variance) = 0 THEN 'constant_series' ELSE 'success' END AS status
+  FROM num LEFT JOIN v USING (unique_id) GROUP BY 1"""
+
+
+@query("seasonal_strength_loess", _LOESS_SQL.replace("{series}", _CB_SERIES))
+def _(t):
+    """Decomposition by local regression, one alternation and one robust repetition."""
+    table = loess.seasonal_strength_loess(long_series(t, _CB), inner=1, outer=1)
+    return rounded(table, 6, "seasonal_strength")
+
+
 _CALENDAR = """cal AS (SELECT unique_id, unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS ds FROM s GROUP BY 1),
   full_s AS (SELECT cal.unique_id, cal.ds, y FROM cal LEFT JOIN s ON s.unique_id = cal.unique_id AND s.ds = cal.ds)"""
 _FILLED = f"""{_CALENDAR},
