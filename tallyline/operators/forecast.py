@@ -100,7 +100,7 @@ def history_arrays(
     return arrays.repartition(key) if spread else arrays
 
 
-def _unrolled(states: DataFrame, values: Column, name: str, key: str, date: str) -> DataFrame:
+def unrolled(states: DataFrame, values: Column, name: str, key: str, date: str) -> DataFrame:
     """An array of forecasts per series as rows."""
     return states.select(key, "last", F.posexplode(values).alias("_h", name)).select(
         key, F.add_months(F.col("last").cast("date"), F.col("_h") + 1).cast("timestamp_ntz").alias(date), name)
@@ -118,7 +118,7 @@ def seasonal_naive(
     n = F.size("ys")
     values = F.transform(
         F.sequence(F.lit(0), F.lit(horizon - 1)), lambda h: F.get("ys", n - SEASON + h % SEASON))
-    return _unrolled(states, values, name, key, date)
+    return unrolled(states, values, name, key, date)
 
 
 def linear_trend(
@@ -207,7 +207,7 @@ def exp_smoothing(
     values = F.transform(
         F.sequence(F.lit(1), F.lit(horizon)),
         lambda h: F.col("fit.level") + h * F.col("fit.trend") + F.get(F.col("fit.season"), (h - 1) % SEASON))
-    return _unrolled(best, values, name, key, date)
+    return unrolled(best, values, name, key, date)
 
 
 BOOST_ROUNDS, BOOST_RATE = 100, 0.5
@@ -277,7 +277,7 @@ def linear_boost(
         return F.concat(acc, F.array(value_next + F.get("w", F.lit(3)) * lag))
 
     rolled = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("ys"), roll)
-    return _unrolled(states, F.slice(rolled, F.size("ys") + 1, horizon), name, key, date)
+    return unrolled(states, F.slice(rolled, F.size("ys") + 1, horizon), name, key, date)
 
 
 # --- pooled models -------------------------------------------------------------------------------
@@ -513,7 +513,7 @@ def lag_regression(
     values = rolled_forward(lags, horizon)
     plain = F.when(F.col("intercept").isNotNull(), values).otherwise(F.array_repeat(F.lit(None).cast("double"), horizon))
     if not cluster:
-        return _unrolled(arrays, plain, name, key, date)
+        return unrolled(arrays, plain, name, key, date)
     return arrays.select(key, cluster, "last", F.posexplode(plain).alias("_h", name)).select(
         key, F.add_months(F.col("last").cast("date"), F.col("_h") + 1).cast("timestamp_ntz").alias(date), name, cluster)
 

@@ -28,6 +28,6 @@ def ordered_position(df: DataFrame, order: Sequence[Column], name: str) -> DataF
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
     return (
         ranged.join(starts, "_part")
-        .withColumn(name, (F.col("_before") + local).cast("int"))
+        .withColumn(name, (F.col("_before") + local).cast("long"))
         .drop("_part", "_before", *keys)
     )

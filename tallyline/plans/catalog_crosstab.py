@@ -119,18 +119,18 @@ def _small(t):
 
 
 @query("xt_order_by_key", f"""SELECT c.*, row_rank, col_rank FROM {_CELLS} c
-  LEFT JOIN (SELECT franchise, CAST(row_number() OVER (ORDER BY CAST(replace(franchise, 'Brand#', '') AS INT)) AS INT) AS row_rank
+  LEFT JOIN (SELECT franchise, CAST(row_number() OVER (ORDER BY CAST(replace(franchise, 'Brand#', '') AS INT)) AS BIGINT) AS row_rank
     FROM {_CELLS} WHERE level = 1) r USING (franchise)
-  LEFT JOIN (SELECT status, CAST(row_number() OVER (ORDER BY CASE status WHEN 'P' THEN 0 ELSE 1 END, status) AS INT) AS col_rank
+  LEFT JOIN (SELECT status, CAST(row_number() OVER (ORDER BY CASE status WHEN 'P' THEN 0 ELSE 1 END, status) AS BIGINT) AS col_rank
     FROM {_CELLS} WHERE level = 2) k USING (status)""")
 def _(t):
     return ordered(_small(t), ["franchise"], ["status"], sorters={"status": ["P"]})
 
 
 @query("xt_order_by_value", f"""SELECT c.*, row_rank, col_rank FROM {_CELLS} c
-  LEFT JOIN (SELECT franchise, CAST(row_number() OVER (ORDER BY {_Q} DESC, CAST(replace(franchise, 'Brand#', '') AS INT)) AS INT) AS row_rank
+  LEFT JOIN (SELECT franchise, CAST(row_number() OVER (ORDER BY {_Q} DESC, CAST(replace(franchise, 'Brand#', '') AS INT)) AS BIGINT) AS row_rank
     FROM {_CELLS} WHERE level = 1) r USING (franchise)
-  LEFT JOIN (SELECT status, CAST(row_number() OVER (ORDER BY {_Q}, status) AS INT) AS col_rank
+  LEFT JOIN (SELECT status, CAST(row_number() OVER (ORDER BY {_Q}, status) AS BIGINT) AS col_rank
     FROM {_CELLS} WHERE level = 2) k USING (status)""")
 def _(t):
     return ordered(_small(t), ["franchise"], ["status"], _Q, "value_z_to_a", "value_a_to_z")

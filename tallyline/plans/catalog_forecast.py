@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import key_concat
-from tallyline.operators import backtest, forecast, prefix_backtest
+from tallyline.operators import arima, backtest, forecast, prefix_backtest
 from tallyline.plans import forecast_cycle
 from tallyline.functions.numeric import is_finite
 from tallyline.plans.registry import QUERIES, AS_OF, query, rounded, sales_sql, series_sql
@@ -345,6 +345,59 @@ def _(t):
     return rounded(forecast.exp_smoothing(long_series(t, _CB), 60), 3, "exp_smoothing")
 
 
+_ARIMA_PAIR = """CASE WHEN {a}{a} * {b}{b} - {x} * {x} > 1e-9::DOUBLE * {a}{a} * {b}{b}
+  THEN ({a}w * {b}{b} - {b}w * {x}) / ({a}{a} * {b}{b} - {x} * {x}) ELSE 0 END"""
+
+
+def _arima_candidate(place: int, order: str, one: str = "", two: str = "", cross: str = "") -> str:
+    """A row per series with an order's coefficients (a: autoregression, m: innovation, s: a season before) and AICc."""
+    weights = {"a": "CAST(0 AS DOUBLE)", "m": "CAST(0 AS DOUBLE)", "s": "CAST(0 AS DOUBLE)"}
+    if two:
+        weights[one] = _ARIMA_PAIR.format(a=one, b=two, x=cross)
+        weights[two] = _ARIMA_PAIR.format(a=two, b=one, x=cross)
+    elif one:
+        weights[one] = f"CASE WHEN {one}{one} > 0 THEN {one}w / {one}{one} ELSE 0 END"
+    k = 1 + bool(one) + bool(two)
+    return f"""SELECT unique_id, place, ord, wa, wm, wsm, n * ln(greatest(ww - wa * aw - wm * mw - wsm * sw, 1e-9::DOUBLE * ww) / n)
+        + {2 * k} + {2.0 * k * (k + 1)}::DOUBLE / (n - {k} - 1) AS aicc
+      FROM (SELECT *, {place} AS place, '{order}' AS ord, {weights['a']} AS wa, {weights['m']} AS wm, {weights['s']} AS wsm FROM sums)
+      WHERE n >= 12 + {k} AND ww > 0"""
+
+
+_ARIMA_SQL = f"""WITH RECURSIVE s AS ({_CB_SERIES}),
+  d AS (SELECT *, y - lag(y, 12) OVER w AS w FROM s {_W}),
+  l AS (SELECT *, lag(w, 1) OVER w AS w1, lag(w, 2) OVER w AS w2 FROM d {_W}),
+  g AS (SELECT unique_id, coalesce(sum(w1 * w1) FILTER (WHERE w2 IS NOT NULL), 0) AS aa, coalesce(sum(w2 * w2), 0) AS bb,
+    coalesce(sum(w1 * w2), 0) AS ab, coalesce(sum(w1 * w) FILTER (WHERE w2 IS NOT NULL), 0) AS aw, coalesce(sum(w2 * w), 0) AS bw FROM l GROUP BY 1),
+  e AS (SELECT l.*, w - w1 * {_ARIMA_PAIR.format(a='a', b='b', x='ab')} - w2 * {_ARIMA_PAIR.format(a='b', b='a', x='ab')} AS e FROM l JOIN g USING (unique_id)),
+  r AS (SELECT *, lag(e, 1) OVER w AS e1, lag(e, 12) OVER w AS e12 FROM e {_W}),
+  sums AS (SELECT unique_id, CAST(count(*) AS DOUBLE) AS n, sum(w * w) AS ww, sum(w1 * w) AS aw, sum(e1 * w) AS mw, sum(e12 * w) AS sw, sum(w1 * w1) AS aa,
+    sum(e1 * e1) AS mm, sum(e12 * e12) AS ss, sum(w1 * e1) AS am, sum(w1 * e12) AS xs, sum(e1 * e12) AS ms FROM r
+    WHERE w1 IS NOT NULL AND e1 IS NOT NULL AND e12 IS NOT NULL AND e IS NOT NULL GROUP BY 1),
+  c AS ({' UNION ALL '.join([
+      _arima_candidate(0, '(0,0,0)(0,1,0)'), _arima_candidate(1, '(1,0,0)(0,1,0)', 'a'), _arima_candidate(2, '(0,0,1)(0,1,0)', 'm'),
+      _arima_candidate(3, '(0,0,0)(0,1,1)', 's'), _arima_candidate(4, '(1,0,1)(0,1,0)', 'a', 'm', 'am'),
+      _arima_candidate(5, '(1,0,0)(0,1,1)', 'a', 's', 'xs'), _arima_candidate(6, '(0,0,1)(0,1,1)', 'm', 's', 'ms')])}),
+  best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY round(aicc, 9), place) = 1)"""
+
+
+@query("arima_orders", f"""{_ARIMA_SQL} SELECT sums.unique_id, ord AS "order", round(wa, 6) AS ar1, round(wm, 6) AS ma1, round(wsm, 6) AS sma1
+  FROM sums LEFT JOIN best USING (unique_id)""")
+def _(t):
+    return rounded(arima.fit(long_series(t, _CB)), 6, "ar1", "ma1", "sma1")
+
+
+@query("arima_fc", f"""{_ARIMA_SQL},
+  h AS (SELECT unique_id, max(ds) AS last, list(y ORDER BY ds) AS ys, list(coalesce(w, 0) ORDER BY ds) AS ws, list(coalesce(e, 0) ORDER BY ds) AS es FROM r GROUP BY 1),
+  f(unique_id, k, ys, ws, es, wa, wm, wsm, last) AS (
+    SELECT h.unique_id, 0, ys, ws, es, coalesce(wa, 0), coalesce(wm, 0), coalesce(wsm, 0), last FROM h LEFT JOIN best ON best.unique_id = h.unique_id
+    UNION ALL SELECT unique_id, k + 1, list_append(ys, CASE WHEN len(ys) >= 12 THEN ys[-12] + x END), list_append(ws, x), list_append(es, CAST(0 AS DOUBLE)), wa, wm, wsm, last
+    FROM (SELECT *, wa * ws[-1] + wm * es[-1] + wsm * CASE WHEN len(es) >= 12 THEN es[-12] ELSE 0 END AS x FROM f WHERE k < 36))
+  SELECT unique_id, CAST(last + to_months(k) AS TIMESTAMP) AS ds, round(ys[-1], 3) AS arima FROM f WHERE k > 0""")
+def _(t):
+    return rounded(arima.arima(long_series(t, _CB), 36), 3, "arima")
+
+
 _BOOST_STEP = "{w} - coalesce(0.5::DOUBLE * ({s} * b + {g1} * w1 + {g2} * w2 + {g3} * w3 - {c}) / nullif({g}, 0), 0)"
 
 

@@ -603,7 +603,7 @@ def _(t):
 
 
 @query("natural_sort_key", """SELECT p_brand AS value, CAST(row_number() OVER (ORDER BY regexp_extract(p_brand, '^[^0-9]+'),
-  CAST(regexp_extract(p_brand, '[0-9]+$') AS INT)) AS INT) AS place FROM (SELECT DISTINCT p_brand FROM part)""")
+  CAST(regexp_extract(p_brand, '[0-9]+$') AS INT)) AS BIGINT) AS place FROM (SELECT DISTINCT p_brand FROM part)""")
 def _(t):
     from tallyline.operators.ranking import ordered_position
     values = t("part").select(F.col("p_brand").alias("value")).distinct()
@@ -611,7 +611,7 @@ def _(t):
 
 
 @query("custom_order", """SELECT p_type AS value, CAST(row_number() OVER (ORDER BY CASE p_type WHEN 'STANDARD' THEN 0
-  WHEN 'ECONOMY' THEN 1 ELSE 2 END, p_type) AS INT) AS place FROM (SELECT DISTINCT p_type FROM part)""")
+  WHEN 'ECONOMY' THEN 1 ELSE 2 END, p_type) AS BIGINT) AS place FROM (SELECT DISTINCT p_type FROM part)""")
 def _(t):
     from tallyline.operators.ranking import ordered_position
     values = t("part").select(F.col("p_type").alias("value")).distinct()

@@ -12,6 +12,7 @@ from tallyline.functions.dates import add_months, month_start, stamp
 from tallyline.functions.text import key_split
 from tallyline.lineage import cut
 from tallyline.operators import backtest as validation
+from tallyline.operators.arima import arima
 from tallyline.operators.clusters import shape_clusters
 from tallyline.operators.combine import (
     full_merge,
@@ -30,9 +31,10 @@ from tallyline.operators.forecast import (
     model_input,
     seasonal_naive,
 )
+from tallyline.operators.prefix_backtest import backtest_prefix
 from tallyline.operators.windows import label_fill
 
-MODELS = ("lag_regression", "exp_smoothing", "linear_trend", "seasonal_naive")
+MODELS = ("lag_regression", "arima", "exp_smoothing", "linear_trend", "seasonal_naive")
 
 
 def forecast_enrich(
@@ -88,7 +90,7 @@ def ensemble_forecasts(series: DataFrame, horizon: int = 60) -> DataFrame:
     pooled = (cluster_models(series, horizon) if labelled
               else lag_regression(plain, horizon))
     single = join_models(
-        exp_smoothing(plain, horizon), linear_trend(plain, horizon), seasonal_naive(plain, horizon))
+        arima(plain, horizon), exp_smoothing(plain, horizon), linear_trend(plain, horizon), seasonal_naive(plain, horizon))
     joined = pooled.join(single, ["unique_id", "ds"], "left" if labelled else "full")
     return ensemble_mean(joined, MODELS)
 
@@ -112,16 +114,17 @@ def run_cycle(
     history = cut(history)
     series = model_input(history, as_of, measure)
     forecasts = forecast_enrich(ensemble_forecasts(series, horizon), products, locations)
-    scores = [
-        validation.error_metrics(
-            validation.backtest(series.drop("cluster"), model, as_of, name, pooled=pooled),
-            "actual", "forecast").withColumn("model", F.lit(name))
-        for name, model, pooled in (
-            ("seasonal_naive", seasonal_naive, False),
-            ("linear_trend", linear_trend, False),
-            ("lag_regression", lag_regression, True),
-        )
-    ] if validate else []
+    scores = []
+    if validate:
+        plain = series.drop("cluster")
+        tested = {
+            "seasonal_naive": validation.backtest(plain, seasonal_naive, as_of, "seasonal_naive"),
+            "linear_trend": validation.backtest(plain, linear_trend, as_of, "linear_trend"),
+            "arima": validation.backtest(plain, arima, as_of, "arima"),
+            "lag_regression": backtest_prefix(plain, as_of)[0],
+        }
+        scores = [validation.error_metrics(table, "actual", "forecast").withColumn("model", F.lit(name))
+                  for name, table in tested.items()]
     merged = forecast_merge(history, forecasts, [*MODELS, "ensemble"])
     return merged, reduce(lambda a, b: a.unionByName(b), scores) if scores else None
 
