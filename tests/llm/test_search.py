@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -30,12 +33,30 @@ def test_search_edges(spark):
             (5, [None, 1.0], 1), (None, [1.0, 1.0], 1), (6, [1.0], 1), (7, [], 1), (50, [-0.001, 2.0], 1), (8, [1e30, 0.0], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("score", F.lit("x"))
     got = [tuple(r) for r in pivot_search.search(table, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
-    # 256 * (1, .5), (-1, 512), shorter vectors padded with zeros
-    assert got == [(0, 1, 1, 81920), (0, 2, 6, 65536), (0, 3, 50, 65280), (0, 4, 7, 0),
-                   (50, 1, 0, 65280), (50, 2, 1, 65280), (50, 3, 7, 0), (50, 4, 6, -256)]
+    # 256 * (1, .5), (-1, 512), shorter vectors padded with zeros; both rows of id 1 count, and the very large vector 8
+    assert got == [(0, 1, 8, pivot_search.LONG), (0, 2, 1, 81920), (0, 3, 1, 81920), (0, 4, 6, 65536), (0, 5, 50, 65280),
+                   (50, 1, 0, 65280), (50, 2, 1, 65280), (50, 3, 1, 65280), (50, 4, 7, 0), (50, 5, 6, -256)]
     assert pivot_search.search(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_large_vectors_and_repeated_ids(spark):
+    """Whole numbers of any size, and every row its own candidate, against brute force."""
+    import random
+
+    draw = random.Random(8)
+    sizes = [0.5, 3.0, 70_000.0, 1e9, 3e15, 1e40, 1e300]
+    rows = [(i % 37, [draw.choice([-1, 1]) * draw.random() * draw.choice(sizes) for _ in range(draw.randint(1, 6))]) for i in range(90)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows]
+    expected = []
+    for a, (i, q) in enumerate(whole):
+        if i % 10 == 0:
+            found = sorted((-sum(x * y for x, y in zip(q, c)), j) for b, (j, c) in enumerate(whole) if b != a)[:5]
+            expected += [(i, rank, j, max(-pivot_search.LONG, min(pivot_search.LONG, -s))) for rank, (s, j) in enumerate(found, 1)]
+    got = [tuple(r) for r in pivot_search.search(table, F.col("vec_id") % 10 == 0, pivots=9, query_block=7, row_block=20).collect()]
+    assert sorted(got) == sorted(expected)
+
+
 def test_blocks_do_not_change_the_result(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     one = pivot_search.search(table, F.col("vec_id") % 20 == 0).collect()
