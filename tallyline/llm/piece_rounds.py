@@ -4,7 +4,9 @@ All words of a batch lie in one flat symbol array. A round looks up the rank of
 pair, takes the smallest rank of each word by a segmented minimum, merges all its occurrences at
 once (leftmost first where they overlap) and compacts the array; words without a pair leave it. The
 library merges one pair at a time, so a word in which a merge creates a pair of the same or a
-better rank repeats its round with the leftmost occurrence alone.
+better rank repeats its round with the leftmost occurrence alone. Segments of over ``LONG`` symbols (runs
+of one character, very long words) leave the rounds, whose number would grow with their length, and are
+merged from a heap instead.
 
 Words are cut where no piece of the vocabulary can reach across, which white space is a case of.
 Encoded words are remembered up to ``MEMO`` entries per worker; the memo changes no result.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import codecs
 import functools
+import heapq
 import re
 from collections.abc import Iterator, Sequence
 
@@ -30,6 +33,8 @@ from tallyline.llm.common import table, vocabulary_path, whole_text
 
 SPACE = "▁"
 MEMO = 400_000
+# Segments of more symbols are merged pair by pair from a heap.
+LONG = 512
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NO_RANK = np.iinfo(np.int64).max
 
@@ -147,8 +152,15 @@ class PieceModel:
 
     def _rounds(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols and the segment each belongs to, in segment order."""
-        segment = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(symbols))))
+        lengths = np.diff(np.append(starts, len(symbols)))
+        segment = np.repeat(np.arange(len(starts)), lengths)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            merged_alone = self._one_by_one(symbols[starts[i]:starts[i] + lengths[i]])
+            done.append((merged_alone, np.full(len(merged_alone), i)))
+        if done:
+            short = (lengths <= LONG)[segment]
+            symbols, segment = symbols[short], segment[short]
         rank, merged = self._ranks(symbols, segment)
         while len(symbols):
             first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
@@ -192,6 +204,44 @@ class PieceModel:
         order = np.argsort(segment, kind="stable")
         return symbols[order], segment[order]
 
+    def _one_by_one(self, symbols: np.ndarray) -> np.ndarray:
+        """Final symbols of one long segment: its pairs wait in a heap by rank and place.
+
+        Rounds would read the whole segment as often as it has different ranks, or, in a run of one
+        character whose merges beat those before them, as often as it has merges.
+        """
+        rank, made = self._ranks(symbols, np.zeros(len(symbols), dtype=np.int64))
+        symbol, n = symbols.tolist(), len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        known: dict[int, tuple[int, int] | None] = {}
+        places = np.flatnonzero(rank < NO_RANK)
+        heap = [(r, i, symbol[i], symbol[i + 1], m) for r, i, m in zip(rank[places].tolist(), places.tolist(), made[places].tolist())]
+        heapq.heapify(heap)
+
+        def wait(i: int, j: int) -> None:
+            key = symbol[i] * self.width + symbol[j]
+            if key not in known:
+                hit, at = self.pairs.find(np.array([key]))
+                known[key] = (int(self.rank[at[0]]), int(self.merged[at[0]])) if len(hit) else None
+            pair = known[key]
+            if pair:
+                heapq.heappush(heap, (pair[0], i, symbol[i], symbol[j], pair[1]))
+
+        while heap:
+            _, i, left, right, new = heapq.heappop(heap)
+            j = after[i]
+            if symbol[i] != left or j >= n or symbol[j] != right:
+                continue  # one of the two was merged meanwhile
+            symbol[i], symbol[j] = new, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                wait(i, after[i])
+            if before[i] >= 0:
+                wait(before[i], i)
+        final = np.array(symbol, dtype=np.int64)
+        return final[final >= 0]
+
     def _ranks(self, symbols: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank = np.full(len(symbols), NO_RANK)
         merged = np.zeros(len(symbols), dtype=np.int64)

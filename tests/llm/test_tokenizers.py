@@ -106,3 +106,18 @@ def test_classes_fill_their_sequences():
             pieces = packing.cut_lengths(n, capacity, slots, 3)
             assert sum(length for length, _ in pieces) == n
             assert all(0 < length <= slots[c][1] for length, c in pieces)
+
+
+def test_long_runs_and_words_take_time_in_proportion(pieces):
+    """Runs of one character and words of 200,000 letters, each in seconds, with the library's ids."""
+    import time
+
+    model, library = pieces
+    draw = random.Random(1)
+    texts = [c * n for c in " \t-=a" for n in (511, 513, 200_000)]
+    texts += ["".join(draw.choices("etaoinshrdlu", k=200_000)), "ab" * 50_000 + " x" + " " * 3000 + "é" * 2000]
+    for text in texts:
+        start = time.perf_counter()
+        ids = model.encode([text])[0]
+        assert time.perf_counter() - start < 6, text[:5]
+        assert ids.tolist() == library.encode(text), text[:5]
