@@ -9,8 +9,7 @@ with its shares, so length has no weight), then over the sources, so a source ha
 many rows it holds. Shares are counted in ``LEVELS`` steps, so the state of a median is bounded. A
 language has a reference of its own if ``min_sources`` sources hold it; otherwise, and where the
 language is null, or unknown and rare, the reference over all languages is taken. Tables without a
-source column take the median over documents. The registered query and its SQL take the plain sum over
-all documents of a language instead (``reference="sum"``), which a hot source can make its own.
+source column take the median over documents.
 
 Per-document arrays (words, windows) never leave their row: repeated three-word windows are found
 by sorting window hashes packed with their positions, and the few windows whose hashes meet are then
@@ -138,14 +137,6 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def sums(measured: DataFrame) -> DataFrame:
-    """(_of, _of_chars, _of_common): all documents of a language added up."""
-    return measured.groupBy(F.col("_lang").alias("_of")).agg(
-        F.array(*[F.sum(F.get("_chars", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("_of_chars"),
-        F.array(*[F.sum(F.get("_common", F.lit(i))) for i in range(BINS + 1)]).alias("_of_common"),
-    )
-
-
 def medians(passed: DataFrame, measured: DataFrame, by_source: bool, min_sources: int, rare_percent: int) -> DataFrame:
     """(_of, _of_chars, _of_common) for every language of ``measured``, learned from the rows of ``passed``."""
     sizes = {"_chars": len(CLASSES) + 1, "_common": BINS + 1}
@@ -173,7 +164,10 @@ def medians(passed: DataFrame, measured: DataFrame, by_source: bool, min_sources
         F.col("_lang").alias("_own"), F.col("_chars").alias("_own_chars"), F.col("_common").alias("_own_common"),
         F.col("_votes").alias("_own_votes"), F.col("_docs").alias("_own_docs"))
     languages = measured.select(F.col("_lang").alias("_of")).distinct()
-    joined = languages.join(own, F.col("_of").eqNullSafe(F.col("_own")), "left").crossJoin(reference([]))
+    # The reference over all languages is one row, read as a scalar subquery.
+    everywhere = reference([]).select(F.struct("_chars", "_common", "_docs")).scalar()
+    joined = languages.join(own, F.col("_of").eqNullSafe(F.col("_own")), "left").withColumn("_all", everywhere).select(
+        "*", "_all._chars", "_all._common", "_all._docs")
     known = F.coalesce(F.col("_of").isin(*COMMON_WORDS), F.lit(False))
     common = F.col("_of").isNotNull() & (100 * F.col("_own_docs") >= rare_percent * F.col("_docs"))
     independent = F.coalesce((F.col("_own_votes") >= min_sources) & (known | common), F.lit(False))
@@ -192,7 +186,6 @@ def judge(
     min_words: int = 100,
     base_words: int = 50,
     repeat_percent: int = 50,
-    reference: str = "sources",
     min_sources: int = 3,
     rare_percent: int = 5,
 ) -> DataFrame:
@@ -200,8 +193,7 @@ def judge(
     measured = written(features(docs, keep), "quality")
     failed = (F.col("n_words") < base_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     reference = written(
-        sums(measured) if reference == "sum"
-        else medians(measured.filter(~failed), measured, "source" in docs.columns, min_sources, rare_percent),
+        medians(measured.filter(~failed), measured, "source" in docs.columns, min_sources, rare_percent),
         "languages",
     )
     df = measured.join(reference, F.col("_lang").eqNullSafe(F.col("_of")))
@@ -219,7 +211,7 @@ def judge(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents"), reference="sum")
+    judged = judge(table(spark, sf_dir, "documents"))
     return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
@@ -227,10 +219,11 @@ def _sql() -> str:
     """The same result in DuckDB, from the definition: every window is counted as text."""
     words = ", ".join(f"('{lang}', [{', '.join(repr(w) for w in ws)}])" for lang, ws in COMMON_WORDS.items())
     count = "length(t) - length(regexp_replace(t, '{}', '', 'g'))"
+    known = ", ".join(map(repr, COMMON_WORDS))
     kinds = ("[a-z]", "[ \\t-\\r]", "[A-Z]", "[0-9]", "[#*$%&|<>]", "[!\"\\x27()+,./:;=?@\\[\\\\\\]^_`{}~-]")
     chars = ", ".join(f"length(t) - length(regexp_replace(t, '{kind}', '', 'g'))" for kind in kinds)
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^ \\t-\\r]+') AS words,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS lines FROM d),
 tri AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
@@ -245,12 +238,28 @@ h AS (SELECT w.*, coalesce(rep.n, 0) AS n_repeat_words, [{chars}] AS c0,
       FROM w LEFT JOIN rep USING (r) LEFT JOIN langs ON langs.lang = w.lang),
 h2 AS (SELECT *, list_concat(c0, [length(t) - list_sum(c0)]) AS c,
         list_concat(k0, [len(words) - list_sum(k0)]) AS k FROM h),
-ref AS (SELECT lang AS rl, list(s ORDER BY j) AS rc FROM (
-          SELECT lang, j, sum(v) AS s FROM (SELECT lang, unnest(c) AS v, unnest(range(len(c))) AS j FROM h2)
-          GROUP BY lang, j) GROUP BY lang),
-refk AS (SELECT lang AS rl, list(s ORDER BY j) AS rk FROM (
-          SELECT lang, j, sum(v) AS s FROM (SELECT lang, unnest(k) AS v, unnest(range(len(k))) AS j FROM h2)
-          GROUP BY lang, j) GROUP BY lang),
+ok AS (SELECT * FROM h2 WHERE NOT (len(words) < 50 OR 100 * n_repeat_words > 50 * len(words))),
+-- Shares of 4096 steps, one row per document and place; kind 0: character classes, 1: common words of known languages.
+sh AS (SELECT lang, source, 0 AS kind, j, CAST(round(4096 * (v / nullif(n, 0))) AS BIGINT) AS s FROM (
+         SELECT lang, source, unnest(c) AS v, unnest(range(len(c))) AS j, list_sum(c) AS n FROM ok)
+       UNION ALL SELECT lang, source, 1, j, CAST(round(4096 * (v / nullif(n, 0))) AS BIGINT) FROM (
+         SELECT lang, source, unnest(k) AS v, unnest(range(len(k))) AS j, list_sum(k) AS n FROM ok WHERE lang IN ({known}))),
+-- Medians over the documents of a source, then over sources; doubled, so that they stay whole numbers.
+own1 AS (SELECT lang, source, kind, j, CAST(2 * median(s) AS BIGINT) AS s FROM sh GROUP BY ALL),
+own AS (SELECT lang, kind, list(s ORDER BY j) AS m FROM (
+          SELECT lang, kind, j, CAST(2 * median(s) AS BIGINT) AS s FROM own1 GROUP BY ALL) GROUP BY ALL),
+all1 AS (SELECT source, kind, j, CAST(2 * median(s) AS BIGINT) AS s FROM sh GROUP BY ALL),
+everywhere AS (SELECT kind, list(s ORDER BY j) AS m FROM (
+          SELECT kind, j, CAST(2 * median(s) AS BIGINT) AS s FROM all1 GROUP BY ALL) GROUP BY ALL),
+votes AS (SELECT lang, count(*) AS votes, sum(docs) AS docs FROM (SELECT lang, source, count(*) AS docs FROM ok GROUP BY ALL) GROUP BY 1),
+lg AS (SELECT lang AS rl, lang IN ({known}) IS TRUE AS known, coalesce(votes.votes >= 3 AND (lang IN ({known})
+         OR (lang IS NOT NULL AND 100 * votes.docs >= 5 * (SELECT count(*) FROM ok))), false) AS independent
+       FROM (SELECT DISTINCT lang FROM h2) l LEFT JOIN votes USING (lang)),
+ref AS (SELECT rl, CASE WHEN independent THEN (SELECT m FROM own WHERE own.lang = rl AND kind = 0)
+          ELSE (SELECT m FROM everywhere WHERE kind = 0) END AS rc FROM lg),
+refk AS (SELECT rl, CASE WHEN NOT known THEN list_transform(range({BINS + 1}), lambda i: CAST(i = {BINS} AS BIGINT))
+          WHEN independent THEN (SELECT m FROM own WHERE own.lang = rl AND kind = 1)
+          ELSE (SELECT m FROM everywhere WHERE kind = 1) END AS rk FROM lg),
 pairs AS (SELECT h2.*, list_zip(c, rc) AS zc, list_zip(k, refk.rk) AS zk,
             list_sum(c) AS nc, list_sum(rc) AS mc, list_sum(k) AS nk, list_sum(refk.rk) AS mk
           FROM h2 JOIN ref ON h2.lang IS NOT DISTINCT FROM ref.rl JOIN refk ON h2.lang IS NOT DISTINCT FROM refk.rl),

@@ -210,3 +210,51 @@ def test_license_edges(spark):
     assert rows[22]["labels"] == "gpl,gpl-3.0" and 0.8 <= rows[22]["score"] < 1
     assert license_scan.scan(edge_docs(spark)).count() == len(edge_rows())
     assert license_scan.scan(empty_docs(spark)).count() == 0
+
+
+def test_license_notices_give_exact_labels(spark):
+    """Every notice its own labels and no other's, also when it is wrapped or stands among other lines."""
+    notices = {
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0", "Licensed under CC BY 4.0.": "cc-by,cc-by-4.0",
+        "licensed under CC BY-SA 4.0": "cc-by,cc-by-sa-4.0", "Licensed under CC BY-NC-SA 4.0": "cc-by", "CC BY-ND 4.0": "cc-by",
+        "Released under the MIT License.": "mit", "mit der License": "",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy": "mpl-2.0",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the\nfollowing conditions are met:": "bsd",
+        "Licensed under the Apache License, Version 2.0 (the \"License\");": "apache-2.0",
+        "Licensed under the Apache\nLicense,\nVersion 2.0": "apache-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "the GNU Lesser General Public License, version 3": "gpl",
+        "This work is licensed under a\nCreative Commons Attribution-ShareAlike 4.0\nInternational License.": "cc-by-sa-4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by-4.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and\n"
+        "associated documentation files (the \"Software\"), to deal in the Software without restriction": "mit",
+        "All rights\nreserved.": "reserved", "the license of the software is under review": "",
+    }
+    rows = []
+    for k, text in enumerate(notices):
+        rows += [(2 * k, text), (2 * k + 1, f"first line\n\n{text}\nlast line of the text")]
+    # Two notices in adjacent lines keep their own labels.
+    rows += [(900, "Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0.")]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (text, labels) in enumerate(notices.items()):
+        assert (got[2 * k], got[2 * k + 1]) == (labels, labels), text
+    assert got[900] == "cc-by,cc-by-4.0,cc-by-nc-4.0"
+
+
+def test_a_junk_source_of_a_third_does_not_become_the_norm(spark):
+    """The registered rule: one source has one vote, however many rows it holds."""
+    import random
+
+    draw = random.Random(2)
+    common = divergence.COMMON_WORDS["en"]
+
+    def clean():
+        return " ".join(draw.choice(common) if draw.random() < 0.4 else "".join(draw.choices("abcdefghilmnoprstu", k=6)) for _ in range(160))
+
+    def junk():
+        return " ".join("".join(draw.choices("abcdefgh", k=4)) + draw.choice(["###", "$$$", "%%%"]) for _ in range(160))
+
+    rows = [(i, clean(), "en", f"s{i % 4}") for i in range(80)] + [(100 + i, junk(), "en", "hot") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in divergence.judge(docs).filter("kept").collect()}
+    assert kept == set(range(80))
