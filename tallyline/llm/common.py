@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import json
 from collections.abc import Iterator
 
@@ -12,28 +13,43 @@ from pyspark.sql import functions as F
 from tallyline.lineage import scratch_path
 
 
-# Folders of the tables written by this process, in order.
-WRITTEN: list[str] = []
+# Folders of the tables written by this process, with weak references to what their readers' plans hold on to.
+_tables: list[tuple[str, object]] = []
 
 
-def discard(spark, paths: list[str]) -> None:
-    """Remove written tables that no unfinished result reads any more."""
-    context = spark.sparkContext
-    for path in paths:
-        place = context._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+def sweep(spark, collect: bool = False) -> None:
+    """Remove written tables that no DataFrame can read any more.
+
+    Every plan over a table holds the table's file index. Once that object is gone from the driver, no result,
+    however late it is asked for, can reach the table. ``collect`` lets both collectors run before.
+    """
+    jvm = spark.sparkContext._jvm
+    if collect:
+        gc.collect()
+        jvm.System.gc()
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for entry in list(_tables):
+        if entry[1].refersTo(None):
+            _tables.remove(entry)
+            place = jvm.org.apache.hadoop.fs.Path(entry[0])
+            place.getFileSystem(configuration).delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
     Cuts the lineage like a checkpoint, but compressed and by column, so that a later step reads
-    only what it needs and a lost executor costs nothing that was written.
+    only what it needs and a lost executor costs nothing that was written. The table goes when
+    nothing can read it any more.
     """
-    path = scratch_path(df.sparkSession, name)
-    WRITTEN.append(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    index = back._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+    _tables.append((path, spark.sparkContext._jvm.java.lang.ref.WeakReference(index)))
+    sweep(spark)
+    return back
 
 
 def table(spark, folder: str, name: str) -> DataFrame:

@@ -185,7 +185,11 @@ def scan(
                     lambda x: x.isNotNull())
     df = df.withColumn("_base", F.array_sort(F.array_distinct(base)))
     # One quick test for all names before each is looked for.
-    any_name = F.col("_text").rlike("|".join(map(stands, names))) if names else F.lit(False)
+    any_name = F.lit(bool(names))
+    for word in sorted(set.intersection(*[set(p.split()) for p in names])) if names else ():
+        any_name = any_name & F.col("_text").rlike(f"(?i){re.escape(word)}")  # a word of every name
+    if names:
+        any_name = any_name & F.col("_text").rlike("|".join(map(stands, names)))
     named = F.filter(F.array(*[F.when(F.col("_text").rlike(stands(p)), F.lit(label)) for p, label in names.items()]).cast("array<string>"),
                      lambda x: x.isNotNull())
     df = df.withColumn("_named", F.when(any_name, named).otherwise(F.array().cast("array<string>")))

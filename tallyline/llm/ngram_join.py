@@ -2,7 +2,7 @@
 
 1. Every text becomes a sorted array of 64-bit n-gram hashes. Texts with equal arrays form one class,
    which takes part once; a profile holds a class's size and its bitmap signature: the parity, per
-   hash bucket, of the n-grams that fall there, with two to four buckets per n-gram.
+   hash bucket, of the n-grams that fall there, with one to two buckets per n-gram.
 2. Two sets that are similar enough share one of the first ``size - need + 1`` n-grams of each in a
    common order. N-grams of very many texts come last in it (any order is exact; this one keeps texts
    apart that share a frequent passage only), all others by hash. The first n-grams are dealt over
@@ -36,11 +36,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import table, unused, whole_text, written
+from tallyline.llm.common import sweep, table, unused, whole_text, written
 from tallyline.operators.pairwise import components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MEMO = 400_000
+# Postings of one shard, about: 14 bytes each as they travel, a few times that in its task.
+SHARD_POSTINGS = 1_500_000
 
 
 # --- sets ---------------------------------------------------------------------------------------
@@ -84,8 +86,8 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def signature(grams: np.ndarray) -> bytes:
-    """Bucket parities, one bit each; the number of buckets is the power of two from twice the size on."""
-    bits = max(64, 1 << max(0, 2 * len(grams) - 1).bit_length())
+    """Bucket parities, one bit each; the number of buckets is the power of two from the size on."""
+    bits = max(64, 1 << max(0, len(grams) - 1).bit_length())
     odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -170,12 +172,12 @@ def forest(nodes: np.ndarray, sizes: np.ndarray, bits: list[bytes], percent: int
 
 MADE_SCHEMA = (
     "n_shingles long, node long, bits binary, text_key long, "  # of one row of the input
-    "shard int, grams binary, owners binary, nodes binary, sizes binary"  # of one batch and shard
+    "shard int, grams binary, nodes binary, sizes binary"  # of one batch and shard
 )
 
 
-def frequent_ngrams(docs: DataFrame, n: int, share: float) -> np.ndarray:
-    """Sorted hashes of n-grams that at least ``share`` of all texts hold, as far as batches show them.
+def frequent_ngrams(docs: DataFrame, n: int, share: float) -> tuple[np.ndarray, int]:
+    """Sorted hashes of n-grams that at least ``share`` of all texts hold, as far as batches show them, and the size of all sets.
 
     Every batch counts all its texts and reports what is frequent in it, and the reports are added
     up. At most (mean set size) / ``share`` n-grams can be that frequent, which bounds the result.
@@ -186,11 +188,14 @@ def frequent_ngrams(docs: DataFrame, n: int, share: float) -> np.ndarray:
                 continue
             grams, counts = np.unique(np.concatenate([ngram_set(t, n) for t in frame["_text"]]), return_counts=True)
             often = counts >= max(3, share * len(frame))
-            yield pd.DataFrame({"gram": grams[often].view(np.int64), "texts": counts[often]})
+            yield pd.DataFrame({"gram": grams[often].view(np.int64), "texts": counts[often], "all": 0})
+            yield pd.DataFrame({"gram": [0], "texts": [0], "all": [int(counts.sum())]})
 
-    reports = docs.select(whole_text().alias("_text")).mapInPandas(heavy, "gram long, texts long")
-    known = reports.groupBy("gram").agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= share * docs.count())
-    return np.sort(np.array([r["gram"] for r in known.collect()], dtype=np.int64).view(np.uint64))
+    reports = docs.select(whole_text().alias("_text")).mapInPandas(heavy, "gram long, texts long, all long")
+    known = reports.groupBy("gram").agg(F.sum("texts").alias("texts"), F.sum("all").alias("all")).filter(
+        (F.col("texts") >= share * docs.count()) | (F.col("all") > 0)).collect()
+    grams = [r["gram"] for r in known if r["texts"]]
+    return np.sort(np.array(grams, dtype=np.int64).view(np.uint64)), sum(r["all"] for r in known)
 
 
 def text_key() -> Column:
@@ -212,8 +217,8 @@ def profiles_and_postings(docs: DataFrame, n: int, percent: int, shards: int, fr
             first = {node: i for i, node in reversed(list(enumerate(nodes))) if len(sets[i])}
             if not first:
                 continue
-            grams, owner = [], []
-            for k, i in enumerate(first.values()):
+            grams, kept = [], []
+            for i in first.values():
                 s = sets[i]
                 keep = len(s) + percent * len(s) // -100 + 1
                 ranked = _mix(s * ODD) >> np.uint64(1)  # an order that has nothing to do with the shard
@@ -221,22 +226,21 @@ def profiles_and_postings(docs: DataFrame, n: int, percent: int, shards: int, fr
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     ranked[frequent[at] == s] += np.uint64(1 << 63)
                 grams.append(s[np.argpartition(ranked, keep - 1)[:keep]] if keep < len(s) else s)
-                owner.append(np.full(keep, k, dtype=np.int32))
-            flat, who = np.concatenate(grams), np.concatenate(owner)
-            names = np.fromiter(first, dtype=np.int64, count=len(first))
-            size = np.array([len(sets[i]) for i in first.values()], dtype=np.int64)
+                kept.append(keep)
+            # A posting takes the same few bytes however many shards there are.
+            flat = np.concatenate(grams)
+            node = np.repeat(np.fromiter(first, dtype=np.int64, count=len(first)), kept)
+            size = np.repeat(np.array([len(sets[i]) for i in first.values()]), kept)
             shard = ((flat >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            flat, who, shard = flat[order], who[order], shard[order]
+            flat, node, size, shard = flat[order], node[order], size[order], shard[order]
             rows = []
             for part in np.split(np.arange(len(flat)), np.flatnonzero(np.diff(shard)) + 1):
-                members, local = np.unique(who[part], return_inverse=True)
-                rows.append((int(shard[part[0]]), flat[part].astype("<u4").tobytes(),
-                             local.astype("<u2" if len(members) < 65536 else "<u4").tobytes(),
-                             names[members].tobytes(), size[members].tobytes()))
-            yield pd.DataFrame(rows, columns=["shard", "grams", "owners", "nodes", "sizes"]).reindex(columns=columns)
+                rows.append((int(shard[part[0]]), flat[part].astype("<u4").tobytes(), node[part].tobytes(),
+                             size[part].astype("<u2" if size[part].max() < 65536 else "<u4").tobytes()))
+            yield pd.DataFrame(rows, columns=["shard", "grams", "nodes", "sizes"]).reindex(columns=columns)
 
-    columns = ["doc_id", "n_shingles", "node", "bits", "text_key", "shard", "grams", "owners", "nodes", "sizes"]
+    columns = ["doc_id", "n_shingles", "node", "bits", "text_key", "shard", "grams", "nodes", "sizes"]
 
     def typed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in deal(frames):
@@ -251,10 +255,9 @@ def tiles(dealt: DataFrame, percent: int, block: int) -> DataFrame:
         grams, nodes, sizes = [], [], []
         for row in frame.itertuples():
             g = np.frombuffer(row.grams, dtype="<u4")
-            at = np.frombuffer(row.owners, dtype="<u2" if len(row.owners) == 2 * len(g) else "<u4")
             grams.append(g)
-            nodes.append(np.frombuffer(row.nodes, dtype=np.int64)[at])
-            sizes.append(np.frombuffer(row.sizes, dtype=np.int64)[at])
+            nodes.append(np.frombuffer(row.nodes, dtype=np.int64))
+            sizes.append(np.frombuffer(row.sizes, dtype="<u2" if len(row.sizes) == 2 * len(g) else "<u4").astype(np.int64))
         g, node, size = np.concatenate(grams), np.concatenate(nodes), np.concatenate(sizes)
         order = np.argsort(g, kind="stable")  # n-grams of a single class go first: most of them
         sorted_g = g[order]
@@ -331,6 +334,30 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     return members.repartition("tile").sortWithinPartitions("tile").mapInPandas(search, "u long, v long")
 
 
+# Words of 64 bits in the filter of wanted ids: its size is fixed, and small enough to be sent to every task.
+FILTER_WORDS = 1 << 18
+
+
+def _bit(value: Column) -> tuple[Column, Column]:
+    """The word of the filter that belongs to a value, and its bit in it."""
+    h = F.xxhash64(value)
+    word = F.pmod(F.shiftrightunsigned(h, 6), F.lit(FILTER_WORDS).cast("long")).cast("int")
+    return word, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+
+
+def maybe_among(rows: DataFrame, column: str, wanted: DataFrame, value: str) -> DataFrame:
+    """Rows whose ``column`` is among the wanted values, and a few others, without moving the rows.
+
+    The wanted values are or-ed into a table of at most ``FILTER_WORDS`` words, whatever their number; Spark
+    sends that to the tasks. The more values, the more others pass: an exact join must follow.
+    """
+    word, bit = _bit(F.col(value))
+    words = written(wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits")), "wanted-bits")
+    word, bit = _bit(F.col(column))
+    return rows.withColumns({"_of": word, "_mask": bit}).join(
+        words, (F.col("_of") == F.col("_word")) & (F.col("_bits").bitwiseAND(F.col("_mask")) != 0), "left_semi").drop("_of", "_mask")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(node, grams binary) for the classes of ``wanted`` (node, doc)."""
     def arrays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -340,7 +367,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             right = [node_of(s) == node for s, node in zip(sets, frame["node"])]
             yield pd.DataFrame({"node": frame["node"], "grams": [s.tobytes() for s in sets]})[right]
 
-    texts = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("_text"))
+    texts = maybe_among(docs.select(F.col("doc_id").alias("_id"), whole_text().alias("_text")), "_id", wanted, "doc")
     # The wanted classes are narrow rows and are built into a table per partition; texts stream past.
     return texts.join(wanted.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc"))).mapInPandas(
         arrays, "node long, grams binary")
@@ -359,27 +386,38 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
     return sets.repartition("tile").sortWithinPartitions("tile").mapInPandas(check, "u long, v long")
 
 
+def step(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written, after which what it was made from can go: shuffle files and tables that nothing reads any more."""
+    made = written(df, name)
+    sweep(df.sparkSession, collect=True)
+    return made
+
+
 def linked_rows(
     docs: DataFrame, n: int = 5, percent: int = 75, block: int = 4096, set_block: int = 512, frequent_share: float = 0.0005,
 ) -> DataFrame:
     """The rows of ``link`` with text_key, and ``component``, which is NULL for an empty set alone."""
-    # The number of shards follows the input, so that a shard's n-grams fit a task at every size.
-    parts = docs.select(F.spark_partition_id().alias("_p")).agg(F.max("_p")).first()[0] or 0  # reads no column
-    shards = max(docs.sparkSession.sparkContext.defaultParallelism, 2 * (parts + 1))
-    made = written(profiles_and_postings(
-        docs, n, percent, shards, frequent_ngrams(docs, n, frequent_share)), "ngrams")
+    # The number of shards follows the postings, so that a shard's n-grams fit a task at every size.
+    frequent, total = frequent_ngrams(docs, n, frequent_share)
+    postings = total * (100 - percent) // 100
+    shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-postings // SHARD_POSTINGS))
+    made = written(profiles_and_postings(docs, n, percent, shards, frequent), "ngrams")
     profile = made.filter("shard IS NULL").select("doc_id", "n_shingles", "node", "text_key")
-    dealt = made.filter("shard IS NOT NULL").select("shard", "grams", "owners", "nodes", "sizes")
+    dealt = made.filter("shard IS NOT NULL").select("shard", "grams", "nodes", "sizes")
     classes = written(
         profile.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n_shingles")),
         "classes",
     )
-    bits = made.filter("n_shingles > 0").select("node", "n_shingles", "bits")
-    tile_rows = written(tiles(dealt, percent, block), "tiles").distinct()
-    known = tile_rows.select("node").distinct().join(bits, "node").dropDuplicates(["node"])
-    near = written(candidates(tile_rows.join(written(known, "bits"), "node"), percent).distinct(), "candidates")
-
-    groups = written(components(near).select(F.col("id").alias("node"), "component"), "groups")
+    tile_rows = step(tiles(dealt, percent, block), "tiles").distinct()
+    known = written(tile_rows.select("node").distinct().join(
+        made.filter("n_shingles > 0").select("node", "n_shingles", "bits"), "node").dropDuplicates(["node"]), "bits")
+    profile = written(profile, "profiles")
+    del made, dealt  # the postings are in the tiles: the largest table goes before anything is searched
+    sweep(docs.sparkSession, collect=True)
+    near = step(candidates(tile_rows.join(known, "node"), percent).distinct(), "candidates")
+    del tile_rows, known
+
+    groups = step(components(near).select(F.col("id").alias("node"), "component"), "groups")
     sizes = groups.groupBy("component").agg(
         F.ceil(F.count(F.lit(1)) / set_block).cast("int").alias("_blocks"), F.min("node").alias("_pivot"))
     placed = (
@@ -390,13 +428,13 @@ def linked_rows(
     blocks = F.sequence(F.lit(0), F.col("_blocks") - 1)
     spots = F.when(F.col("node") == F.col("_pivot"), blocks).otherwise(F.array("_block"))
     placed = written(placed.withColumn("tiles", F.transform(spots, lambda b: F.xxhash64("component", b))), "placed")
-    sets = written(sets_of(docs, placed.select("node", "doc"), n), "sets")
+    sets = step(sets_of(docs, placed.select("node", "doc"), n), "sets")
 
     def dealt_sets(where: DataFrame) -> DataFrame:
         return where.join(sets, "node").select(F.explode("tiles").alias("tile"), "node", "grams")
 
-    links = written(verified(dealt_sets(placed.select("node", "tiles")), percent), "links")
-    reached = written(components(links).select(F.col("id").alias("node"), F.col("component").alias("_reached")), "reached")
+    links = step(verified(dealt_sets(placed.select("node", "tiles")), percent), "links")
+    reached = step(components(links).select(F.col("id").alias("node"), F.col("component").alias("_reached")), "reached")
 
     # Components of several blocks that the first pass left in several parts: compare their blocks.
     parts = placed.filter("_blocks > 1").join(reached, "node", "left").groupBy("component").agg(

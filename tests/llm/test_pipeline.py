@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyline.llm import divergence, line_chunks, pii_crf
+from tallyline.llm import common, divergence, line_chunks, pii_crf
 from tallyline.llm.common import vocabulary_path
 from tests.llm.helpers import edge_docs, empty_docs
 from tests.llm.test_dedup import brute
@@ -57,3 +59,38 @@ def test_near_duplicates_decide_per_row(spark):
     found = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in got), key=str)
     assert found == sorted([(1, long[0]), (2, long[1]), (3, long[2]), (None, long[3]), (4, long[4]),
                             (5, ""), (5, ""), (None, "")], key=str)
+
+
+def test_results_read_late_or_chained_without_a_write(spark):
+    """Stages remove no table that an unfinished result still reads."""
+    docs = edge_docs(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    first, second = stages["packing"](spark, docs, ""), stages["packing"](spark, docs, "")
+    lazily = docs
+    for name in ("quality", "lines", "near_duplicates", "personal_data"):
+        lazily = stages[name](spark, lazily, "")
+    later = stages["lines"](spark, docs, "").filter("doc_id IS NOT NULL")  # the stage's own result is given up here
+    stages["quality"](spark, docs, "")
+    assert second.count() == first.count() > 0
+    assert lazily.count() <= docs.count() and later.count() == docs.filter("doc_id IS NOT NULL").count()
+
+
+def test_tables_go_with_their_last_reader(spark):
+    import pathlib
+
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    common.sweep(spark, collect=True)
+    before = {p.name for p in root.glob("tallyline-*")}
+    result = common.written(spark.range(10).toDF("x"), "kept-while-read")
+    derived = result.filter("x > 3").select("x")
+    del result
+    common.sweep(spark, collect=True)
+    made = {p.name for p in root.glob("tallyline-*")} - before
+    assert len(made) == 1 and derived.count() == 6
+    del derived
+    for _ in range(50):  # the driver hears of a dropped name a little later
+        common.sweep(spark, collect=True)
+        if not any((root / name).exists() for name in made):
+            break
+        time.sleep(0.2)
+    assert not any((root / name).exists() for name in made)
