@@ -4,8 +4,8 @@ All stages but the last return the columns they were given. ``n_chars``, where t
 column, follows the text. The near-duplicate stage decides per row: rows that share an id stay or go by
 their own text, and rows without an id come after all others. An empty table passes through every stage.
 
-A stage begins by removing the intermediate tables of the stage before it, whose result has been
-written by then.
+A stage begins by removing intermediate tables that no result can read any more: those of a stage
+whose result was written, or given up. Results that are read late, or chained without a write, keep theirs.
 """
 
 from __future__ import annotations
@@ -16,19 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import divergence, line_chunks, ngram_join, packing, pii_crf
-from tallyline.llm.common import WRITTEN, discard, table, vocabulary_path, written
-
-_left: list[str] = []  # intermediate tables of the stage that ran last
+from tallyline.llm.common import sweep, table, vocabulary_path, written
 
 
 def _stage(step):
     @functools.wraps(step)
     def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark, _left)
-        before = len(WRITTEN)
-        result = step(spark, docs, sf_dir)
-        _left[:] = WRITTEN[before:]
-        return result
+        sweep(spark, collect=True)
+        return step(spark, docs, sf_dir)
 
     return run_step
 
