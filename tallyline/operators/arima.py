@@ -103,7 +103,7 @@ def _chosen(sums: DataFrame, key: str) -> DataFrame:
 def arima(
     df: DataFrame, horizon: int = 60, key: str = "unique_id", date: str = "ds", value: str = "y", name: str = "arima",
 ) -> DataFrame:
-    """Months after each series' end: last year's value plus the predicted difference; NULL below a season.
+    """Months after each series' end: last year's value plus the predicted difference; NULL where there is no month a year before.
 
     Future innovations are 0. A series too short for a regression repeats its last twelve values.
     """

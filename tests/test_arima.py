@@ -76,6 +76,7 @@ def test_short_series(series):
     rows = {}
     for r in A.arima(series[0], 12).orderBy("ds").collect():
         rows.setdefault(r["unique_id"], []).append(r["arima"])
-    assert rows["tiny"] == [None] * 12 and rows["constant"] == [3.0] * 12
+    assert rows["tiny"] == [None] * 10 + [1.0, 2.0]  # a year after its two months
+    assert rows["constant"] == [3.0] * 12
     assert rows["short"] == series[1]["short"][-12:]  # too short for a regression: last year again
     assert all(v is not None for v in rows["nulls"])
