@@ -95,3 +95,26 @@ def test_ratio_separates_held_out_urls():
     accepted, rejected, slope, intercept = url_models.train([(u, True) for u in good[:300]] + [(u, False) for u in bad[:300]])
     score = url_models.ratios(accepted, rejected, good[300:] + bad[300:]) * slope + intercept
     assert (score[:100] > 0).mean() > 0.98 and (score[100:] < 0).mean() > 0.98
+
+
+def test_every_labelled_url_is_counted(spark):
+    urls = [f"http://s{i}.{'org/fr' if i % 2 else 'net/de'}/{i * 37 % 9973}" for i in range(12_000)] + ["http://a.org/fr/" + "z" * 3_000]
+    pages = spark.createDataFrame([(u, "/fr/" in u) for u in urls], "_url string, accepted boolean")
+    held = {r["_url"] for r in pages.filter("pmod(xxhash64(_url), 5) = 0").collect()}
+    for limit in (1 << 18, 2_000):
+        models = url_models.fit(pages, limit=limit)
+        for model, accepted in zip(models[:2], (True, False)):
+            size = sum(len(u) for u in urls if ("/fr/" in u) == accepted and u not in held)
+            assert [level[1].sum() for level in model.levels] == [size] * 6
+            assert max(len(level[0]) for level in model.levels) <= limit
+        fresh = [f"http://t{i}.org/fr/{i}" for i in range(100)] + [f"http://t{i}.net/de/{i}" for i in range(100)]
+        score = url_models.ratios(*models[:2], fresh) * models[2] + models[3]
+        assert (score[:100] > 0).mean() > 0.95 and (score[100:] < 0).mean() > 0.95
+
+
+def test_counts_by_spark_equal_the_model_of_the_texts(spark):
+    urls = [f"http://s{i}.org/fr/{i * 37 % 9973}" for i in range(300)]
+    plain = url_models.MarkovModel(urls, 5)
+    rows = url_models.counted(spark.createDataFrame([(u, True) for u in urls], "_url string, accepted boolean"), 5).collect()
+    for k, (keys, counts, *_) in enumerate(plain.levels):
+        assert {(r["key"], r["n"]) for r in rows if r["level"] == k} == set(zip(keys.view(np.int64).tolist(), counts.astype(int).tolist()))
