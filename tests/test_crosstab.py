@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +196,14 @@ def test_no_group_of_rows_or_states_meets_in_one_task(spark, monkeypatch):
     got = crosstab(many, ["r"], ["c"], ["v"], GeometricMean()).collect()
     expected = float(np.exp(np.log(np.arange(1, 20_001)).mean()))
     assert len(got) == 4 and all(r["v"] == pytest.approx(expected) for r in got)
+
+
+def test_batches_are_folded_together():
+    import pandas as pd
+
+    from tallyline.operators.user_aggregates import gathered
+
+    frames = [pd.DataFrame({"x": range(3 * i, 3 * i + 3)}) for i in range(5)]
+    found = list(gathered(iter(frames), 6))
+    assert [len(f) for f in found] == [6, 6, 3] and pd.concat(found)["x"].tolist() == list(range(15))
+    assert list(gathered(iter([]), 6)) == []
