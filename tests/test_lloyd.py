@@ -94,3 +94,19 @@ def test_fewer_distinct_points_than_clusters(spark):
     assert ("same", 2) not in lloyd.silhouettes(points, runs)
     empty = lloyd.prepared(table(spark, {"x": np.zeros((1, 2))}).limit(0), "v", "id", "s")
     assert lloyd.fit(empty, {"x": [2]}) == []
+
+
+def test_blocks_hold_all_points_dealt_evenly(spark):
+    draw = np.random.default_rng(3)
+    own = {"a": draw.normal(size=(4_500, 3)), "b": draw.normal(size=(5, 3))}
+    points = lloyd.prepared(table(spark, own, 1), "v", "id", "s")
+    blocks = lloyd.packed(points)
+    found = {s: [] for s in own}
+    for segment, vectors, hashes in lloyd._parts([blocks.toPandas()]):
+        assert len(vectors) == len(hashes) <= 2 * lloyd.BLOCK
+        found[segment] += map(tuple, vectors)
+    assert {s: sorted(v) for s, v in found.items()} == {s: sorted(map(tuple, v)) for s, v in own.items()}
+    assert blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    one, other = (lloyd.fit(p, {"a": [3], "b": [2]}, restarts=2) for p in (points, blocks))
+    for x, y in zip(one, other):
+        assert x.sizes.tolist() == y.sizes.tolist() and x.centres == pytest.approx(y.centres)
