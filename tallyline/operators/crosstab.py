@@ -105,12 +105,12 @@ def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def _extreme(pick: Callable) -> Merged:
-    return Merged(
-        1,
-        lambda v: {"e": (pick(F.when(v[0].raw.isNotNull(), F.struct(v[0].key.alias("key"), v[0].raw.alias("value")))), pick)},
-        lambda p: p["e"]["value"],
-    )
+@dataclass(frozen=True)
+class Extreme:
+    """The first or last value in the order of the sort key."""
+
+    pick: Callable[[Column], Column]
+    inputs: int = 1
 
 
 COUNT = Merged(0, lambda v: {"n": (F.count(F.lit(1)), F.sum)}, lambda p: p["n"])
@@ -150,8 +150,8 @@ AGGREGATORS = {
     "Sample Standard Deviation": Spread(F.sqrt),
     "Minimum": Merged(1, lambda v: {"e": (F.min(v[0].number), F.min)}, lambda p: p["e"]),
     "Maximum": Merged(1, lambda v: {"e": (F.max(v[0].number), F.max)}, lambda p: p["e"]),
-    "First": _extreme(F.min),
-    "Last": _extreme(F.max),
+    "First": Extreme(F.min),
+    "Last": Extreme(F.max),
     "Sum over Sum": Merged(2, _sum_parts, lambda p: safe_div(_zero(p["s0"]), _zero(p["s1"]))),
     "80% Upper Bound": _bound(True),
     "80% Lower Bound": _bound(False),
@@ -259,6 +259,21 @@ def _distinct(frame: _Frame, source: DataFrame, aggregator: Distinct, values: Ma
     return _by_name(frame, result, list(values))
 
 
+def _extremes(frame: _Frame, source: DataFrame, pick: Callable[[Column], Column], values: Mapping[str, Value]) -> DataFrame:
+    """First or last values. Sort keys are structs, which are aggregated by sorting, so only distinct values get one."""
+    names = [f"_v_{n}" for n in values]
+    sets = [[*map(F.col, frame.keys), F.col(n)] for n in names]
+    # The count is read, or else Spark would see that a minimum needs no distinct values and sort all rows after all.
+    seen = source.groupingSets(sets, *frame.keys, *names).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 0)
+    best = [pick(F.when(v.raw.isNotNull(), F.struct(v.key.alias("key"), v.raw.alias("value")))).alias(n) for n, v in values.items()]
+    cells = (seen.groupBy(*frame.keys) if frame.keys else seen.groupBy()).agg(*best)
+    if frame.keys:
+        total = frame.grouped(cells).agg(frame.level(), *[pick(F.col(n)).alias(n) for n in values])
+    else:
+        total = cells.withColumn("level", F.lit(GRAND_TOTAL))
+    return total.select(*frame.keys, "level", *[F.col(n)["value"].alias(n) for n in values])
+
+
 def _quantile(frame: _Frame, source: DataFrame, q: float, values: Mapping[str, Value]) -> DataFrame:
     pairs = _unpivoted(frame, source, {n: v.number for n, v in values.items()})
     # Counts of distinct values per cell, NULL included: a cell without numbers still is a cell.
@@ -386,6 +401,8 @@ def crosstab(
         table = _merged(frame, source, sets)
         if isinstance(chosen, Share):
             table = _shared(frame, table, list(sets), chosen.scope)
+    elif isinstance(base, Extreme):
+        table = _extremes(frame, source, base.pick, named)
     elif isinstance(base, Spread):
         table = _spreads(frame, source, base.finish, named)
     elif isinstance(base, Direct):

@@ -207,3 +207,15 @@ def test_batches_are_folded_together():
     found = list(gathered(iter(frames), 6))
     assert [len(f) for f in found] == [6, 6, 3] and pd.concat(found)["x"].tolist() == list(range(15))
     assert list(gathered(iter([]), 6)) == []
+
+
+def test_first_and_last_sort_distinct_values_only(spark):
+    df = spark.range(20_000).selectExpr(
+        "concat('r', id % 3) AS r", "concat('c', id % 2) AS c", "cast(id % 7 AS string) AS t", "if(id % 3 = 0, null, id % 11 + 0.5D) AS x")
+    table = crosstab(df, ["r"], ["c"], ["t", "x"], "Last")
+    aggregates = re.findall(r"\w+Aggregate", table._jdf.queryExecution().executedPlan().toString())
+    assert aggregates[-1] == "HashAggregate"  # the one that reads the source rows
+    rows = {(r["r"], r["c"]): (r["t"], r["x"]) for r in table.collect()}
+    assert len(rows) == 12 and rows["r0", "c1"] == ("6", None) and rows[None, None] == ("6", 10.5)
+    assert [tuple(r) for r in crosstab(df, [], [], ["t", "x"], "First").select("t", "x").collect()] == [("0", 0.5)]
+    assert crosstab(df.limit(0), [], [], ["t"], "First").count() == 1
