@@ -15,7 +15,8 @@ from tallyline.functions.dates import add_months, stamp
 class Star:
     """The four tables of the star and the columns they join on.
 
-    ``product`` is versioned: only rows whose ``current`` column equals ``current_value`` count.
+    ``product`` is versioned: only rows whose ``current`` column equals ``current_value`` count. ``derived`` are
+    measures computed from the fact's columns after the joins, so that they need not travel with its rows.
     """
 
     fact: DataFrame
@@ -28,6 +29,7 @@ class Star:
     current: str = "current"
     current_value: str = "True"
     date: str = "sales_date"
+    derived: Mapping[str, Column] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -58,11 +60,12 @@ def star_join(star: Star, selection: Selection) -> DataFrame:
     for level, values in selection.location.items():
         location = location.filter(F.col(level).isin(list(values)))
     matrix = star.matrix.select(star.matrix_key[1])
-    return (
+    joined = (
         fact.join(product, F.col(star.product_key[0]) == F.col(star.product_key[1]))
         .join(location, F.col(star.location_key[0]) == F.col(star.location_key[1]))
         .join(matrix, F.col(star.matrix_key[0]) == F.col(star.matrix_key[1]))
     )
+    return joined.withColumns(dict(star.derived)) if star.derived else joined
 
 
 def star_extract(

@@ -102,3 +102,13 @@ def test_unions(spark):
 def test_null_keys_do_not_match(spark):
     a, b = spark.sql("select cast(null as string) k, 1 l"), spark.sql("select cast(null as string) k, 2 r")
     assert combine.full_merge(a, b, ["k"]).count() == 2
+
+
+def test_star_measures_are_computed_after_the_joins(spark):
+    from tallyline.plans.catalog_sources import SELECTION, STAR_KEYS, STAR_MEASURES, order_star
+    from tallyline.sources.extract import star_extract
+    from tallyline.sources.tables import Tables
+
+    star = order_star(Tables(spark, "/root/testdata/sf0.001"))
+    assert not set(star.fact.columns) & set(STAR_MEASURES)
+    assert set(STAR_MEASURES) <= set(star_extract(star, SELECTION, STAR_KEYS, STAR_MEASURES).columns)
