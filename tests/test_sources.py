@@ -112,3 +112,24 @@ def test_star_measures_are_computed_after_the_joins(spark):
     star = order_star(Tables(spark, "/root/testdata/sf0.001"))
     assert not set(star.fact.columns) & set(STAR_MEASURES)
     assert set(STAR_MEASURES) <= set(star_extract(star, SELECTION, STAR_KEYS, STAR_MEASURES).columns)
+
+
+def test_tasks_that_join_orders_hold_a_bounded_number_of_lines(spark, monkeypatch):
+    from tallyline.sources import tables
+
+    def lines(task_rows):
+        monkeypatch.setattr(tables, "TASK_ROWS", task_rows, raising=False)
+        return tables.sales_lines(tables.Tables(spark, "/root/testdata/sf0.001"), ["region", "franchise", "status"])
+
+    def largest(frame):
+        return frame.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        whole, dealt = lines(1_000_000), lines(250)  # some 6,000 lines
+        assert "REPARTITION_BY_NUM" not in whole._jdf.queryExecution().executedPlan().toString()
+        assert largest(dealt) < 500 < largest(whole)
+        assert dealt.exceptAll(whole).count() == 0 and whole.exceptAll(dealt).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
