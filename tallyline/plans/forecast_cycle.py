@@ -112,7 +112,8 @@ def run_cycle(
         renamed = history.withColumnsRenamed({"sales_date": "ds", measure: "y"})
         history = shape_clusters(renamed, as_of).withColumnsRenamed({"ds": "sales_date", "y": measure})
     history = cut(history)
-    series = model_input(history, as_of, measure)
+    # Written once: every model and every back-test reads it.
+    series = cut(model_input(history, as_of, measure))
     forecasts = forecast_enrich(ensemble_forecasts(series, horizon), products, locations)
     scores = []
     if validate:
