@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import key_concat
+from tallyline.lineage import cut
 from tallyline.operators import arima, backtest, forecast, prefix_backtest
 from tallyline.plans import forecast_cycle
 from tallyline.functions.numeric import is_finite
@@ -237,7 +238,8 @@ def _(t):
 
 @query("backtest_models")
 def _(t):
-    series = long_series(t, _CB)
+    # Written once, or each of the four back-tests would join and sum the order lines again.
+    series = cut(long_series(t, _CB))
     parts = [
         backtest.error_metrics(
             backtest.backtest(series, model, AS_OF, name, origins=2),

@@ -29,7 +29,7 @@ def counted(spark):
     return passed, seen
 
 
-@pytest.mark.parametrize("name, source", [("forecast_cycle_scores", "_history")])
+@pytest.mark.parametrize("name, source", [("forecast_cycle_scores", "_history"), ("backtest_models", "long_series")])
 def test_scores_compute_the_history_once(spark, counted, monkeypatch, name, source):
     passed, seen = counted
     original, rows = getattr(catalog_forecast, source), []
