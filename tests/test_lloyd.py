@@ -70,6 +70,51 @@ def test_search_ends_at_the_best_score(spark, groups):
     assert lloyd.search(points, 1, restarts=2)[0].k == 2
 
 
+def test_every_restart_runs_until_it_stands_still(spark):
+    own = np.random.default_rng(11).normal(size=(600, 2))
+    points = lloyd.prepared(table(spark, {"": own}), "v", "id", "s")
+    first = lloyd.starts(points, {"": range(2, 8)}, 4, 42)
+    rounds, expected = [], {}
+    for k, restart in itertools.product(range(2, 8), range(4)):
+        centres, moved = first["", restart][:k], None
+        for n in itertools.count():
+            nearest = np.square(own[:, None] - centres[None]).sum(axis=2).argmin(axis=1)
+            moved = np.array([own[nearest == i].mean(axis=0) for i in range(k)])
+            if np.allclose(moved, centres, rtol=1e-10, atol=1e-12):
+                break
+            centres = moved
+        rounds.append(n)
+        expected[k, restart] = np.square(own[:, None] - centres[None]).sum(axis=2).min(axis=1).sum()
+    assert max(rounds) > 20
+    runs = lloyd.fit(points, {"": range(2, 8)}, restarts=4)
+    assert all(run.settled for run in runs)
+    assert {(r.k, r.restart): r.cost for r in runs} == pytest.approx(expected)
+    best = lloyd.best_restarts(runs)
+    run, scores = lloyd.search(points, 7, restarts=4)
+    assert scores == pytest.approx({k: v for (_, k), v in lloyd.silhouettes(points, list(best.values())).items()})
+    assert run.k == max(scores, key=scores.get) and run.cost == pytest.approx(min(expected[run.k, r] for r in range(4)))
+
+
+def test_rounds_end_with_the_last_move_only(monkeypatch):
+    done = []
+
+    def advance(points, runs):
+        done.append(len(runs))
+        runs[-1].settled = len(done) >= 1_000
+
+    monkeypatch.setattr(lloyd, "advance", advance)
+    runs = [lloyd.Run("", 2, r, np.zeros((2, 1))) for r in range(2)]
+    assert [r.settled for r in lloyd.settled(None, runs)] == [True, True] and done == [2] * 1_000 + [1]
+
+
+def test_a_round_that_does_not_lower_the_cost_is_the_last(spark):
+    points = lloyd.prepared(table(spark, {"": np.array([[0.0], [1.0], [5.0]])}), "v", "id", "s")
+    for last, settled in ((17.0, False), (16.0, True)):
+        run = lloyd.Run("", 2, 0, np.array([[0.0], [1.0]]), cost=last)
+        lloyd.advance(points, [run])
+        assert run.cost == 16.0 and run.centres.tolist() == [[0.0], [3.0]] and run.settled is settled
+
+
 def test_labels_are_the_same_for_any_partitioning(spark, groups):
     found = []
     for partitions in (1, 5):
