@@ -176,7 +176,12 @@ MADE_SCHEMA = (
 )
 
 
-def frequent_ngrams(docs: DataFrame, n: int, share: float) -> tuple[np.ndarray, int]:
+def frequent_ngrams(docs: DataFrame, n: int, share: float) -> np.ndarray:
+    """The n-grams of ``frequent_and_total``."""
+    return frequent_and_total(docs, n, share)[0]
+
+
+def frequent_and_total(docs: DataFrame, n: int, share: float) -> tuple[np.ndarray, int]:
     """Sorted hashes of n-grams that at least ``share`` of all texts hold, as far as batches show them, and the size of all sets.
 
     Every batch counts all its texts and reports what is frequent in it, and the reports are added
@@ -398,7 +403,7 @@ def linked_rows(
 ) -> DataFrame:
     """The rows of ``link`` with text_key, and ``component``, which is NULL for an empty set alone."""
     # The number of shards follows the postings, so that a shard's n-grams fit a task at every size.
-    frequent, total = frequent_ngrams(docs, n, frequent_share)
+    frequent, total = frequent_and_total(docs, n, frequent_share)
     postings = total * (100 - percent) // 100
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-postings // SHARD_POSTINGS))
     made = written(profiles_and_postings(docs, n, percent, shards, frequent), "ngrams")
